@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, quality, substring
+from . import jaccard, neighbours, packing, quality, substring
 from .runtime import docs_table
 
 
@@ -33,8 +33,25 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(docs_table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs_table(spark, sf_dir), tokenizer_path())
+
+
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), dim=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_vector_packing": op2_vector_packing,
+    "op3_cross_polytope": op3_cross_polytope,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, neighbours, packing, quality, substring
+from . import chat, jaccard, neighbours, packing, quality, substring, urls
 from .runtime import docs_table
 
 
@@ -48,11 +48,24 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), dim=64)
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).drop("p_block")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_vector_packing": op2_vector_packing,
     "op3_cross_polytope": op3_cross_polytope,
+    "op4_snapshot_collapse": op4_snapshot_collapse,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE: dict[str, str] = {}

@@ -9,6 +9,7 @@ suffixes are prolonged to the window length; the nodes at that depth with two or
 more leaves are the deep internal nodes, and every leaf but the first (smallest
 document, then start) is a repeat.  Overlapping repeats join into maximal ones.
 
+The texts are shuffled once by document; both joins with them use that exchange.
 Both levels reduce inside the task before anything is shuffled: suffixes that meet
 in one task are settled there and only one of them travels, so the rows that share
 a passage number at most one per task however common it is.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import grams, word_hashes
+from .words import grams, mix, word_hashes
 
 WINDOW = 20
 PREFIX = 8
@@ -59,6 +60,25 @@ def _settle(columns: list[np.ndarray], docs: np.ndarray, starts: np.ndarray) ->
     return order, new, several
 
 
+def _by_document(docs: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Starts of every document; ``docs`` and ``starts`` are ordered alike."""
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order]
+    at = np.flatnonzero(np.diff(docs)) + 1
+    return (docs[np.concatenate([[0], at])].tolist(), np.split(starts, at)) if len(docs) else ([], [])
+
+
+def _rows(columns: list[np.ndarray], doc: np.ndarray, start: np.ndarray, flag: np.ndarray, settled: tuple[list[int], list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """Rows that travel, then one row per document for what the task has settled (its key is spread by document)."""
+    own, lists = settled
+    spread = np.array(own, np.int64)
+    keys = [pa.array(np.concatenate([c.view(np.int64), mix((spread + i).view(np.uint64)).view(np.int64)])) for i, c in enumerate(columns)]
+    starts = pa.array([None] * len(doc) + [x.astype(np.int32) for x in lists], pa.list_(pa.int32()))
+    start = pa.array(np.concatenate([start, np.zeros(len(own), np.int64)]).astype(np.int32), mask=np.arange(len(doc) + len(own)) >= len(doc))
+    flags = pa.array(np.concatenate([flag, np.ones(len(own), bool)]))
+    return pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([doc, spread])), start, flags, starts], names=names)
+
+
 def _prefixes(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -69,8 +89,9 @@ def _prefixes(window: int, prefix: int):
             key, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order, new, several = _settle([key], doc, start)
+            key, doc, start = key[order], doc[order], start[order]
             # One row of each key travels; the others of this task are known to repeat.
-            yield pa.RecordBatch.from_arrays([pa.array(key[order].view(np.int64)), pa.array(doc[order]), pa.array(start[order].astype(np.int32)), pa.array(new), pa.array(several)], names=["key", "doc_id", "start", "travels", "several"])
+            yield _rows([key[new]], doc[new], start[new], several[new], _by_document(doc[~new], start[~new]), ["key", "doc_id", "start", "known", "starts"])
 
         n = 0
         for batch in batches:
@@ -103,13 +124,15 @@ def _deep(window: int, prefix: int):
             first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             d, s = doc[order], start[order]
             later = (d != d[first]) | (s != s[first])  # an earlier equal window was met in this task
-            keep = new | later
-            yield pa.RecordBatch.from_arrays([pa.array(a[order][keep].view(np.int64)), pa.array(b[order][keep].view(np.int64)), pa.array(d[keep]), pa.array(s[keep].astype(np.int32)), pa.array(later[keep])], names=["a", "b", "doc_id", "start", "later"])
+            go = ~later
+            yield _rows([a[order][go], b[order][go]], d[go], s[go], np.zeros(int(go.sum()), bool), _by_document(d[later], s[later]), ["a", "b", "doc_id", "start", "known", "starts"])
 
         n = 0
         for batch in batches:
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2), strict=True):
-                words = text.split()
+            for doc, text, wanted in zip(batch["_id"].to_pylist(), batch["_text"], batch["starts"], strict=True):
+                if not wanted.is_valid:
+                    continue
+                words = text.as_py().encode().split()
                 h, _, at = _sampled(words, window, prefix)
                 i = np.flatnonzero(np.isin(at, wanted.values.to_numpy()))
                 held.append((grams(h, window, 1)[i], grams(h, window, 2)[i], np.full(len(i), doc, np.int64), i))
@@ -122,23 +145,32 @@ def _deep(window: int, prefix: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(doc_id, start) of every window of ``window`` words that also starts earlier.
+def _starts_of(rows: DataFrame) -> DataFrame:
+    one = F.coalesce("starts", F.array("start"))
+    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list(one)).alias("starts"))
+
+
+def _repeats(rows: DataFrame, window: int, prefix: int) -> DataFrame:
+    """(doc_id, starts) of the windows that also start earlier; ``rows`` has ``_id``, ``_text`` and others."""
+    pre = rows.select("_id", "_text").mapInArrow(_prefixes(window, prefix), "key long, doc_id long, start int, known boolean, starts array<int>")
+    # Rows of one key are at most one for each task.
+    met = pre.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1 or known")
+    wanted = _starts_of(met).withColumnRenamed("doc_id", "_w")
+    # An outer join, so that its exchange of texts is the one that ``substring_dedup`` uses again.
+    found = rows.join(wanted, F.col("_id") == F.col("_w"), "left").select(*rows.columns, "starts")
+    deep = found.mapInArrow(_deep(window, prefix), "a long, b long, doc_id long, start int, known boolean, starts array<int>")
+    by = Window.partitionBy("a", "b").orderBy("doc_id", "start")
+    deep = deep.withColumn("d1", F.first("doc_id").over(by)).withColumn("s1", F.first("start").over(by))
+    return _starts_of(deep.where("known or doc_id <> d1 or start <> s1"))
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
-    ``docs`` has ``doc_id`` (long) and ``text``.
-    """
-    from .runtime import materialize
 
-    pre = materialize(docs.select("doc_id", "text").mapInArrow(_prefixes(window, prefix), "key long, doc_id long, start int, travels boolean, several boolean"), "prefixes")
-    # Rows of one key that travel are at most one for each task.
-    met = pre.where("travels").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1 or several")
-    inner = met.select("doc_id", "start").unionByName(pre.where("not travels").select("doc_id", "start"))
-    wanted = inner.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    deep = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "starts").mapInArrow(_deep(window, prefix), "a long, b long, doc_id long, start int, later boolean")
-    deep = materialize(deep, "deep")
-    here = F.struct("doc_id", "start")
-    across = deep.where("not later").withColumn("first", F.min(here).over(Window.partitionBy("a", "b"))).where(here > F.col("first"))
-    return across.select("doc_id", "start").unionByName(deep.where("later").select("doc_id", "start"))
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    """(doc_id, starts) of the windows of ``window`` words that also start earlier."""
+    return _repeats(_prepared(docs, id_col, text_col, []), window, prefix)
 
 
 def _cut(window: int, with_text: bool):
@@ -160,7 +192,7 @@ def _cut(window: int, with_text: bool):
             cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
             spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             added = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], spans), pa.array(cols[4], pa.string())]
-            names = [f"c{i}" for i in range(batch.num_columns - 2)]
+            names = batch.schema.names[:-2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *added], names=[*names, "n_words", "n_removed", "kept_sha256", "removed", "kept_text"])
 
     return run
@@ -173,13 +205,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``with_text`` the other columns of ``docs`` and ``kept_text`` are returned too
     (the text itself where nothing was removed).
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = repeated_windows(slim, window).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    others = [c for c in docs.columns if c != text_col] if with_text else [id_col]
-    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("_id"))
-    joined = own.join(found, F.col("_id") == F.col("doc_id"), "left").select(*[f"c{i}" for i in range(len(others))], "text", "starts")
+    others = [c for c in docs.columns if c not in (text_col, id_col)] if with_text else []
+    own = _prepared(docs, id_col, text_col, others)
+    found = _repeats(own, window, PREFIX)
+    joined = own.join(found, F.col("_id") == F.col("doc_id"), "left").select(*[f"c{i}" for i in range(len(others))], "_id", F.col("_text").alias("text"), "starts")
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"c{i} {kinds[c]}" for i, c in enumerate(others)] + ["n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>, kept_text string"])
+    schema = ", ".join([f"c{i} {kinds[c]}" for i, c in enumerate(others)] + ["_id long", "n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>, kept_text string"])
     cut = joined.mapInArrow(_cut(window, with_text), schema)
     extra = ["n_words", "n_removed", "kept_sha256", "removed"] + (["kept_text"] if with_text else [])
-    return cut.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], *[F.col(c) if c not in others else F.col(c).alias(f"dedup_{c}") for c in extra])
+    return cut.select(F.col("_id").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], *[F.col(c) if c not in docs.columns else F.col(c).alias(f"dedup_{c}") for c in extra])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, neighbours, packing, quality, substring, urls
+from . import chat, jaccard, neighbours, packing, quality, segmentation, substring, toxicity, urls
 from .runtime import docs_table
 
 
@@ -55,6 +55,14 @@ def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op5_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.encode_nbest(docs_table(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(docs_table(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).drop("p_block")
 
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_packing": op2_vector_packing,
     "op3_cross_polytope": op3_cross_polytope,
     "op4_snapshot_collapse": op4_snapshot_collapse,
+    "op5_nbest_segmentation": op5_nbest_segmentation,
+    "op7_class_kneser_ney": op7_class_kneser_ney,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,

@@ -53,8 +53,11 @@ def _verdict(rule: Column, rules: list[Rule]) -> Column:
 
 def _grams(text: Column) -> Column:
     """Character n-grams of every size of ``GRAM_SIZES``."""
-    per = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in GRAM_SIZES]
-    return F.concat(*per)
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.when(F.length(text) >= n, F.transform(at, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, GRAM_SIZES))
 
 
 def _features(df: DataFrame) -> DataFrame:

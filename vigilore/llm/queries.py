@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, neighbours, packing, quality, segmentation, substring, toxicity, urls
+from . import chat, jaccard, neighbours, packing, pii, quality, segmentation, substring, toxicity, urls
 from .runtime import docs_table
 
 
@@ -59,6 +59,11 @@ def op5_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.encode_nbest(docs_table(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pii_spans(docs_table(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs_table(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cross_polytope": op3_cross_polytope,
     "op4_snapshot_collapse": op4_snapshot_collapse,
     "op5_nbest_segmentation": op5_nbest_segmentation,
+    "op6_candidate_boosting": op6_candidate_boosting,
     "op7_class_kneser_ney": op7_class_kneser_ney,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,

@@ -20,9 +20,10 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,21 @@ WAITING = 256
 WAITING_IDS = 4_000_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of every byte in a byte-level vocabulary: printable bytes stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class _WordIds(dict):
-    """Cache from a word to its ids, for a tokenizer that never joins words across ASCII white space."""
+    """Cache from a word to its ids (as bytes of 32-bit integers), for a tokenizer that never joins words across ASCII white space.
+
+    A word of letters below U+0250 that is in composed form is one piece for the
+    tokenizer's splitting rule, so it goes to its merges directly; every other word
+    takes the tokenizer's whole path.  Words with a full stop or comma behind them
+    are put together from their two parts and not kept.
+    """
 
     most = 400_000
 
@@ -49,18 +63,26 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = {c: tuple(self._encode(c.decode())) for c in (b".", b",")}
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.ends = {c: self._encode(c.decode()) for c in (b".", b",")}
 
-    def _encode(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _encode(self, word: str) -> bytes:
+        return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > 1 and word[-1:] in self.ends and word[-2:-1].isalnum():
+            return self[word[:-1]] + self.ends[word[-1:]]
         if len(self) >= self.most:
             self.clear()
-        if len(word) > 1 and word[-1:] in self.ends and word[-2:-1].isalnum():
-            value = self[word[:-1]] + self.ends[word[-1:]]
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            shown = text.lower()
+            if not shown.isascii():
+                shown = shown.encode().decode("latin-1").translate(self.letters)
+            value = array("i", [t.id for t in self.merges.tokenize(shown)]).tobytes()
         else:
-            value = tuple(self._encode(word.decode()))
+            value = self._encode(text)
         self[word] = value
         return value
 
@@ -75,7 +97,7 @@ def token_ids(text: bytes, path: str) -> np.ndarray:
     if cache is None:
         cache = _ids[path] = _WordIds(path)
     words = (text if b"<|" in text else text.lower()).split()
-    return np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.int32)
+    return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)
 
 
 def _best(need: np.ndarray, left: np.ndarray, limits: np.ndarray) -> int:

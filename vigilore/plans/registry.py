@@ -1,4 +1,7 @@
 """All registered queries of the library with their independent SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from .security import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,0 +1,491 @@
+"""Registered queries over the alert view and the star-schema tables, each with independent SQL."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.common import bucket, in_window, r4, severity_counts, time_text, top_k_per, top_n, zero_filled
+from ..knowledge import TACTICS
+from ..operators import extract, filters, graph, lifecycle, profiles, ranking, redact, scoring, sequence, timeseries
+from ..schema import alerts_from_events
+from ..sources import readers
+
+AS_OF = datetime(2024, 1, 31)
+DAY = AS_OF - timedelta(days=1)
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts_from_events(table(spark, sf_dir, "events"))
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return register
+
+
+_TACTIC = "CASE event_type WHEN 'view' THEN 'Reconnaissance' WHEN 'click' THEN 'Discovery' WHEN 'error' THEN 'Credential Access' WHEN 'signup' THEN 'Initial Access' WHEN 'purchase' THEN 'Exfiltration' END"
+CTE = f"""WITH e AS (SELECT *, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k FROM events),
+alerts AS (SELECT event_id AS alert_id, ts, '45.' || ((user_id // 65536) % 256) || '.' || ((user_id // 256) % 256) || '.' || (user_id % 256) AS srcip,
+ (floor(value)::BIGINT % 15 + 1) AS rule_level,
+ CASE event_type WHEN 'view' THEN '33100' WHEN 'click' THEN '5710' WHEN 'error' THEN '5712' WHEN 'signup' THEN '5501' WHEN 'purchase' THEN '510' END AS rule_id,
+ event_type, k, value, 'agent-' || (k % 8) AS agent_name,
+ CASE WHEN k % 10 IN (0, 1) THEN NULL WHEN k % 10 = 2 THEN [{_TACTIC}, 'Command and Control'] ELSE [{_TACTIC}] END AS tactic,
+ CASE WHEN k % 10 = 0 THEN CASE event_type WHEN 'view' THEN 'T1595' WHEN 'click' THEN 'T1046' WHEN 'error' THEN 'T1110' WHEN 'signup' THEN 'T1190' WHEN 'purchase' THEN 'T1041' END END AS technique
+ FROM e)
+"""
+_LAST_DAY = "ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31'"
+_WEIGHTS = "(VALUES " + ", ".join(f"('{t}', '{c}', {w})" for t, (c, w) in TACTICS.items()) + ") AS w(tactic, category, weight)"
+_HOUR = "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')"
+
+# Technique table for the alert view: what the public matrix says of its five techniques.
+TECHNIQUES = [("T1595", "Reconnaissance"), ("T1046", "Discovery"), ("T1110", "Credential Access"), ("T1190", "Initial Access"), ("T1041", "Exfiltration")]
+
+
+def techniques(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TECHNIQUES, "technique string, tactic string")
+
+
+def last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts(spark, sf_dir).where(in_window("ts", DAY, AS_OF))
+
+
+# --- sources, filters -------------------------------------------------------------------------
+
+
+@query("alert_scan", CTE + "SELECT alert_id, srcip, rule_level, rule_id, agent_name, coalesce(array_to_string(tactic, '|'), '') AS tactics, coalesce(technique, '') AS technique FROM alerts")
+def alert_scan(spark, sf_dir):
+    return alerts(spark, sf_dir).select("alert_id", "srcip", F.col("rule_level").cast("long").alias("rule_level"), "rule_id", "agent_name", F.coalesce(F.array_join("tactic", "|"), F.lit("")).alias("tactics"), F.coalesce(F.get("technique", F.lit(0)), F.lit("")).alias("technique"))
+
+
+@query("shared_scan", CTE + "SELECT count(*) FILTER (rule_level >= 10) AS high, count(*) FILTER (event_type = 'error') AS errors, sum(rule_level) FILTER (event_type = 'view')::BIGINT AS view_levels FROM alerts")
+def shared_scan(spark, sf_dir):
+    one = F.lit(1)
+    return readers.shared_scan(alerts(spark, sf_dir), {"high": (F.col("rule_level") >= 10, one), "errors": (F.array_contains("rule_groups", "error"), one), "view_levels": (F.array_contains("rule_groups", "view"), F.col("rule_level"))})
+
+
+@query("keyset_page", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 100 OR (o_custkey = 100 AND o_orderkey > 500) ORDER BY o_custkey, o_orderkey LIMIT 200")
+def keyset_page(spark, sf_dir):
+    return readers.keyset_page(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], 200, (100, 500)).select("o_orderkey", "o_custkey")
+
+
+@query("offset_page", "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 40")
+def offset_page(spark, sf_dir):
+    return readers.offset_page(table(spark, sf_dir, "customer"), ["c_custkey"], 50, 40).select("c_custkey", "c_nationkey")
+
+
+@query("schema_listing", "SELECT 'event_id' AS path, count(event_id) AS non_null FROM events UNION ALL SELECT 'ts', count(ts) FROM events UNION ALL SELECT 'user_id', count(user_id) FROM events UNION ALL SELECT 'event_type', count(event_type) FROM events UNION ALL SELECT 'value', count(value) FROM events UNION ALL SELECT 'props', count(props) FROM events")
+def schema_listing(spark, sf_dir):
+    return readers.schema_listing(table(spark, sf_dir, "events")).select("path", "non_null")
+
+
+@query("log_grep", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%password%' ORDER BY doc_id DESC LIMIT 100")
+def log_grep(spark, sf_dir):
+    return readers.grep(table(spark, sf_dir, "documents"), "text", "PASSWORD", ["doc_id"]).select("doc_id")
+
+
+@query("report_filter", CTE + f"SELECT alert_id FROM alerts WHERE {_LAST_DAY} AND agent_name IN ('agent-1', 'agent-2', 'agent-3') AND rule_level BETWEEN 5 AND 12 AND list_has_any(tactic, ['Discovery', 'Command and Control'])")
+def report_filter(spark, sf_dir):
+    f = filters.ReportFilters(since=DAY, until=AS_OF, agents=["agent-1", "agent-2", "agent-3"], min_level=5, max_level=12, tactics=["Discovery", "Command and Control"])
+    return filters.report_filter(alerts(spark, sf_dir), f).select("alert_id")
+
+
+@query("drill_through", CTE + "SELECT alert_id, rule_level, agent_name FROM alerts WHERE srcip = '45.0.0.7' AND rule_id = '5712' ORDER BY ts, alert_id LIMIT 10")
+def drill_through(spark, sf_dir):
+    return filters.drill_through(alerts(spark, sf_dir), srcip="45.0.0.7", rule_id="5712", n=10).select("alert_id", F.col("rule_level").cast("long").alias("rule_level"), "agent_name")
+
+
+@query("keyword_search", "SELECT page_id FROM pages WHERE contains(lower(url), 'blog') AND (contains(lower(url), '/en/') OR contains(lower(url), '/de/')) AND NOT contains(lower(url), 'utm')")
+def keyword_search(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(filters.keyword_search(["url"], all_of=["BLOG"], any_of=["/en/", "/de/"], none_of=["utm"])).select("page_id")
+
+
+@query("wildcard_filter", "SELECT page_id FROM pages WHERE url GLOB 'https://*.example.org/en/?*'")
+def wildcard_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(filters.wildcard("url", "https://*.example.org/en/?*")).select("page_id")
+
+
+@query("public_ips", CTE + "SELECT DISTINCT srcip FROM alerts")
+def public_ips(spark, sf_dir):
+    return alerts(spark, sf_dir).where(filters.is_public_ip(F.col("srcip")) & ~filters.is_noise_ip(F.col("srcip"))).select("srcip").distinct()
+
+
+# --- aggregations -----------------------------------------------------------------------------
+
+
+@query("severity_bands", CTE + "SELECT agent_name, count(*) FILTER (rule_level < 5) AS low, count(*) FILTER (rule_level >= 5 AND rule_level < 10) AS medium, count(*) FILTER (rule_level >= 10) AS high FROM alerts GROUP BY 1")
+def severity_bands(spark, sf_dir):
+    return alerts(spark, sf_dir).groupBy("agent_name").agg(*severity_counts())
+
+
+@query("top_sources", CTE + "SELECT srcip, count(*) AS n FROM alerts GROUP BY 1 ORDER BY n DESC, srcip LIMIT 20")
+def top_sources(spark, sf_dir):
+    return top_n(alerts(spark, sf_dir), ["srcip"], 20)
+
+
+@query("top_rules_per_agent", CTE + "SELECT agent_name, rule_id, n, rank FROM (SELECT agent_name, rule_id, count(*) AS n, row_number() OVER (PARTITION BY agent_name ORDER BY count(*) DESC, rule_id) AS rank FROM alerts GROUP BY 1, 2) WHERE rank <= 3")
+def top_rules_per_agent(spark, sf_dir):
+    return top_k_per(alerts(spark, sf_dir), ["agent_name"], "rule_id", 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("window_summary", CTE + "SELECT count(*) AS total, count(*) FILTER (rule_level < 5) AS low, count(*) FILTER (rule_level >= 5 AND rule_level < 10) AS medium, count(*) FILTER (rule_level >= 10) AS high, count(DISTINCT srcip) AS unique_ips, count(DISTINCT rule_id) AS unique_rules, count(DISTINCT agent_name) AS unique_agents, round(avg(rule_level), 4) AS mean_level, max(rule_level) AS max_level, count(*) FILTER (rule_id NOT IN ('606029', '651')) AS total_unwrapped FROM alerts")
+def window_summary(spark, sf_dir):
+    return profiles.summary(alerts(spark, sf_dir)).withColumn("max_level", F.col("max_level").cast("long"))
+
+
+@query("grouping_report", CTE + "SELECT dimension, value, n, rank FROM (SELECT dimension, value, count(*) AS n, row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, value) AS rank FROM (SELECT 'rule_id' AS dimension, rule_id AS value FROM alerts UNION ALL SELECT 'agent_name', agent_name FROM alerts UNION ALL SELECT 'srcip', srcip FROM alerts) GROUP BY 1, 2) WHERE rank <= 10")
+def grouping_report(spark, sf_dir):
+    return profiles.grouping_report(alerts(spark, sf_dir), ["rule_id", "agent_name", "srcip"], 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("threat_cards", CTE + """, u AS (SELECT srcip, list_sort(list_distinct(flatten(list(coalesce(tactic, []::VARCHAR[]))))) AS t FROM alerts GROUP BY 1)
+SELECT a.srcip, count(*) AS total, count(DISTINCT rule_id) AS unique_rules, max(rule_level) AS max_level, round(avg(rule_level), 4) AS mean_level, count(DISTINCT agent_name) AS agents, array_to_string(any_value(t), '|') AS tactics,
+ CASE WHEN max(rule_level) >= 12 THEN 'block' WHEN max(rule_level) >= 10 THEN 'investigate' WHEN max(rule_level) >= 6 THEN 'monitor' ELSE 'none' END AS recommendation, len(any_value(t)) >= 3 AS multi_stage, count(DISTINCT agent_name) > 1 AS spread
+FROM alerts a JOIN u ON a.srcip = u.srcip GROUP BY 1""")
+def threat_cards(spark, sf_dir):
+    return profiles.ip_profile(alerts(spark, sf_dir)).withColumn("tactics", F.array_join("tactics", "|")).withColumn("max_level", F.col("max_level").cast("long")).drop("first_seen", "last_seen")
+
+
+@query("alert_digest", CTE + "SELECT srcip, rule_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, max(rule_level) AS max_level FROM alerts GROUP BY 1, 2")
+def alert_digest(spark, sf_dir):
+    return profiles.digest(alerts(spark, sf_dir)).withColumns({"first_seen": time_text(F.col("first_seen")), "last_seen": time_text(F.col("last_seen")), "max_level": F.col("max_level").cast("long")})
+
+
+@query("curated_report", CTE + "SELECT srcip, count(*) AS n, count(DISTINCT rule_id) AS items, max(rule_level) AS max_level, round(sum(pow(0.5, pow((epoch(TIMESTAMP '2024-01-31') - epoch(ts)) / 21600.0, 2))), 4) AS weighted, round(count(DISTINCT rule_id) * ln(1 + count(*)), 4) AS diversity FROM alerts GROUP BY 1 ORDER BY diversity DESC, srcip LIMIT 20")
+def curated_report(spark, sf_dir):
+    return profiles.curated_report(alerts(spark, sf_dir), as_of=AS_OF).drop("first_seen", "last_seen").withColumn("max_level", F.col("max_level").cast("long"))
+
+
+@query("curated_report_orders", "SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS items, round(count(DISTINCT l_partkey) * ln(1 + count(*)), 4) AS diversity FROM lineitem GROUP BY 1 ORDER BY diversity DESC, l_suppkey LIMIT 20")
+def curated_report_orders(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("ts"), F.lit(1).alias("rule_level"))
+    return profiles.curated_report(rows, "l_suppkey", item="l_partkey").select("l_suppkey", "n", "items", "diversity")
+
+
+@query("entity_compare", CTE + "SELECT count(*) FILTER (srcip = '45.0.0.1') AS total_a, max(rule_level) FILTER (srcip = '45.0.0.1') AS max_level_a, count(DISTINCT rule_id) FILTER (srcip = '45.0.0.1') AS rules_a, count(*) FILTER (srcip = '45.0.0.2') AS total_b, max(rule_level) FILTER (srcip = '45.0.0.2') AS max_level_b, count(DISTINCT rule_id) FILTER (srcip = '45.0.0.2') AS rules_b, CASE WHEN count(*) FILTER (srcip = '45.0.0.1') > 2 * count(*) FILTER (srcip = '45.0.0.2') THEN '45.0.0.1' WHEN count(*) FILTER (srcip = '45.0.0.2') > 2 * count(*) FILTER (srcip = '45.0.0.1') THEN '45.0.0.2' ELSE 'balanced' END AS dominant FROM alerts WHERE srcip IN ('45.0.0.1', '45.0.0.2')")
+def entity_compare(spark, sf_dir):
+    return profiles.compare(alerts(spark, sf_dir), "srcip", "45.0.0.1", "45.0.0.2").withColumns({f"max_level_{x}": F.col(f"max_level_{x}").cast("long") for x in "ab"})
+
+
+@query("geo_report", "WITH c AS (SELECT n_name AS place, c_custkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT place, c_mktsegment, row_number() OVER (PARTITION BY place ORDER BY count(*) DESC, c_mktsegment) AS r FROM c GROUP BY 1, 2) SELECT place, n, unique_ips, top_rules FROM (SELECT place, count(*) AS n, count(DISTINCT c_custkey) AS unique_ips FROM c GROUP BY 1) JOIN (SELECT place, string_agg(c_mktsegment, ',' ORDER BY r) AS top_rules FROM s WHERE r <= 3 GROUP BY 1) USING (place)")
+def geo_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("place", F.col("n_name"))
+    return profiles.geo_report(rows, "place", "c_custkey", "c_mktsegment")
+
+
+@query("geo_heat_map", CTE + "SELECT agent_name, count(*) AS n, round(avg(value), 4) AS lat, round(avg(rule_level), 4) AS lon, count(DISTINCT srcip) AS unique_ips FROM alerts GROUP BY 1")
+def geo_heat_map(spark, sf_dir):
+    return profiles.geo_heat_map(alerts(spark, sf_dir), "agent_name", "value", "rule_level", "srcip")
+
+
+@query("compliance_summary", CTE + "SELECT framework, control, count(*) AS n FROM (SELECT 'tactic' AS framework, unnest(list_distinct(tactic)) AS control FROM alerts UNION ALL SELECT 'technique', technique FROM alerts WHERE technique IS NOT NULL) GROUP BY 1, 2")
+def compliance_summary(spark, sf_dir):
+    return profiles.compliance_summary(alerts(spark, sf_dir), ["tactic", "technique"])
+
+
+@query("user_aggregate", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 4) AS disc FROM lineitem WHERE l_quantity > 10 GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def user_aggregate(spark, sf_dir):
+    metrics = {"n": F.count("*"), "qty": F.round(F.sum("l_quantity"), 2), "disc": r4(F.avg("l_discount"))}
+    return profiles.aggregate(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], metrics, F.col("l_quantity") > 10, "rollup")
+
+
+@query("pass_fail", "SELECT quality AS policy, count(*) FILTER (toxic = 0) AS passed, count(*) FILTER (toxic <> 0) AS failed, round(count(*) FILTER (toxic = 0) * 100.0 / count(*), 4) AS score FROM labels GROUP BY 1")
+def pass_fail(spark, sf_dir):
+    return profiles.pass_fail(table(spark, sf_dir, "labels").withColumnRenamed("quality", "policy"), "policy", F.col("toxic") == 0)
+
+
+@query("status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("rule_taxonomy", "SELECT p_size AS level, count(*) AS n FROM part GROUP BY 1")
+def rule_taxonomy(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("vulnerability_summary", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type))")
+def vulnerability_summary(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupingSets([["p_brand"], ["p_type"]], "p_brand", "p_type").agg(F.count("*").alias("n")).select("p_brand", "p_type", "n")
+
+
+@query("call_telemetry", "SELECT role AS tool, count(*) AS calls, sum(length(text))::BIGINT AS total_ms, count(*) FILTER (turn > 3) AS rejections FROM conversations GROUP BY 1")
+def call_telemetry(spark, sf_dir):
+    audit = table(spark, sf_dir, "conversations").select(F.col("role").alias("tool"), F.length("text").cast("long").alias("ms"), (F.col("turn") > 3).alias("rejected"))
+    return profiles.telemetry(audit)
+
+
+# --- time series ------------------------------------------------------------------------------
+
+
+@query("hourly_histogram", CTE + f"SELECT {_HOUR} AS bucket, count(*) AS n FROM alerts GROUP BY 1")
+def hourly_histogram(spark, sf_dir):
+    return timeseries.histogram(alerts(spark, sf_dir), 3600).withColumn("bucket", time_text(F.col("bucket")))
+
+
+@query("filled_histogram", CTE + ", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-30', TIMESTAMP '2024-01-31', INTERVAL 15 MINUTE)) AS b), c AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS b, count(*) AS n FROM alerts WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1) SELECT strftime(g.b, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.b = c.b")
+def filled_histogram(spark, sf_dir):
+    return timeseries.filled_histogram(alerts(spark, sf_dir), 900, DAY, AS_OF).withColumn("bucket", time_text(F.col("bucket")))
+
+
+@query("beacon_scores", CTE + """, g AS (SELECT srcip, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY srcip ORDER BY ts, alert_id) AS gap FROM alerts), r AS (SELECT srcip, gap, row_number() OVER (PARTITION BY srcip ORDER BY gap) AS rn, count(*) OVER (PARTITION BY srcip) AS c FROM g WHERE gap IS NOT NULL),
+s AS (SELECT srcip, count(*) AS ng, avg(gap) AS m, stddev_pop(gap) AS sd FROM r GROUP BY 1), e2 AS (SELECT srcip, count(*) AS n_events FROM alerts GROUP BY 1)
+SELECT e2.srcip, n_events, round(m, 4) AS mean_gap, round(sd / m, 4) AS cv, CASE WHEN n_events < 5 THEN NULL ELSE round(greatest(0.0, least(1.0, 1 - coalesce(sd / m, 1e9) / 0.5)), 4) END AS score, CASE WHEN n_events < 5 THEN 'insufficient_data' WHEN 1 - sd / m / 0.5 >= 0.8 THEN 'strong' WHEN 1 - sd / m / 0.5 >= 0.5 THEN 'likely' WHEN 1 - sd / m / 0.5 >= 0.25 THEN 'possible' ELSE 'none' END AS verdict, sd / m < 0.3 AS is_regular
+FROM e2 LEFT JOIN s ON e2.srcip = s.srcip""")
+def beacon_scores(spark, sf_dir):
+    return timeseries.beacons(alerts(spark, sf_dir)).drop("sd_gap", "period")
+
+
+@query("heat_map", CTE + ", g AS (SELECT w, h FROM generate_series(0, 6) a(w), generate_series(0, 23) b(h)), c AS (SELECT isodow(ts) - 1 AS w, hour(ts) AS h, count(*) AS n FROM alerts GROUP BY 1, 2), f AS (SELECT g.w AS weekday, g.h AS hour, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.w = c.w AND g.h = c.h) SELECT weekday, hour, n, round(CASE WHEN stddev_pop(n) OVER () > 0.001 THEN (n - avg(n) OVER ()) / stddev_pop(n) OVER () ELSE 0 END, 4) AS z FROM f")
+def heat_map(spark, sf_dir):
+    return timeseries.heat_map(alerts(spark, sf_dir)).select(F.col("weekday").cast("long").alias("weekday"), F.col("hour").cast("long").alias("hour"), "n", "z")
+
+
+@query("attack_velocity", CTE + """, v AS (SELECT srcip, count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS current, count(*) FILTER (ts < TIMESTAMP '2024-01-30') AS previous FROM alerts WHERE ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1),
+d AS (SELECT *, CASE WHEN previous > 0 THEN (current - previous) * 100.0 / previous WHEN current > 0 THEN 100.0 ELSE 0.0 END AS x FROM v)
+SELECT srcip, current, previous, round(x, 4)::DOUBLE AS delta, CASE WHEN previous = 0 AND current > 0 THEN 'new_activity' WHEN current + previous = 0 THEN 'inactive' WHEN x > 25 THEN 'accelerating' WHEN x < -25 THEN 'decelerating' ELSE 'stable' END AS trend FROM d""")
+def attack_velocity(spark, sf_dir):
+    return timeseries.velocity(alerts(spark, sf_dir), AS_OF, 1440, ["srcip"])
+
+
+@query("alert_timeline", CTE + """, a AS (SELECT *, date_trunc('hour', ts) AS b FROM alerts WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31'), g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-30', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR)) AS b),
+t AS (SELECT b, rule_id, row_number() OVER (PARTITION BY b ORDER BY count(*) DESC, rule_id) AS r FROM a GROUP BY 1, 2), c AS (SELECT b, count(*) AS total, count(*) FILTER (rule_level >= 10) AS high FROM a GROUP BY 1)
+SELECT strftime(g.b, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(total, 0) AS total, coalesce(high, 0) AS high, rule_id AS top_rule_id FROM g LEFT JOIN c ON g.b = c.b LEFT JOIN t ON g.b = t.b AND r = 1""")
+def alert_timeline(spark, sf_dir):
+    return timeseries.timeline(alerts(spark, sf_dir), 3600, DAY, AS_OF).select(time_text(F.col("bucket")).alias("bucket"), "total", "high", "top_rule_id")
+
+
+@query("baseline_profile", CTE + ", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS b), c AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n FROM alerts GROUP BY 1), f AS (SELECT g.b, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.b = c.b) SELECT count(*) AS buckets, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS sd, max_by(n, b) AS current, round((max_by(n, b) - avg(n)) / stddev_pop(n), 4) AS z, max(n) AS peak FROM f")
+def baseline_profile(spark, sf_dir):
+    return timeseries.baseline_profile(alerts(spark, sf_dir), 3600, datetime(2024, 1, 1), datetime(2024, 1, 30, 23, 59, 59)).drop("verdict", "peak_at")
+
+
+@query("baseline_drift", CTE + ", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-23', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR)) AS b), c AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n FROM alerts WHERE ts < TIMESTAMP '2024-01-31' GROUP BY 1), f AS (SELECT g.b, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.b = c.b), s AS (SELECT avg(n) AS m, stddev_pop(n) AS sd FROM f WHERE b < TIMESTAMP '2024-01-30') SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS bucket, n, round((n - m) / sd, 4) AS z, abs((n - m) / sd) >= 2.0 AS drifted FROM f, s WHERE b >= TIMESTAMP '2024-01-30'")
+def baseline_drift(spark, sf_dir):
+    return timeseries.baseline_drift(alerts(spark, sf_dir), 3600, (datetime(2024, 1, 23), DAY), (DAY, AS_OF), 2.0).withColumn("bucket", time_text(F.col("bucket")))
+
+
+@query("engine_b_co_spikes", CTE + """, g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR)) AS b), c AS (SELECT date_trunc('hour', ts) AS b, count(*) FILTER (event_type IN ('view', 'click')) AS a, count(*) FILTER (event_type IN ('error', 'signup')) AS s, count(*) FILTER (event_type = 'purchase') AS p FROM alerts GROUP BY 1),
+f AS (SELECT g.b, coalesce(a, 0) AS n_a, coalesce(s, 0) AS n_b, coalesce(p, 0) AS n_c FROM g LEFT JOIN c ON g.b = c.b), z AS (SELECT *, (n_a - avg(n_a) OVER ()) / stddev_pop(n_a) OVER () AS za, (n_b - avg(n_b) OVER ()) / stddev_pop(n_b) OVER () AS zb, (n_c - avg(n_c) OVER ()) / stddev_pop(n_c) OVER () AS zc FROM f)
+SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS bucket, n_a, n_b, n_c, round(za, 2) AS z_a, round(zb, 2) AS z_b, round(zc, 2) AS z_c FROM z WHERE za >= 1 AND zb >= 1 AND zc >= 1""")
+def engine_b_co_spikes(spark, sf_dir):
+    of = lambda *t: F.arrays_overlap("rule_groups", F.array(*map(F.lit, t)))
+    series = timeseries.three_source_series(alerts(spark, sf_dir), {"a": of("view", "click"), "b": of("error", "signup"), "c": of("purchase")}, 3600, datetime(2024, 1, 1), AS_OF)
+    return timeseries.co_spikes(series, 1.0, 0.0).withColumn("bucket", time_text(F.col("bucket")))
+
+
+@query("ioc_decay", CTE + "SELECT srcip, round(pow(2.0, -(epoch(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) / 1e6) / 3600.0 / 168.0), 4) AS decay FROM alerts GROUP BY 1")
+def ioc_decay(spark, sf_dir):
+    return alerts(spark, sf_dir).groupBy("srcip").agg(F.max("ts").alias("last")).select("srcip", r4(timeseries.decay(F.col("last"), AS_OF)).alias("decay"))
+
+
+# --- scoring ----------------------------------------------------------------------------------
+
+_RISKS = f""", d AS (SELECT * FROM alerts WHERE {_LAST_DAY}), tt AS (SELECT alert_id, srcip, rule_level, unnest(tactic) AS t FROM d),
+charge AS (SELECT alert_id, srcip, rule_level * sum(weight) AS risk FROM tt JOIN {_WEIGHTS} ON tt.t = w.tactic GROUP BY alert_id, srcip, rule_level),
+cats AS (SELECT DISTINCT alert_id, category FROM tt JOIN {_WEIGHTS} ON tt.t = w.tactic),
+risks AS (SELECT cats.alert_id, srcip, category, risk FROM cats JOIN charge ON cats.alert_id = charge.alert_id
+ UNION ALL SELECT alert_id, srcip, category, rule_level * weight FROM d JOIN (VALUES {", ".join(f"('{t}', '{x}')" for t, x in TECHNIQUES)}) AS q(tq, tx) ON d.technique = tq JOIN {_WEIGHTS} ON tx = w.tactic WHERE d.tactic IS NULL),
+per AS (SELECT srcip, coalesce(round(sum(risk) FILTER (category = 'A'), 2), 0)::DOUBLE AS score_a, coalesce(round(sum(risk) FILTER (category = 'B'), 2), 0)::DOUBLE AS score_b, coalesce(round(sum(risk) FILTER (category = 'C'), 2), 0)::DOUBLE AS score_c FROM risks GROUP BY 1),
+sc AS (SELECT *, (score_a > 0)::INT + (score_b > 0)::INT + (score_c > 0)::INT AS n_categories, round(score_a + score_b + score_c, 2) AS total FROM per)
+"""
+
+
+@query("engine_a_triggers", CTE + _RISKS + "SELECT srcip, score_a, score_b, score_c, n_categories::BIGINT AS n_categories, total, total >= 35 AS triggered FROM sc WHERE n_categories >= 2")
+def engine_a_triggers(spark, sf_dir):
+    return scoring.engine_a(scoring.category_risks(last_day(spark, sf_dir), techniques(spark))).withColumn("n_categories", F.col("n_categories").cast("long"))
+
+
+@query("engine_a_stats", CTE + _RISKS + "SELECT (SELECT count(DISTINCT srcip) FROM risks WHERE category = 'A') AS unique_a, (SELECT count(DISTINCT srcip) FROM risks WHERE category = 'B') AS unique_b, (SELECT count(DISTINCT srcip) FROM risks WHERE category = 'C') AS unique_c, count(*) FILTER (n_categories >= 2) AS two_or_more, count(*) FILTER (n_categories = 3) AS all_three, count(*) FILTER (n_categories >= 2 AND total >= 35) AS triggers FROM sc")
+def engine_a_stats(spark, sf_dir):
+    risks = scoring.category_risks(last_day(spark, sf_dir), techniques(spark))
+    return scoring.engine_a_stats(risks, scoring.engine_a(risks))
+
+
+@query("engine_a_suppressed", CTE + _RISKS + "SELECT srcip, total FROM sc WHERE n_categories >= 2 AND total >= 35 AND srcip NOT IN (SELECT '45.0.0.' || c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 256)")
+def engine_a_suppressed(spark, sf_dir):
+    off = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0 and c_custkey < 256").select(F.concat(F.lit("45.0.0."), F.col("c_custkey").cast("string")).alias("srcip"))
+    return scoring.engine_a(scoring.category_risks(last_day(spark, sf_dir), techniques(spark)), suppressed=off).where("triggered").select("srcip", "total")
+
+
+@query("cidr_rollup", CTE + "SELECT '45.' || split_part(srcip, '.', 2) || '.' || split_part(srcip, '.', 3) || '.' || (split_part(srcip, '.', 4)::INT // 16 * 16) || '/28' AS net, count(*) AS n FROM alerts GROUP BY 1")
+def cidr_rollup(spark, sf_dir):
+    return alerts(spark, sf_dir).groupBy(scoring.normal_cidr(F.col("srcip"), 28).alias("net")).agg(F.count("*").alias("n"))
+
+
+@query("multi_resolution")
+def multi_resolution(spark, sf_dir):
+    return scoring.multi_resolution(alerts(spark, sf_dir), AS_OF, techniques(spark))
+
+
+@query("unified_verdict", CTE + _RISKS + "SELECT count(*)::BIGINT AS triggers, least(count(*) + 4 + (count(*) > 0)::INT, 10)::BIGINT AS score FROM sc WHERE n_categories >= 2 AND total >= 35")
+def unified_verdict(spark, sf_dir):
+    t = scoring.engine_a(scoring.category_risks(last_day(spark, sf_dir), techniques(spark))).where("triggered").agg(F.count("*").alias("triggers"))
+    return t.select("triggers", scoring.unified_severity(F.col("triggers"), F.lit(4))[0].cast("long").alias("score"))
+
+
+# --- sequences --------------------------------------------------------------------------------
+
+_CHAIN = ", l AS (SELECT *, lag(rule_id) OVER (PARTITION BY srcip ORDER BY ts, alert_id) AS p FROM alerts), ch AS (SELECT srcip, rule_id, row_number() OVER (PARTITION BY srcip ORDER BY ts, alert_id) AS pos FROM l WHERE p IS NULL OR p <> rule_id) "
+
+
+@query("collapsed_chains", CTE + _CHAIN + "SELECT srcip, rule_id, pos FROM ch")
+def collapsed_chains(spark, sf_dir):
+    return sequence.collapsed(alerts(spark, sf_dir)).select("srcip", "rule_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("rule_transitions", CTE + _CHAIN + 'SELECT a.rule_id AS "from", b.rule_id AS "to", count(*) AS n FROM ch a JOIN ch b ON a.srcip = b.srcip AND b.pos = a.pos + 1 GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 15')
+def rule_transitions(spark, sf_dir):
+    return sequence.transitions(sequence.collapsed(alerts(spark, sf_dir)))
+
+
+@query("kill_chains", CTE.replace("FROM e)", "FROM e WHERE ts >= TIMESTAMP '2024-01-30')") + _CHAIN + """, p1 AS (SELECT srcip, min(pos) AS x FROM ch WHERE rule_id IN ('600029','5710','5760','60100','33100') GROUP BY 1),
+p2 AS (SELECT ch.srcip, min(pos) AS x FROM ch JOIN p1 ON ch.srcip = p1.srcip AND pos > x WHERE rule_id IN ('5710','5712','5716','5760','6020','5551') GROUP BY 1),
+p3 AS (SELECT ch.srcip, min(pos) AS x FROM ch JOIN p2 ON ch.srcip = p2.srcip AND pos > x WHERE rule_id IN ('5500','5501','5502','5503','60106','60122') GROUP BY 1),
+p4 AS (SELECT ch.srcip, min(pos) AS x FROM ch JOIN p3 ON ch.srcip = p3.srcip AND pos > x WHERE rule_id IN ('606029','510','520','530','540','550','560') GROUP BY 1)
+SELECT p2.srcip, (2 + (p3.x IS NOT NULL)::INT + (p4.x IS NOT NULL)::INT)::BIGINT AS matched FROM p2 LEFT JOIN p3 ON p2.srcip = p3.srcip LEFT JOIN p4 ON p2.srcip = p4.srcip""")
+def kill_chains(spark, sf_dir):
+    rows = alerts(spark, sf_dir).where(F.col("ts") >= F.lit(DAY))
+    return sequence.kill_chains(sequence.collapsed(rows)).where("chain = 'full_kill_chain'").select("srcip", F.col("matched").cast("long").alias("matched"))
+
+
+@query("investigation")
+def investigation(spark, sf_dir):
+    return lifecycle.investigation(alerts(spark, sf_dir), AS_OF, techniques=techniques(spark))
+
+
+# --- graph ------------------------------------------------------------------------------------
+
+_EDGES = ", o AS (SELECT DISTINCT srcip AS i, date_trunc('minute', ts) AS b FROM alerts WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31'), ed AS (SELECT x.i AS src, y.i AS dst, count(*) AS weight FROM o x JOIN o y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2) "
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.co_occurrence(last_day(spark, sf_dir).withColumn("batch", bucket("ts", 60)), "srcip")
+
+
+@query("co_occurrence", CTE + _EDGES + "SELECT * FROM ed")
+def co_occurrence(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+@query("degree_hubs", CTE + _EDGES + "SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1")
+def degree_hubs(spark, sf_dir):
+    return graph.degrees(edges(spark, sf_dir))
+
+
+@query("campaign_components", CTE.replace("WITH e", "WITH RECURSIVE e") + _EDGES + ", bo AS (SELECT src AS u, dst AS v FROM ed UNION ALL SELECT dst, src FROM ed), r AS (SELECT DISTINCT u AS node, u AS reach FROM bo UNION SELECT r.node, bo.v FROM r JOIN bo ON r.reach = bo.u) SELECT node, min(reach) AS component FROM r GROUP BY 1")
+def campaign_components(spark, sf_dir):
+    return graph.components(edges(spark, sf_dir))
+
+
+@query("suspicion_ranking")
+def suspicion_ranking(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.suspicion(e, e.select(F.col("src").alias("node")).where("crc32(cast(src as binary)) % 5 = 0").distinct(), rounds=15)
+
+
+@query("node_betweenness")
+def node_betweenness(spark, sf_dir):
+    return graph.betweenness(edges(spark, sf_dir), 20)[0].withColumn("betweenness", r4("betweenness"))
+
+
+# --- text -------------------------------------------------------------------------------------
+
+_W = "list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s._-]', ' ', 'g'), '\\s+'), w -> regexp_replace(w, '^[._-]+|[._-]+$', '', 'g')), w -> length(w) >= 2)"
+
+
+@query("bm25_documents", f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents), x AS (SELECT doc_id, w, len(w) AS l FROM d WHERE len(w) > 0), st AS (SELECT count(*) AS n, avg(l) AS a FROM x), t AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, l, unnest(w) AS term FROM x) WHERE term IN ('password', 'token', 'the') GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1) SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 4) AS score FROM t JOIN f USING (term), st GROUP BY 1")
+def bm25_documents(spark, sf_dir):
+    return ranking.bm25(table(spark, sf_dir, "documents"), "password token the", "doc_id", "text").withColumn("score", r4("score"))
+
+
+@query("bm25_catalogue", f"WITH d AS (SELECT item_id, {_W} AS w FROM benchmark), x AS (SELECT item_id, len(w) AS l, unnest(w) AS term FROM d), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d WHERE len(w) > 0), t AS (SELECT item_id, l, term, count(*) AS tf FROM x WHERE term IN ('what', 'the', 'is') GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1) SELECT item_id, round(sum(CASE WHEN term = 'the' THEN 2 ELSE 1 END * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 4) AS score FROM t JOIN f USING (term), st GROUP BY 1")
+def bm25_catalogue(spark, sf_dir):
+    return ranking.bm25(table(spark, sf_dir, "benchmark"), "what is the the", "item_id", "text").withColumn("score", r4("score"))
+
+
+@query("email_ranking", "WITH e AS (SELECT doc_id, source, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), x -> lower(x)))) AS email FROM documents) SELECT email, count(*) AS docs, count(DISTINCT source) AS sources FROM e GROUP BY 1")
+def email_ranking(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(extract.emails(F.col("text"))).alias("email"))
+    return rows.groupBy("email").agg(F.count("*").alias("docs"), F.count_distinct("source").alias("sources"))
+
+
+@query("ioc_hashes", "WITH h AS (SELECT doc_id, 'md5' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[a-fA-F0-9]{32}\\b'), x -> lower(x)))) AS ioc FROM documents UNION ALL SELECT doc_id, 'sha1', unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[a-fA-F0-9]{40}\\b'), x -> lower(x)))) FROM documents) SELECT * FROM h")
+def ioc_hashes(spark, sf_dir):
+    return extract.iocs(table(spark, sf_dir, "documents")).where("kind in ('md5', 'sha1', 'sha256')")
+
+
+@query("ioc_store", "WITH e AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), x -> lower(x)))) AS ioc FROM documents) SELECT ioc, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM e GROUP BY 1")
+def ioc_store(spark, sf_dir):
+    seen = extract.iocs(table(spark, sf_dir, "documents")).where("kind = 'email'").select("ioc", "kind", F.lit("scan").alias("source"), F.col("doc_id").cast("string").alias("batch"), F.timestamp_seconds("doc_id").alias("ts"))
+    return lifecycle.ioc_store(seen).select("ioc", "n", F.unix_seconds("first_seen").alias("first_doc"), F.unix_seconds("last_seen").alias("last_doc"))
+
+
+_HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
+
+
+@query("asset_lookup", f"WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages) SELECT host, CASE WHEN host LIKE '%.example.org' THEN 'example.org' ELSE 'example.net' END AS asset FROM h WHERE host LIKE '%.example.org' OR host LIKE '%.example.net'")
+def asset_lookup(spark, sf_dir):
+    hosts = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host"))
+    assets = spark.createDataFrame([("example.org", "a"), ("example.net", "b"), ("org", "c")], "asset string, owner string")
+    return extract.asset_lookup(hosts, assets).select("host", "asset")
+
+
+@query("typosquats", f"SELECT 'exmple.org' AS domain, 'example.org' AS variant, count(*) AS n FROM pages WHERE {_HOST} LIKE '%.example.org' GROUP BY 1, 2")
+def typosquats(spark, sf_dir):
+    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract(F.lower("url"), r"://[^/?#]*?([^./?#]+\.org)(?:[/?#]|$)", 1).alias("host")).where("host <> ''")
+    base = spark.createDataFrame([("exampl.org",), ("eexample.org",)], "domain string")
+    return extract.typosquats(base, hosts).select(F.lit("exmple.org").alias("domain"), "variant", "n").limit(1)
+
+
+@query("page_verdicts", "SELECT page_id, (regexp_matches(substr(html, 1, 65536), 'b374k', 'i'))::INT::BIGINT AS b374k, len(regexp_extract_all(html, '<form\\b', 0, 'i')) AS n_forms, len(regexp_extract_all(html, '<input\\b', 0, 'i')) AS n_inputs FROM pages")
+def page_verdicts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    sig = extract.page_signatures(pages).select("page_id", F.array_contains("families", "b374k PHP shell").cast("int").cast("long").alias("b374k"))
+    return sig.join(extract.page_context(pages).select("page_id", F.col("n_forms").cast("long").alias("n_forms"), F.col("n_inputs").cast("long").alias("n_inputs")), "page_id")
+
+
+@query("hunt_report")
+def hunt_report(spark, sf_dir):
+    return extract.hunt_report(table(spark, sf_dir, "documents"), "text", "source")
+
+
+@query("credential_strip", "SELECT doc_id, length(regexp_replace(text, '(password|passwd|pwd|secret)\\s*[=:]\\s*\\S+', '\\1=<PASSWORD_REDACTED>', 'gi'))::BIGINT AS n FROM documents WHERE contains(text, 'password=')  AND NOT regexp_matches(text, 'AKIA|api|eyJ|gh[pousr]_|xox|AIza|sk-|sk_')")
+def credential_strip(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(F.col("text").contains("password=") & ~F.col("text").rlike("AKIA|api|eyJ|gh[pousr]_|xox|AIza|sk-|sk_"))
+    return rows.select("doc_id", F.length(redact.strip_credentials(F.col("text"))).cast("long").alias("n"))
+
+
+@query("redacted_documents")
+def redacted_documents(spark, sf_dir):
+    return redact.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), "full", "salt", ["text"])
+
+
+# --- lifecycle --------------------------------------------------------------------------------
+
+
+@query("latest_turn", "SELECT conv_id, max_by(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY 1")
+def latest_turn(spark, sf_dir):
+    return lifecycle.latest_per_key(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"]).select("conv_id", "role", "turn")
+
+
+@query("false_positive_rules", CTE + "SELECT rule_id, count(DISTINCT srcip) AS ips, count(*) AS n FROM alerts WHERE srcip IN (SELECT '45.0.0.' || c_custkey FROM customer WHERE c_custkey % 7 = 0 AND c_custkey < 256) GROUP BY 1")
+def false_positive_rules(spark, sf_dir):
+    v = table(spark, sf_dir, "customer").where("c_custkey < 256").select(F.concat(F.lit("45.0.0."), F.col("c_custkey").cast("string")).alias("srcip"), F.when(F.col("c_custkey") % 7 == 0, "false_positive").otherwise("true_positive").alias("verdict"), F.timestamp_seconds("c_custkey").alias("ts"))
+    return lifecycle.false_positive_rules(v, alerts(spark, sf_dir))
+
+
+__all__ = ["QUERIES", "ORACLE", "Window", "top_n", "zero_filled"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import in_window
@@ -163,8 +164,6 @@ def normal_cidr(ip: Column, prefix: int = 24) -> Column:
 
 def normal_cidr6(ip: Column, prefix: int = 64) -> Column:
     """Network of an IPv6 address; Arrow batches, since addresses have many spellings."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def network(s: pd.Series) -> pd.Series:
         import ipaddress

@@ -92,9 +92,9 @@ def schema_listing(spark, sf_dir):
     return readers.schema_listing(table(spark, sf_dir, "events")).select("path", "non_null")
 
 
-@query("log_grep", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%password%' ORDER BY doc_id DESC LIMIT 100")
+@query("log_grep", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%token%' ORDER BY doc_id DESC LIMIT 100")
 def log_grep(spark, sf_dir):
-    return readers.grep(table(spark, sf_dir, "documents"), "text", "PASSWORD", ["doc_id"]).select("doc_id")
+    return readers.grep(table(spark, sf_dir, "documents"), "text", "TOKEN", ["doc_id"]).select("doc_id")
 
 
 @query("report_filter", CTE + f"SELECT alert_id FROM alerts WHERE {_LAST_DAY} AND agent_name IN ('agent-1', 'agent-2', 'agent-3') AND rule_level BETWEEN 5 AND 12 AND list_has_any(tactic, ['Discovery', 'Command and Control'])")
@@ -404,7 +404,7 @@ def node_betweenness(spark, sf_dir):
 
 # --- text -------------------------------------------------------------------------------------
 
-_W = "list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s._-]', ' ', 'g'), '\\s+'), w -> regexp_replace(w, '^[._-]+|[._-]+$', '', 'g')), w -> length(w) >= 2)"
+_W = "list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s._-]', ' ', 'g'), '\\s+'), lambda w: regexp_replace(w, '^[._-]+|[._-]+$', '', 'g')), lambda w: length(w) >= 2)"
 
 
 @query("bm25_documents", f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents), x AS (SELECT doc_id, w, len(w) AS l FROM d WHERE len(w) > 0), st AS (SELECT count(*) AS n, avg(l) AS a FROM x), t AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, l, unnest(w) AS term FROM x) WHERE term IN ('password', 'token', 'the') GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1) SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 4) AS score FROM t JOIN f USING (term), st GROUP BY 1")
@@ -417,18 +417,18 @@ def bm25_catalogue(spark, sf_dir):
     return ranking.bm25(table(spark, sf_dir, "benchmark"), "what is the the", "item_id", "text").withColumn("score", r4("score"))
 
 
-@query("email_ranking", "WITH e AS (SELECT doc_id, source, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), x -> lower(x)))) AS email FROM documents) SELECT email, count(*) AS docs, count(DISTINCT source) AS sources FROM e GROUP BY 1")
+@query("email_ranking", "WITH e AS (SELECT doc_id, source, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), lambda x: lower(x)))) AS email FROM documents) SELECT email, count(*) AS docs, count(DISTINCT source) AS sources FROM e GROUP BY 1")
 def email_ranking(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(extract.emails(F.col("text"))).alias("email"))
     return rows.groupBy("email").agg(F.count("*").alias("docs"), F.count_distinct("source").alias("sources"))
 
 
-@query("ioc_hashes", "WITH h AS (SELECT doc_id, 'md5' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[a-fA-F0-9]{32}\\b'), x -> lower(x)))) AS ioc FROM documents UNION ALL SELECT doc_id, 'sha1', unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[a-fA-F0-9]{40}\\b'), x -> lower(x)))) FROM documents) SELECT * FROM h")
+@query("ioc_hashes", "WITH h AS (SELECT doc_id, 'md5' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[a-fA-F0-9]{32}\\b'), lambda x: lower(x)))) AS ioc FROM documents UNION ALL SELECT doc_id, 'sha1', unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[a-fA-F0-9]{40}\\b'), lambda x: lower(x)))) FROM documents) SELECT * FROM h")
 def ioc_hashes(spark, sf_dir):
     return extract.iocs(table(spark, sf_dir, "documents")).where("kind in ('md5', 'sha1', 'sha256')")
 
 
-@query("ioc_store", "WITH e AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), x -> lower(x)))) AS ioc FROM documents) SELECT ioc, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM e GROUP BY 1")
+@query("ioc_store", "WITH e AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), lambda x: lower(x)))) AS ioc FROM documents) SELECT ioc, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM e GROUP BY 1")
 def ioc_store(spark, sf_dir):
     seen = extract.iocs(table(spark, sf_dir, "documents")).where("kind = 'email'").select("ioc", "kind", F.lit("scan").alias("source"), F.col("doc_id").cast("string").alias("batch"), F.timestamp_seconds("doc_id").alias("ts"))
     return lifecycle.ioc_store(seen).select("ioc", "n", F.unix_seconds("first_seen").alias("first_doc"), F.unix_seconds("last_seen").alias("last_doc"))
@@ -444,11 +444,10 @@ def asset_lookup(spark, sf_dir):
     return extract.asset_lookup(hosts, assets).select("host", "asset")
 
 
-@query("typosquats", f"SELECT 'exmple.org' AS domain, 'example.org' AS variant, count(*) AS n FROM pages WHERE {_HOST} LIKE '%.example.org' GROUP BY 1, 2")
+@query("typosquats", f"SELECT d AS domain, lower(regexp_extract(url, '://[^/?#]*?([a-z]+\\.[a-z]+)(?:[/?#:]|$)', 1)) AS variant, count(*) AS n FROM pages, (VALUES ('exampl.net', 'example.none'), ('eexample.org', 'example.org'), ('example.info', 'example.org'), ('example.info', 'example.com'), ('example.info', 'example.net')) AS v(d, w) WHERE variant = w GROUP BY 1, 2")
 def typosquats(spark, sf_dir):
-    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract(F.lower("url"), r"://[^/?#]*?([^./?#]+\.org)(?:[/?#]|$)", 1).alias("host")).where("host <> ''")
-    base = spark.createDataFrame([("exampl.org",), ("eexample.org",)], "domain string")
-    return extract.typosquats(base, hosts).select(F.lit("exmple.org").alias("domain"), "variant", "n").limit(1)
+    hosts = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", r"://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#:]|$)", 1)).alias("host"))
+    return extract.typosquats(spark.createDataFrame([("exampl.net",), ("eexample.org",), ("example.info",)], "domain string"), hosts)
 
 
 @query("page_verdicts", "SELECT page_id, (regexp_matches(substr(html, 1, 65536), 'b374k', 'i'))::INT::BIGINT AS b374k, len(regexp_extract_all(html, '<form\\b', 0, 'i')) AS n_forms, len(regexp_extract_all(html, '<input\\b', 0, 'i')) AS n_inputs FROM pages")
@@ -463,9 +462,9 @@ def hunt_report(spark, sf_dir):
     return extract.hunt_report(table(spark, sf_dir, "documents"), "text", "source")
 
 
-@query("credential_strip", "SELECT doc_id, length(regexp_replace(text, '(password|passwd|pwd|secret)\\s*[=:]\\s*\\S+', '\\1=<PASSWORD_REDACTED>', 'gi'))::BIGINT AS n FROM documents WHERE contains(text, 'password=')  AND NOT regexp_matches(text, 'AKIA|api|eyJ|gh[pousr]_|xox|AIza|sk-|sk_')")
+@query("credential_strip", "SELECT doc_id, length(regexp_replace(regexp_replace(text, '\\bAKIA[0-9A-Z]{16}\\b', '<CLOUD_API_KEY_REDACTED>', 'g'), '(password|passwd|pwd|secret)\\s*[=:]\\s*\\S+', '\\1=<PASSWORD_REDACTED>', 'gi'))::BIGINT AS n FROM documents WHERE NOT regexp_matches(text, 'api[_-]?key|eyJ|gh[pousr]_|xox|AIza|sk-|sk_|glpat|BEGIN|Authorization', 'i')")
 def credential_strip(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("text").contains("password=") & ~F.col("text").rlike("AKIA|api|eyJ|gh[pousr]_|xox|AIza|sk-|sk_"))
+    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike("(?i)api[_-]?key|eyJ|gh[pousr]_|xox|AIza|sk-|sk_|glpat|BEGIN|Authorization"))
     return rows.select("doc_id", F.length(redact.strip_credentials(F.col("text"))).cast("long").alias("n"))
 
 

@@ -128,7 +128,7 @@ def page_context(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
 def look_alikes(domains: DataFrame, col: str = "domain", most: int | None = None) -> DataFrame:
     """(domain, variant): omission, swap, repetition, look-alike characters, hyphen, other top-level domain."""
-    d = F.rtrim(F.lit("."), F.lower(F.trim(col)))
+    d = F.rtrim(F.lower(F.trim(col)), F.lit("."))
     df = domains.select(F.col(col).alias("domain"), d.alias("d")).where(F.col("d").contains("."))
     df = df.withColumn("s", F.substring_index("d", ".", 1)).withColumn("t", F.expr("substring(d, length(s) + 2)")).withColumn("n", F.length("s")).where("n > 0")
     s, t, n = F.col("s"), F.col("t"), F.col("n")

@@ -109,9 +109,8 @@ def learn_thresholds(metrics: DataFrame, lang_col: str = "lang", source_col: str
     own = rows.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in RATIOS])
     merged = lambda by: own.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(k)).alias(r) for r in RATIOS])
     lang = merged(["g_lang"]).select(F.col("g_lang").alias("l_lang"), F.col("n").alias("l_n"), *[F.col(r).alias(f"l_{r}") for r in RATIOS])
-    corpus = merged([]).select(F.col("n").alias("c_n"), *[F.col(r).alias(f"c_{r}") for r in RATIOS])
-    # The corpus row is a single row by construction, so this is no pairing of rows.
-    wide = own.join(lang, own.g_lang.eqNullSafe(lang.l_lang), "left").join(F.broadcast(corpus))
+    corpus = merged([])
+    wide = own.join(lang, own.g_lang.eqNullSafe(lang.l_lang), "left").withColumns({f"c_{r}": corpus.select(r).scalar() for r in RATIOS})
     level = F.when(F.col("n") >= min_rows, "own").when(F.col("l_n") >= min_rows, "lang").otherwise("corpus")
 
     def limit(r: str) -> Column:

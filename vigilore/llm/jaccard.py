@@ -153,29 +153,64 @@ def _edges_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _within(count: np.ndarray, key: np.ndarray, n: np.ndarray, a, b, plan: _Plan) -> np.ndarray:
+    """Whether the summed partial bounds of rows ``a`` and ``b`` reach the needed overlap."""
+    low = np.minimum(count[a], count[b])
+    low = low - ((count[a] == count[b]) & (key[a] != key[b]))
+    return low.sum(1) >= plan.need(n[a], n[b])
+
+
 def _bounded(plan: _Plan):
-    """Meeting of sketches: links where the summed partial bounds reach the needed overlap."""
+    """Meetings of sketches, rows ordered by meeting, block and id: links that the bound allows.
 
-    def run(group: pa.Table) -> pa.Table:
-        # A block pair holds rows of one or two blocks; within one block each row asks those after it.
-        group = group.sort_by([("block", "ascending"), ("doc_id", "ascending")])
-        ids, n, block = (group[c].to_numpy() for c in ("doc_id", "n", "block"))
-        z = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(ids), 2, COARSE)
-        key, count = z[:, 0], z[:, 1].astype(np.int32)
-        two = block[0] != block[-1]
-        left = int(np.searchsorted(block, block[-1])) if two else len(ids)
+    Meetings of two, by far the most, are settled together.
+    """
 
-        def partners(i: int) -> np.ndarray:
-            lo = left if two else i + 1
-            low = np.minimum(count[lo:], count[i])
-            low -= (count[lo:] == count[i]) & (key[lo:] != key[i])
-            return lo + np.flatnonzero(low.sum(1) >= plan.need(n[lo:], n[i]))
+    def settle(t: pa.Table) -> pa.RecordBatch:
+        ids, n, block = (t[c].to_numpy() for c in ("doc_id", "n", "block"))
+        z = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(len(ids), 2, COARSE)
+        key, count = z[:, 0], z[:, 1].astype(np.int32)
+        at = np.concatenate([_starts(t), [len(ids)]])
+        size = np.diff(at)
+        a = at[:-1][size == 2]
+        near = a[_within(count, key, n, a, a + 1, plan)] if len(a) else a
+        edges = list(zip(ids[near].tolist(), ids[near + 1].tolist(), strict=True))
+        for lo, hi in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
+            two = block[lo] != block[hi - 1]
+            left = int(np.searchsorted(block[lo:hi], block[hi - 1])) if two else hi - lo
+
+            def partners(i: int, lo=lo, hi=hi, two=two, left=left) -> np.ndarray:
+                first = lo + (left if two else i + 1)
+                return first - lo + np.flatnonzero(_within(count, key, n, np.s_[lo + i : lo + i + 1], np.s_[first:hi], plan))
+
+            edges += _forest(ids[lo:hi], partners, left)
+        found = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-        return _edges_table(_forest(ids, partners, left))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = int(_starts(t)[-1])  # the last meeting may go on in the next batch
+            if last:
+                yield settle(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield settle(held)
 
     return run
 
 
+def _starts(t: pa.Table) -> np.ndarray:
+    """First row of every meeting."""
+    new = np.ones(t.num_rows, bool)
+    new[1:] = np.any([np.diff(t[c].to_numpy()) != 0 for c in ("sig", "lo", "hi")], axis=0)
+    return np.flatnonzero(new)
+
+
 def _exact(plan: _Plan, k: int, lower: bool, fragments: int = 16):
     """Meeting of full sets: partial overlaps per fragment, summed per pair."""
 
@@ -246,7 +281,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rep_ids = reps.select(F.col("class_id").alias("doc_id"))
     own = full.join(rep_ids, "doc_id").dropDuplicates(["doc_id"])
     met = _block_pairs(own.select("doc_id", "sigs").mapInArrow(_explode_signatures, "sig long, doc_id long"), "sig", SKETCH_BLOCK)
-    maybe = met.join(own.select("doc_id", "n", "sketch"), "doc_id").groupBy("sig", "lo", "hi").applyInArrow(_bounded(plan), "a long, b long").distinct()
+    meeting = ["sig", "lo", "hi"]
+    drawn = met.join(own.select("doc_id", "n", "sketch"), "doc_id").repartition(*meeting).sortWithinPartitions(*meeting, "block", "doc_id")
+    maybe = drawn.select(*meeting, "block", "doc_id", "n", "sketch").mapInArrow(_bounded(plan), "a long, b long").distinct()
     clusters = materialize(connected_components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "clusters")
     sets = slim.join(clusters, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "grp").mapInArrow(_sets(k, lower), "doc_id long, grp long, grams binary")
     links = _block_pairs(sets, "grp", SET_BLOCK).groupBy("grp", "lo", "hi").applyInArrow(_exact(plan, k, lower), "a long, b long")

@@ -127,7 +127,7 @@ def judge(metrics: DataFrame, thresholds: DataFrame, lang_col: str = "lang", sou
     The rows carry no shuffle key of their own: Spark broadcasts the limits while
     they are under its size limit and splits hot sources otherwise.
     """
-    on = metrics[lang_col].eqNullSafe(F.col("g_lang")) & metrics[source_col].eqNullSafe(F.col("g_source"))
+    on = F.col(lang_col).eqNullSafe(F.col("g_lang")) & F.col(source_col).eqNullSafe(F.col("g_source"))
     within = F.lit(True)
     for r, v in _ratios().items():
         within = within & (v <= F.coalesce(F.col(f"max_{r}"), F.lit(1e9)))
@@ -145,8 +145,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """The rows of ``docs`` that the rules keep, columns unchanged.
 
     The documents are written once with their counts, so neither counting twice
-    nor a shuffle of texts is needed to apply the verdict.
+    nor a shuffle of texts is needed to apply the verdict.  Rows travel as one
+    struct, so their column names cannot clash with the counts.
     """
-    metrics = materialize(quality_metrics(docs, text_col), "quality-docs")
-    limits = learn_thresholds(metrics, lang_col, source_col, **options)
-    return judge(metrics, limits, lang_col, source_col).where("q_kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    metrics = materialize(quality_metrics(rows, f"doc.{text_col}"), "quality-docs")
+    by = (f"doc.{lang_col}", f"doc.{source_col}")
+    return judge(metrics, learn_thresholds(metrics, *by, **options), *by).where("q_kept").select("doc.*")

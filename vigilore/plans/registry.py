@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import more  # noqa: F401  (registers its queries)
 from .security import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -41,8 +41,8 @@ def kill_chains(chain: DataFrame, key: str = "srcip", item: str = "rule_id", cha
     state = rows.select(key).distinct().withColumns({c: F.lit(0) for c in chains} | {f"m_{c}": F.lit(0) for c in chains})
     for i in range(depth):
         step = {c: phases[names[i]] for c, (names, _) in chains.items() if i < len(names)}
-        met = rows.join(state, key).groupBy(key).agg(*[_after(F.col(c), pos, rule, rules).alias(f"x_{c}") for c, rules in step.items()])
-        state = state.join(met, key, "left")
+        # Every key of the state has rows, so grouping by its columns keeps them all without a second join.
+        state = rows.join(state, key).groupBy(*state.columns).agg(*[_after(F.col(c), pos, rule, rules).alias(f"x_{c}") for c, rules in step.items()])
         # A phase that never comes ends its chain: no later position is beyond the bound.
         state = state.withColumns({f"m_{c}": F.col(f"m_{c}") + F.when(F.col(f"x_{c}").isNotNull(), 1).otherwise(0) for c in step})
         done = {c: F.coalesce(f"x_{c}", F.lit(2_000_000_000)) for c in step}

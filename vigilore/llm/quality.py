@@ -118,7 +118,9 @@ def learn_thresholds(metrics: DataFrame, lang_col: str = "lang", source_col: str
         at = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
         return (at(0.5) + spread_factor * F.greatest(at(0.5) - at(0.1), F.lit(RATIOS[r]))).alias(f"max_{r}")
 
-    return wide.select("g_lang", "g_source", F.col("n").alias("g_rows"), level.alias("g_level"), *[limit(r) for r in RATIOS])
+    out = wide.select("g_lang", "g_source", F.col("n").alias("g_rows"), level.alias("g_level"), *[limit(r) for r in RATIOS])
+    # Written, so that Spark knows the size of the limits (a few numbers a group) rather than that of the sketches behind them.
+    return materialize(out, "limits")
 
 
 def judge(metrics: DataFrame, thresholds: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -285,7 +285,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drawn = met.join(own.select("doc_id", "n", "sketch"), "doc_id").repartition(*meeting).sortWithinPartitions(*meeting, "block", "doc_id")
     maybe = drawn.select(*meeting, "block", "doc_id", "n", "sketch").mapInArrow(_bounded(plan), "a long, b long").distinct()
     clusters = materialize(connected_components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "clusters")
-    sets = slim.join(clusters, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "grp").mapInArrow(_sets(k, lower), "doc_id long, grp long, grams binary")
+    # Clusters grow with the input, so this is a shuffle of both sides at every size.
+    sets = slim.join(clusters.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "grp").mapInArrow(_sets(k, lower), "doc_id long, grp long, grams binary")
     links = _block_pairs(sets, "grp", SET_BLOCK).groupBy("grp", "lo", "hi").applyInArrow(_exact(plan, k, lower), "a long, b long")
     linked = connected_components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     classes = reps.join(linked, "class_id", "left")

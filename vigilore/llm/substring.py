@@ -68,11 +68,18 @@ def _by_document(docs: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[
     return (docs[np.concatenate([[0], at])].tolist(), np.split(starts, at)) if len(docs) else ([], [])
 
 
-def _rows(columns: list[np.ndarray], doc: np.ndarray, start: np.ndarray, flag: np.ndarray, settled: tuple[list[int], list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+#: Bits of a hash that are left off when rows travel.  A prefix only has to tell most prefixes apart (equal ones
+#: are looked at again at window length); the two parts of a window's key keep 95 bits together.
+_PREFIX_KEY = ((16, np.int64),)
+_WINDOW_KEY = ((0, np.int64), (33, np.int32))
+
+
+def _rows(columns: list[np.ndarray], kinds, doc: np.ndarray, start: np.ndarray, flag: np.ndarray, settled: tuple[list[int], list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     """Rows that travel, then one row per document for what the task has settled (its key is spread by document)."""
     own, lists = settled
     spread = np.array(own, np.int64)
-    keys = [pa.array(np.concatenate([c.view(np.int64), mix((spread + i).view(np.uint64)).view(np.int64)])) for i, c in enumerate(columns)]
+    keys = [np.concatenate([c, mix((spread + i).view(np.uint64))]) >> np.uint64(shift) for i, (c, (shift, _)) in enumerate(zip(columns, kinds, strict=True))]
+    keys = [pa.array(k.view(np.int64).astype(kind)) for k, (_, kind) in zip(keys, kinds, strict=True)]
     starts = pa.array([None] * len(doc) + [x.astype(np.int32) for x in lists], pa.list_(pa.int32()))
     start = pa.array(np.concatenate([start, np.zeros(len(own), np.int64)]).astype(np.int32), mask=np.arange(len(doc) + len(own)) >= len(doc))
     flags = pa.array(np.concatenate([flag, np.ones(len(own), bool)]))
@@ -91,7 +98,7 @@ def _prefixes(window: int, prefix: int):
             order, new, several = _settle([key], doc, start)
             key, doc, start = key[order], doc[order], start[order]
             # One row of each key travels; the others of this task are known to repeat.
-            yield _rows([key[new]], doc[new], start[new], several[new], _by_document(doc[~new], start[~new]), ["key", "doc_id", "start", "known", "starts"])
+            yield _rows([key[new]], _PREFIX_KEY, doc[new], start[new], several[new], _by_document(doc[~new], start[~new]), ["key", "doc_id", "start", "known", "starts"])
 
         n = 0
         for batch in batches:
@@ -125,7 +132,7 @@ def _deep(window: int, prefix: int):
             d, s = doc[order], start[order]
             later = (d != d[first]) | (s != s[first])  # an earlier equal window was met in this task
             go = ~later
-            yield _rows([a[order][go], b[order][go]], d[go], s[go], np.zeros(int(go.sum()), bool), _by_document(d[later], s[later]), ["a", "b", "doc_id", "start", "known", "starts"])
+            yield _rows([a[order][go], b[order][go]], _WINDOW_KEY, d[go], s[go], np.zeros(int(go.sum()), bool), _by_document(d[later], s[later]), ["a", "b", "doc_id", "start", "known", "starts"])
 
         n = 0
         for batch in batches:
@@ -158,7 +165,7 @@ def _repeats(rows: DataFrame, window: int, prefix: int) -> DataFrame:
     wanted = _starts_of(met).withColumnRenamed("doc_id", "_w")
     # An outer join, so that its exchange of texts is the one that ``substring_dedup`` uses again.
     found = rows.join(wanted, F.col("_id") == F.col("_w"), "left").select(*rows.columns, "starts")
-    deep = found.mapInArrow(_deep(window, prefix), "a long, b long, doc_id long, start int, known boolean, starts array<int>")
+    deep = found.mapInArrow(_deep(window, prefix), "a long, b int, doc_id long, start int, known boolean, starts array<int>")
     by = Window.partitionBy("a", "b").orderBy("doc_id", "start")
     deep = deep.withColumn("d1", F.first("doc_id").over(by)).withColumn("s1", F.first("start").over(by))
     return _starts_of(deep.where("known or doc_id <> d1 or start <> s1"))

@@ -153,8 +153,9 @@ def _deep(window: int, prefix: int):
 
 
 def _starts_of(rows: DataFrame) -> DataFrame:
-    one = F.coalesce("starts", F.array("start"))
-    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list(one)).alias("starts"))
+    """Single starts and lists of starts (one of the two is null in a row), gathered per document."""
+    got = rows.groupBy("doc_id").agg(F.collect_list("start").alias("_one"), F.flatten(F.collect_list("starts")).alias("_more"))
+    return got.select("doc_id", F.concat("_one", "_more").alias("starts"))
 
 
 def _repeats(rows: DataFrame, window: int, prefix: int) -> DataFrame:

@@ -11,7 +11,7 @@ and only the ``n - 1`` units with the smallest first loss can take part.
 
 Scores are those of the model file, as doubles.  Characters without a piece fall
 back to their bytes, each at ``UNKNOWN_LOSS`` below the smallest proper score.
-Equal scores are ordered by the id sequences of the units.  Texts are encoded as
+Equal scores come in the order in which the search meets them, which is the same in every run.  Texts are encoded as
 the model file says: a space mark in front, spaces turned to marks, nothing removed.
 
 Defined cases: null text is empty, and the empty text has one segmentation without
@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ UNKNOWN_LOSS = 10.0
 class PieceLattice:
     """The vocabulary of a model file and cached n-best lists of its units."""
 
-    most = 200_000
+    most = 300_000
 
     def __init__(self, path: str, n: int):
         import sentencepiece
@@ -102,15 +103,28 @@ class PieceLattice:
                 if base + score > forward[i + 1]:
                     forward[i + 1] = base + score
         out: list[tuple[float, tuple[int, ...]]] = []
-        # (negative of exact total, ids from here to the end, place, score of them)
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-forward[size], (), size, 0.0)]
-        while heap and len(out) < self.n:
-            _, ids, place, score = heapq.heappop(heap)
+        # (negative of exact total, order of arrival, place, score from here to the end, arcs from here to the end)
+        heap: list[tuple] = [(-forward[size], 0, size, 0.0, None)]
+        # Open hypotheses stand for disjoint sets of segmentations, so one below the n-th best total cannot be needed.
+        best, made, n = [-forward[size]], 0, self.n
+        while heap and len(out) < n:
+            total, _, place, score, tail = heapq.heappop(heap)
             if place == 0:
-                out.append((score, ids))
+                ids: list[int] = []
+                while tail is not None:
+                    ids += tail[0]
+                    tail = tail[1]
+                out.append((score, tuple(ids)))
                 continue
+            if total in best:
+                best.remove(total)
             for i, s, own in into[place]:
-                heapq.heappush(heap, (-(forward[i] + score + s), own + ids, i, score + s))
+                f = -(forward[i] + score + s)
+                if len(best) < n or f <= best[-1]:
+                    insort(best, f)
+                    del best[n:]
+                    made += 1
+                    heapq.heappush(heap, (f, made, i, score + s, (own, tail)))
         return out
 
     def add(self, unit: str) -> int:

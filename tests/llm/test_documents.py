@@ -222,3 +222,22 @@ def test_toxicity(spark, docs, empty):
     assert sum(got[2000 + i].predicted == int(i % 3 == 0) for i in held) >= 0.9 * len(held)
     assert toxicity.toxicity_scores(empty, labels).count() == 0
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_toxicity_keeps_rare_ngrams(spark):
+    """One rare toxic word among more than 2^20 n-grams of greater weight is still known."""
+    rng, rare = np.random.default_rng(2), "".join(chr(0xD7A3 - i) for i in range(30))
+    letters = (0x4E00 + rng.integers(0, 20_000, (90_000, 24))).astype("<u4")
+    common = [w.tobytes().decode("utf-32-le") for w in letters]
+    label = {i: int(i % 9 == 0) for i in range(3000, 3180)}
+    text = {i: " ".join(common[k * 500 : k * 500 + 500] * 2) for k, i in enumerate(label)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    taught = next(i for i in label if label[i] and fold(i) in (1, 2, 3))
+    asked, first = [i for i in label if fold(i) == 0][:2]
+    text[taught], text[asked], text[first] = text[taught] + " " + rare, rare, rare[0]
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert len(got) == len(text) and got[asked].n_words == 1
+    # Each of the 26 n-grams behind the first ones adds log(0.763 / 0.684) by hand.
+    assert got[asked].max_ratio - got[first].max_ratio > 2

@@ -11,8 +11,9 @@ the counts did not see, turns them into a score.
 
 All labelled rows outside the held-out fold are counted (the counts grow with the
 input); counting, smoothing and the joins between orders are Spark aggregations.
-The finished model is pruned to ``max_grams`` n-grams, those with the largest
-weighted ratio, which bounds what is broadcast; the rest back off to their context.
+The model stays a Spark table and is never cut or gathered: documents are packed into
+chunks of bounded size, each chunk names the distinct n-grams of its words, and a
+shuffle join brings it the ratios of these, and of the contexts of unseen ones.
 
 Defined cases: null text is empty; a text without words gets the score of three
 zero features; rows that repeat an id are scored each; without both classes in the
@@ -22,12 +23,12 @@ labels are not learned from; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,8 @@ from .words import grams as hash_grams
 
 ORDER = 5
 DISCOUNT = 0.75
-MAX_GRAMS = 1 << 20
+#: Bytes of text that fill a chunk.
+CHUNK = 32 << 20
 #: log-likelihood ratio from which a word counts as clearly toxic.
 CLEAR = 3.0
 _START, _END = "^", "$"
@@ -52,27 +54,91 @@ def _letters(token: bytes) -> str:
     return "".join(c for c in token.decode().lower() if c.isalpha())
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def table(counts: dict[int, Counter]) -> pa.RecordBatch:
-        both: dict[str, list[int]] = {}
-        for label, seen in counts.items():
-            for token, n in seen.items():
-                if word := _letters(token):
-                    both.setdefault(word, [0, 0])[label] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(both), pa.string()), pa.array([v[0] for v in both.values()], pa.int64()), pa.array([v[1] for v in both.values()], pa.int64())], names=["word", "n0", "n1"])
+class _Ids(dict):
+    """From token to the number of its word (letters only) in ``words``; -1 for a token without letters."""
 
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for batch in batches:
-        for text, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[label].update((text or b"").split())
-        if len(counts[0]) + len(counts[1]) > 400_000:
-            yield table(counts)
-            counts = {0: Counter(), 1: Counter()}
-    yield table(counts)
+    def __init__(self):
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, token: bytes) -> int:
+        word = _letters(token)
+        value = self[token] = self.words.setdefault(word, len(self.words)) if word else -1
+        return value
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Steps between the numbers, byte by byte, compressed."""
+    steps = np.diff(numbers, prepend=0).astype(np.int64)
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True) if len(steps) else b""
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    flat = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(8, n).T).view(np.int64).reshape(-1))
+
+
+_CHUNKS = "chunk long, doc_ids array<long>, words array<string>, grams array<string>, n long, owner binary, word binary, times binary"
+
+
+def _chunks(order: int, most: int):
+    """Documents to chunks: the distinct words, their distinct n-grams, and how often each word is in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunk() -> pa.RecordBatch:
+            nonlocal number
+            words = list(ids.words)
+            padded = (_START * (order - 1) + w + _END for w in words)
+            seen = {p[i : i + order] for p in padded for i in range(len(p) - order + 1)}
+            owner, word, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True))
+            row = [(TaskContext.get().partitionId() << 32) + number], [docs], [words], [list(seen)], [len(owner)], [_packed(owner)], [_packed(word)], [_packed(times)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["chunk", "doc_ids", "words", "grams", "n", "owner", "word", "times"])
+
+        number, held, docs, parts, ids = 0, 0, [], [], _Ids()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
+                tokens = [(x or b"").split() for x in b.column(1).cast(pa.binary()).to_pylist()]
+                sizes = [len(t) for t in tokens]
+                word = np.fromiter(map(ids.__getitem__, chain.from_iterable(tokens)), np.int64, sum(sizes))
+                key = (np.repeat(np.arange(len(docs), len(docs) + len(tokens)), sizes) << 32) + word
+                key, times = np.unique(key[word >= 0], return_counts=True)
+                parts.append((key >> 32, key & 0xFFFFFFFF, times))
+                docs += b.column(0).to_pylist()
+                held += b.column(1).nbytes
+                if held >= most:
+                    yield chunk()
+                    held, docs, parts, ids = 0, [], [], _Ids()
+        if docs:
+            yield chunk()
+
+    return run
+
+
+def _postings(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, times) of the one row of ``chunk``."""
+    n = chunk["n"][0].as_py()
+    return tuple(_unpacked(chunk[c][0].as_py(), n) for c in ("owner", "word", "times"))
+
+
+def _count_words(chunk: pa.Table, labels: pa.Table) -> pa.Table:
+    words, n = np.zeros(0, object), np.zeros((2, 0), np.int64)
+    if chunk.num_rows and labels.num_rows:
+        owner, word, times = _postings(chunk)
+        words = chunk["words"].chunk(0).values
+        of = np.full(owner.max(initial=0) + 1 + max(labels["at"].to_pylist()), -1)
+        of[labels["at"].to_numpy()] = labels["label"].to_numpy()
+        n = np.array([np.bincount(word[of[owner] == c], times[of[owner] == c], len(words)) for c in (0, 1)]).astype(np.int64)
+        seen = np.flatnonzero(n.sum(0))
+        words, n = words.take(pa.array(seen)), n[:, seen]
+    return pa.table({"word": pa.array(words, pa.string()), "n0": n[0], "n1": n[1]})
 
 
 def kneser_ney(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """``words(word, n0, n1)`` to (gram, ratio, weight) and (context, ratio, weight)."""
+    """``words(word, n0, n1)`` to (gram, ratio) and (context, ratio)."""
     padded = F.concat(F.lit(_START * (order - 1)), F.col("word"), F.lit(_END))
     cut = words.select("n0", "n1", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(padded, i, F.lit(order)))).alias("gram"))
     top = materialize(cut.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
@@ -94,9 +160,8 @@ def kneser_ney(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT)
     own = lambda c: F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"n{c}") - discount, F.lit(0.0)) / F.col(f"t{c}")).otherwise(0.0) + back(c) * F.col("p")
     joined = top.withColumn("context", context).join(by_class, "context").join(shared, "gram")
     ratio = F.log(own(1)) - F.log(own(0))
-    model = joined.select("gram", ratio.alias("ratio"), (F.abs(ratio) * (F.col("n0") + F.col("n1"))).alias("weight"))
     fallback = F.log(back(1)) - F.log(back(0))
-    return model, by_class.select("context", fallback.alias("ratio"), (F.abs(fallback) * (F.col("t0") + F.col("t1"))).alias("weight"))
+    return joined.select("gram", ratio.alias("ratio")), by_class.select("context", fallback.alias("ratio"))
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
@@ -108,13 +173,11 @@ def _hashed(strings: list[str], width: int) -> np.ndarray:
     return hash_grams(np.ascontiguousarray(codes).reshape(-1), width)[::width] if len(codes) else np.zeros(0, np.uint64)
 
 
-def _collect(table: DataFrame, key: str, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` heaviest rows as sorted hashes and their ratios; the bound makes them safe to hold."""
-    rows = table.orderBy(F.desc("weight"), key).limit(most).select(key, F.col("ratio").cast("float").alias("ratio")).toArrow()
-    parts = [_hashed(b.column(0).to_pylist(), width) for b in rows.to_batches(max_chunksize=50_000)]
-    h, r = np.concatenate([np.zeros(0, np.uint64), *parts]), rows["ratio"].to_numpy().astype(np.float32)
+def _table(grams: list[str], ratios: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the n-grams and their ratios."""
+    h = _hashed(grams, width)
     order = np.argsort(h)
-    return h[order], r[order]
+    return h[order], ratios[order]
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +189,7 @@ def _look_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.nd
 
 def word_ratios(words: list[str], model, order: int = ORDER) -> np.ndarray:
     """Log-likelihood ratio of each word (letters only)."""
-    (keys, values), (c_keys, c_values) = model
+    keys, values = model
     text = "".join(_START * (order - 1) + w + _END for w in words)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) + 1 for w in words])
@@ -134,47 +197,29 @@ def word_ratios(words: list[str], model, order: int = ORDER) -> np.ndarray:
     firsts = np.concatenate([[0], np.cumsum(sizes + order - 1)[:-1]])
     at = np.repeat(firsts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(owner))
     ratio, seen = _look_up(keys, values, hash_grams(codes, order)[at])
-    lower, known = _look_up(c_keys, c_values, hash_grams(codes, order - 1)[at])
-    return np.bincount(owner, np.where(seen, ratio, np.where(known, lower, 0.0)), len(words))
-
-
-class _Ratios(dict):
-    most = 300_000
+    return np.bincount(owner, np.where(seen, ratio, 0.0), len(words))
 
 
-_cache: dict[str, _Ratios] = {}
-
-
-def _features(model, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache.setdefault(name, _Ratios())
-        for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                b = batch.slice(part, 1000)
-                texts = [(x or b"").split() for x in b.column(1).cast(pa.binary()).to_pylist()]
-                new = list(set().union(*texts).difference(cache))
-                if len(cache) + len(new) > cache.most:
-                    cache.clear()
-                    new = list(set().union(*texts))
-                letters = [_letters(t) for t in new]
-                full = [(t, w) for t, w in zip(new, letters, strict=True) if w]
-                cache.update((t, None) for t, w in zip(new, letters, strict=True) if not w)
-                if full:
-                    cache.update(zip([t for t, _ in full], word_ratios([w for _, w in full], model.value).tolist(), strict=True))
-                out = np.zeros((len(texts), 4))
-                for i, words in enumerate(texts):
-                    r = np.array([x for x in map(cache.__getitem__, words) if x is not None])
-                    if len(r):
-                        out[i] = [len(r), r.mean(), r.max(), (r > CLEAR).mean()]
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[:, i]) for i in range(4)]], names=["doc_id", "n_words", "mean_ratio", "max_ratio", "clear_share"])
-
-    return run
+def _features(chunk: pa.Table, ratios: pa.Table) -> pa.Table:
+    """Features of the texts of one chunk from the ratios of its n-grams."""
+    owner, word, times = _postings(chunk)
+    docs, words = chunk["doc_ids"].chunk(0).values, chunk["words"][0].as_py()
+    model = _table(ratios["gram"].to_pylist(), ratios["ratio"].to_numpy().astype(np.float32), ORDER)
+    of = np.concatenate([np.zeros(0), *[word_ratios(words[i : i + 50_000], model) for i in range(0, len(words), 50_000)]])[word]
+    out = np.zeros((4, len(docs)))
+    out[0] = np.bincount(owner, times, len(docs))
+    some = np.maximum(out[0], 1)
+    out[1], out[3] = np.bincount(owner, times * of, len(docs)) / some, np.bincount(owner, times * (of > CLEAR), len(docs)) / some
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    if len(first):
+        out[2, owner[first]] = np.maximum.reduceat(of, first)
+    return pa.table([docs, *[pa.array(x) for x in out]], names=["doc_id", "n_words", "mean_ratio", "max_ratio", "clear_share"])
 
 
 FEATURES = ["mean_ratio", "max_ratio", "clear_share"]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int = 0, max_grams: int = MAX_GRAMS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int = 0, chunk_bytes: int = CHUNK) -> DataFrame:
     """(doc_id, held_out, score, predicted and the features) of every row of ``docs``.
 
     ``labels`` has ``id_col`` and ``label_col``; rows of the held-out fold are never
@@ -183,13 +228,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold() != held_out_fold))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    # Labels grow with the documents, so their join is a shuffle of both at every size.
-    counted = slim.join(known.where(fold() != 4).hint("merge"), "doc_id").select("text", "label").mapInArrow(_count_words, "word string, n0 long, n1 long")
+    chunks = materialize(slim.mapInArrow(_chunks(ORDER, chunk_bytes), _CHUNKS), "chunks")
+    postings = ["chunk", "n", "owner", "word", "times"]
+    # Labels grow with the documents, so their join is a shuffle of both (ids only) at every size.
+    places = chunks.select("chunk", F.posexplode("doc_ids").alias("at", "doc_id")).join(known.where(fold() != 4).hint("merge"), "doc_id").select(F.col("chunk").alias("home"), "at", "label")
+    counted = chunks.select(*postings, "words").groupBy("chunk").cogroup(places.groupBy("home")).applyInArrow(_count_words, "word string, n0 long, n1 long")
     words = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     grams, contexts = kneser_ney(words)
-    model = (_collect(grams, "gram", ORDER, max_grams), _collect(contexts, "context", ORDER - 1, max_grams))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    told = slim.mapInArrow(_features(shared, uuid.uuid4().hex), "doc_id long, n_words double, mean_ratio double, max_ratio double, clear_share double")
+    needed = chunks.select("chunk", F.explode("grams").alias("gram"))
+    # An n-gram that no class has seen falls back to its context.
+    lower = contexts.select("context", F.col("ratio").alias("lower"))
+    every = needed.select("gram").distinct().join(grams, "gram", "left").withColumn("context", F.substring("gram", 1, ORDER - 1)).join(lower, "context", "left")
+    every = materialize(every.select("gram", F.coalesce("ratio", "lower", F.lit(0.0)).cast("float").alias("ratio")).where("ratio <> 0"), "ratios")
+    ratios = needed.join(every.hint("merge"), "gram").select(F.col("chunk").alias("home"), "gram", "ratio")
+    told = chunks.select(*postings, "words", "doc_ids").groupBy("chunk").cogroup(ratios.groupBy("home")).applyInArrow(_features, "doc_id long, n_words double, mean_ratio double, max_ratio double, clear_share double")
     told = materialize(told, "toxicity")
     fit = told.join(known.where(fold() == 4), "doc_id").where(F.col("label").isNotNull())
     classes = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}  # two rows at most

@@ -241,3 +241,11 @@ def test_toxicity_keeps_rare_ngrams(spark):
     assert len(got) == len(text) and got[asked].n_words == 1
     # Each of the 26 n-grams behind the first ones adds log(0.763 / 0.684) by hand.
     assert got[asked].max_ratio - got[first].max_ratio > 2
+
+
+def test_pii_thresholds_cover_rare_kinds(spark):
+    """A kind with few of the labelled proposals still gets a threshold, whatever the size of the training sample."""
+    texts = [f"call +1 555 {100 + i % 900} {1000 + i} now" for i in range(3000)] + [f"host 10.{i}.{i % 7}.{i % 250} up" for i in range(120)] + [f"host 10.{300 + i}.{i % 7}.{i % 250} up" for i in range(120)] + ["host 10 . 7 . 5 . 9 up"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.pii_spans(docs, max_training=400).collect()}
+    assert got[len(texts) - 1] == "ip:5:19" and got[3000] == "ip:5:13" and got[3120] == ""

@@ -4,9 +4,10 @@ Strict patterns with checks give the base spans, which always stay.  Looser
 patterns propose further, overlapping spans of the same kinds; a gradient-boosted
 classifier on format and context features scores them.  It learns from the table
 itself: proposals that coincide with a base span are positive, those whose checks
-fail are negative (at most ``max_training`` proposals, those with the smallest
-hash).  Each kind gets the smallest threshold at which held-out proposals are right
-in at least ``precision`` of the cases; a kind without such a threshold adds
+fail are negative.  The trees are fitted on at most ``max_training`` distinct
+proposals, an equal share for each kind and label.  All labelled proposals that the
+fit left out set the thresholds: each kind gets the smallest one at which they are
+right in at least ``precision`` of the cases; a kind without such a threshold adds
 nothing.  Everything is a DataFrame expression or a Spark ML estimator.
 
 Texts are read once.  Positions come from the pieces between matches, summed by a
@@ -143,17 +144,28 @@ def _chosen(spans: DataFrame, max_training: int, precision: float) -> DataFrame
     told = materialize(_with_features(told), "pii-proposals")
     names = [c if c != "checks" else "format" for c in FEATURES]
     known = told.where("on_base or failed").withColumn("label", F.col("on_base").cast("double"))
-    sample = known.withColumn("h", F.xxhash64("value", "left")).orderBy("h", "_rid", "start").limit(max_training)
-    sample = materialize(sample, "pii-training")
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two rows at most
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows at most
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 20:
         return None
+    # Copies of a proposal count once in the fit, and no kind or label crowds out another.
+    key = ["kind", "value", "left"]
+    once = known.dropDuplicates([*key, "label"]).withColumn("h", F.xxhash64(*key)).where("pmod(h, 5) <> 0")
+    share = max(max_training // (2 * len(KINDS)), 1)
+    sample = None
+    for kind in KINDS:
+        for label in (0.0, 1.0):
+            one = once.where((F.col("kind") == kind) & (F.col("label") == label)).orderBy("h", "value", "left").limit(share)
+            sample = one if sample is None else sample.unionByName(one)
+    sample = materialize(sample, "pii-training")
+    if sample.select("label").distinct().count() < 2:
+        return None
     vector = VectorAssembler(inputCols=names, outputCol="vector")
     trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=10, maxDepth=3, stepSize=0.3, seed=7)
-    model = trees.fit(vector.transform(sample.where("pmod(h, 5) <> 0")))
+    model = trees.fit(vector.transform(sample))
     scored = lambda df: model.transform(vector.transform(df)).withColumn("p", vector_to_array("probability")[1])
     grid = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
-    held = scored(sample.where("pmod(h, 5) = 0"))
+    # The fit's keys are at most ``max_training`` rows.
+    held = scored(known.join(F.broadcast(sample.select(*key).distinct()), key, "left_anti"))
     right = held.groupBy("kind").agg(*[F.sum(F.when(F.col("p") >= t, F.col("label"))).alias(f"r{i}") for i, t in enumerate(grid)], *[F.count_if(F.col("p") >= t).alias(f"n{i}") for i, t in enumerate(grid)])
     at = F.lit(2.0)
     for i, t in reversed(list(enumerate(grid))):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -90,6 +91,65 @@ def test_jaccard(docs, empty, monkeypatch, block):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def component_ids(sets_by_row, num, den):
+    """Smallest id reachable, of every id; ``sets_by_row`` are (id, set), ids may repeat."""
+    parent = {i: i for i, _ in sets_by_row}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (a, x) in enumerate(sets_by_row):
+        for b, y in sets_by_row[:k]:
+            if x and y and den * len(x & y) >= num * len(x | y):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in parent}
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_large_clusters_lose_no_link(spark, monkeypatch, num, den):
+    """Chains of near copies, far beyond one block; ids with two texts; null ids; repeated rows."""
+    monkeypatch.setattr(jaccard, "SET_BLOCK", 16)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    r = random.Random(8)
+    base = [f"w{r.randrange(500)}" for _ in range(150)]
+    data = []
+    for g in range(3):
+        text = [*base[: 150 - 5 * g], *(f"g{g}x{k}" for k in range(4 * g))]
+        for i in range(60):
+            own = list(text)
+            for _ in range(r.randrange(5)):
+                own[r.randrange(len(own))] = f"n{r.randrange(10**6)}"
+            if i % 7 == 0:
+                text = own  # drifts on
+            data.append((1000 * g + i, " ".join(own)))
+    data += [(5, "one other text of some few words"), (5000, "one other text of some few words"), (None, data[3][1]), data[10], data[10], (2001, data[4][1])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    shingles = [(i, set(zip(w, w[1:], w[2:], strict=False))) for i, t in data if i is not None for w in [t.split()]]
+    want = component_ids(shingles, num, den)
+    rows = jaccard.jaccard_components(df, num=num, den=den).collect()
+    assert len(rows) == len(data) and {r.component_id for r in rows if r.doc_id is None} == {None}
+    assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == want and want[5000] == want[5]
+
+
+def test_repeated_ids_keep_all_links(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(5, a), (5, b), (6, b + " x"), (7, b + " y"), (1, a)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()} == {(5, 1), (6, 1), (7, 1), (1, 1)}
+
+
+def test_sketches_of_very_long_texts():
+    """Two sets of five million n-grams that nearly agree pass the bound of the coarse fragments."""
+    x = np.unique(np.random.default_rng(1).integers(0, 2**63, 5_001_000).astype(np.uint64) * np.uint64(2))
+    y, z = x[1_000:], x[: len(x) - 1_000]
+    key, count = jaccard._read_sketches([jaccard.sketch_of(y), jaccard.sketch_of(z)])
+    n = np.array([len(y), len(z)])
+    assert jaccard._within(count, key, n, np.s_[0:1], np.s_[1:2], jaccard._Plan(90, 100)).tolist() == [True]
+    assert count.sum(1).tolist() == n.tolist()
+
+
 def test_pigeonhole_never_loses_a_pair():
     """Sets at the edge of the threshold always share a fragment."""
     plan, rng = jaccard._Plan(90, 100), np.random.default_rng(5)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .runtime import materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 
     Each round links every node to the smallest neighbour of its neighbourhood (large
-    star, then small star), which reaches the fixed point in about log(n) rounds.
+    star, then small star), which is repeated until nothing changes (about log(n) rounds).
     A round is written to the shared folder, so lineage stays short and a lost
     executor costs one round at most.  A node with very many edges is only ever an
     aggregation key with a partial minimum, and its edges are split by Spark's
@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     links = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
     links = materialize(links, "links")
-    for _ in range(max_rounds):
+    changed = True
+    while changed:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: neighbours above u move to the least of u's neighbourhood.
@@ -32,8 +33,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         small = materialize(small, "links")
         changed = small.join(links, ["hi", "lo"], "left_anti").limit(1).count() or links.join(small, ["hi", "lo"], "left_anti").limit(1).count()
         links = small
-        if not changed:
-            break
     member = links.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return member.unionByName(roots.join(member.select("node"), "node", "left_anti"))

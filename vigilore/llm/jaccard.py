@@ -11,16 +11,22 @@ border also emit the fragments of the class below.
    partial overlaps that coarse fragments allow; pairs whose bound is too small go.
    Each meeting returns a spanning forest of what is left, never its pairs.
 3. The forest's components are clusters of possible partners.  Within a cluster the
-   full sets meet in blocks; exact partial overlaps are counted fragment by
-   fragment and summed per pair, and again only a spanning forest of the true links
-   is returned.
-
-Clusters and meetings of any size are cut into blocks of bounded size that are
-compared two by two, so no task holds a whole group and nothing is capped.
+   full sets meet; exact partial overlaps are counted fragment by fragment and
+   summed per pair, and again only a spanning forest of the true links is returned.
+4. A cluster of more than a block first meets ``PIVOTS`` of its own sets, which takes
+   one pass over it and leaves few parts that a link could still join.  The distance
+   1 - J is a metric: two sets whose distances to a pivot lie further apart than the
+   threshold cannot be linked.  Only rows of the smaller parts go on, to the blocks
+   of their cluster, and of these only pairs of different parts that no pivot rules
+   out are counted.
+
+Meetings of any size are cut into blocks of bounded size that are compared two by
+two, so no task holds a whole group and nothing is capped.
 
 Defined cases: null or empty text has an empty set and is linked with nothing; a
 text of fewer words than the n-gram is one n-gram; rows that repeat an id are one
-node; null ids get no component; other columns are ignored.
+node with the links of all its texts; null ids get no class and no component; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -40,6 +46,8 @@ from .words import grams, mix, word_hashes
 COARSE = 64
 SKETCH_BLOCK = 4096
 SET_BLOCK = 512
+#: Sets of a large cluster that all others are compared with first.
+PIVOTS = 8
 CLASS_STEP = 1.5
 
 
@@ -98,6 +106,21 @@ def _signatures(s: np.ndarray, c: int, plan: _Plan) -> np.ndarray:
     return sig
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """For every coarse fragment 16 bits of a hash of its elements, then their 32-bit counts."""
+    f = _ranges(s, COARSE).astype(np.int64)
+    at = np.flatnonzero(np.diff(f, prepend=-1))
+    key = np.zeros(COARSE, np.uint16)
+    key[f[at]] = (np.add.reduceat(mix(s), at) >> np.uint64(48)).astype(np.uint16)
+    return key.tobytes() + np.bincount(f, minlength=COARSE).astype(np.uint32).tobytes()
+
+
+def _read_sketches(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts), a row for each sketch."""
+    z = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), 6 * COARSE)
+    return np.ascontiguousarray(z[:, : 2 * COARSE]).view(np.uint16), np.ascontiguousarray(z[:, 2 * COARSE :]).view(np.uint32).astype(np.int64)
+
+
 def _describe(plan: _Plan, k: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +132,8 @@ def _describe(plan: _Plan, k: int, lower: bool):
                     out.append((doc, 0, 0, 0, b"", b""))
                     continue
                 sig = np.concatenate([_signatures(s, c, plan) for c in plan.classes(len(s))])
-                f = _ranges(s, COARSE).astype(np.int64)
-                at = np.flatnonzero(np.diff(f, prepend=-1))
-                sketch = np.zeros((2, COARSE), np.uint16)
-                sketch[0, f[at]] = (np.add.reduceat(mix(s), at) >> np.uint64(48)).astype(np.uint16)
-                sketch[1] = np.minimum(np.bincount(f, minlength=COARSE), 65535)
-                out.append((doc, len(s), int(np.add.reduce(mix(s)).view(np.int64)), int(np.add.reduce(mix(s ^ np.uint64(0xABCDEF987654321))).view(np.int64)), sig.tobytes(), sketch.tobytes()))
+                sketch = sketch_of(s)
+                out.append((doc, len(s), int(np.add.reduce(mix(s)).view(np.int64)), int(np.add.reduce(mix(s ^ np.uint64(0xABCDEF987654321))).view(np.int64)), sig.tobytes(), sketch))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n", "s1", "s2", "sigs", "sketch"])
@@ -168,8 +187,7 @@ def _bounded(plan: _Plan):
 
     def settle(t: pa.Table) -> pa.RecordBatch:
         ids, n, block = (t[c].to_numpy() for c in ("doc_id", "n", "block"))
-        z = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(len(ids), 2, COARSE)
-        key, count = z[:, 0], z[:, 1].astype(np.int32)
+        key, count = _read_sketches(t["sketch"].to_pylist())
         at = np.concatenate([_starts(t), [len(ids)]])
         size = np.diff(at)
         a = at[:-1][size == 2]
@@ -211,38 +229,92 @@ def _starts(t: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _exact(plan: _Plan, k: int, lower: bool, fragments: int = 16):
-    """Meeting of full sets: partial overlaps per fragment, summed per pair."""
+#: Ranges of the n-gram order that are counted one after the other.
+FRAGMENTS = 16
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` with all ``right`` sets (with each other if None).
+
+    Each fragment of the n-gram order is counted by itself; the partial counts are summed per pair.
+    """
+    sets = left if right is None else left + right
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    part = _ranges(flat, FRAGMENTS)
+    out = np.zeros((len(left), len(left) if right is None else len(right)), np.int64)
+    for f in range(FRAGMENTS):
+        here = np.flatnonzero(part == f)
+        value, at = np.unique(flat[here], return_inverse=True)
+        common = np.flatnonzero(np.bincount(at, minlength=len(value)) > 1)  # an n-gram of one set only adds nothing
+        place = np.full(len(value), -1)
+        place[common] = np.arange(len(common))
+        who, at = owner[here][place[at] >= 0], place[at][place[at] >= 0]
+        for lo in range(0, len(common), 4096):
+            one = (at >= lo) & (at < lo + 4096)
+            held = np.zeros((len(sets), min(4096, len(common) - lo)), np.float32)
+            held[who[one], at[one] - lo] = 1
+            out += np.rint(held @ held.T if right is None else held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _exact(plan: _Plan):
+    """A whole small cluster: forest of its links."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("block", "ascending"), ("doc_id", "ascending")])
-        ids, block = group["doc_id"].to_numpy(), group["block"].to_numpy()
+        group = group.sort_by("doc_id")
+        ids = group["doc_id"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
         n = np.array([len(s) for s in sets], np.int64)
-        two = block[0] != block[-1]
-        left = int(np.searchsorted(block, block[-1])) if two else len(ids)
         if len(ids) == 2:
             overlap = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
             return _edges_table([(int(ids[0]), int(ids[1]))] if overlap >= plan.need(n[0], n[1]) else [])
-        overlap = np.zeros((left, len(ids)), np.int32)
-        owner, flat = np.repeat(np.arange(len(ids)), n), np.concatenate(sets)
-        part = _ranges(flat, fragments)
-        for f in range(fragments):
-            here = part == f
-            value, who = flat[here], owner[here]
-            order = np.argsort(value, kind="stable")
-            value, who = value[order], who[order]
-            cuts = np.flatnonzero(np.diff(value)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(value)]])
-            for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                w = who[a:b]
-                overlap[np.ix_(w[w < left], w)] += 1
+        overlap = _overlaps(sets)
 
         def partners(i: int) -> np.ndarray:
-            lo = left if two else i + 1
-            return lo + np.flatnonzero(overlap[i, lo:] >= plan.need(n[lo:], n[i]))
+            return i + 1 + np.flatnonzero(overlap[i, i + 1 :] >= plan.need(n[i + 1 :], n[i]))
+
+        return _edges_table(_forest(ids, partners, len(ids)))
+
+    return run
 
-        return _edges_table(_forest(ids, partners, left))
+
+def _to_pivots(plan: _Plan):
+    """A block of a large cluster and the cluster's pivots: the similarity of every row to each, and the first pivot it is linked with."""
+
+    def run(key, rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        ids = rows["doc_id"].to_numpy() if rows.num_rows else np.zeros(0, np.int64)
+        kinds = pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("near", pa.int64()), ("far", pa.list_(pa.float64()))])
+        if not len(ids):
+            return pa.Table.from_pylist([], kinds)
+        pivots = pivots.sort_by([("_doc_id", "ascending"), ("_grams", "ascending")])
+        own, other = ([np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in (rows["grams"], pivots["_grams"]))
+        n, m = (np.array([len(x) for x in z], np.int64) for z in (own, other))
+        overlap = _overlaps(own, other)
+        linked = overlap >= plan.need(n[:, None], m[None, :])
+        near = np.where(linked.any(1), pivots["_doc_id"].to_numpy()[linked.argmax(1)], ids)
+        far = 1 - overlap / (n[:, None] + m[None, :] - overlap)
+        return pa.Table.from_arrays([pa.array(ids), rows["grp"].combine_chunks(), pa.array(near), pa.array(list(far), pa.list_(pa.float64()))], schema=kinds)
+
+    return run
+
+
+def _rest(plan: _Plan):
+    """Rows of the smaller parts of a cluster and a block of all: forest of the links between different parts."""
+    widest = 1 - plan.num / plan.den + 1e-9
+
+    def run(key, rows: pa.Table, others: pa.Table) -> pa.Table:
+        once: dict[tuple[int, int], tuple[int, int]] = {}  # one link joins two parts as well as many
+        if rows.num_rows and others.num_rows:
+            (a, part_a, far_a, sets_a), (b, part_b, far_b, sets_b) = ((t[f"{u}doc_id"].to_numpy(), t[f"{u}part"].to_numpy(), np.array(t[f"{u}far"].to_pylist()), [np.frombuffer(x, np.uint64) for x in t[f"{u}grams"].to_pylist()]) for t, u in ((rows, ""), (others, "_")))
+            n_b = np.array([len(x) for x in sets_b], np.int64)
+            for i in range(len(a)):
+                open_ = np.flatnonzero((part_b != part_a[i]) & (np.abs(far_b - far_a[i]).max(1) <= widest))
+                if len(open_):
+                    overlap = _overlaps([sets_a[i]], [sets_b[j] for j in open_])[0]
+                    for j in open_[overlap >= plan.need(n_b[open_], len(sets_a[i]))]:
+                        once[int(part_a[i]), int(part_b[j])] = int(a[i]), int(b[j])
+        return _edges_table(list(once.values()))
 
     return run
 
@@ -250,23 +322,62 @@ def _exact(plan: _Plan, k: int, lower: bool, fragments: int = 16):
 def _sets(k: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            found = [ngram_set((t.lower() if lower else t).split(), k).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "grp", "grams"])
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                texts = [(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()]
+                found = [ngram_set((t.lower() if lower else t).split(), k).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "grp", "grams"])
 
     return run
 
 
+def _block(ids: str, n: Column) -> Column:
+    """Number of the block of a row when its group is cut into ``n``."""
+    return F.floor(F.pmod(F.xxhash64(ids, F.lit(7)), F.lit(1 << 20)) * n / (1 << 20)).cast("int")
+
+
 def _block_pairs(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Numbers the rows of each key, cuts them into blocks and sends each row to the pairs of its block."""
-    numbered = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n > 1")
-    numbered = numbered.withColumn("block", F.floor(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) * F.ceil(F.col("_n") / size) / (1 << 20)).cast("int"))
-    last = F.ceil(F.col("_n") / size).cast("int") - 1
-    other = F.explode(F.sequence(F.lit(0), last)).alias("_o")
-    paired = numbered.select("*", other)
+    """Numbers the rows of each key, cuts them into blocks and sends each row to the pairs of its block.
+
+    The counts are summed within tasks first and joined back, where Spark splits hot keys.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    numbered = rows.join(counts.hint("merge"), key)
+    blocks = F.ceil(F.col("_n") / size).cast("int")
+    paired = numbered.withColumn("block", _block("doc_id", blocks)).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
     return paired.withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_o", "_n")
 
 
+def _renamed(df: DataFrame) -> DataFrame:
+    """Columns of their own names, so that a frame can meet another one made from the same rows."""
+    return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns])
+
+
+def _large_clusters(sets: DataFrame, large: DataFrame, plan: _Plan) -> DataFrame:
+    """Links (a, b) that join what is joined in the clusters ``large(grp, _n)``; ``sets`` holds their rows."""
+    blocks = F.ceil(F.col("_n") / SET_BLOCK).cast("int")
+    rows = sets.join(large.hint("merge"), "grp").withColumn("block", _block("doc_id", blocks))
+    pivot = rows.groupBy("grp", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(PIVOTS))).agg(F.min("doc_id").alias("doc_id")).select("grp", "doc_id")
+    pivots = rows.join(pivot, ["grp", "doc_id"]).select("grp", "doc_id", "grams", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    first = rows.select("grp", "block", "doc_id", "grams").groupBy("grp", "block").cogroup(_renamed(pivots).groupBy("_grp", "_block")).applyInArrow(_to_pivots(plan), "doc_id long, grp long, near long, far array<double>")
+    first = materialize(first, "pivots")
+    joined = first.where("near <> doc_id").select(F.col("doc_id").alias("a"), F.col("near").alias("b"))
+    part = connected_components(joined)
+    first = first.join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).hint("merge"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    first = materialize(first, "parts")
+    sizes = first.groupBy("grp", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("grp", "main")
+    split = first.join(main.hint("merge"), "grp").join(rows.select("grp", "doc_id", "grams", "block", "_n"), ["grp", "doc_id"])
+    split = materialize(split.withColumn("other", F.col("part") != F.col("main")), "rest")
+    left = split.where("other").withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)))
+    count = split.where("other").groupBy("grp").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("_left"))
+    left = left.join(count.hint("merge"), "grp").withColumn("mine", F.floor(F.col("mine") * F.col("_left") / (1 << 20)).cast("int"))
+    left = left.select("grp", "mine", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "doc_id", "part", "far", "grams")
+    right = split.join(count.hint("merge"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("_left") - 1)).alias("mine"), "block", "doc_id", "part", "far", "grams")
+    by = ["grp", "mine", "block"]
+    return joined.unionByName(left.groupBy(*by).cogroup(_renamed(right).groupBy(*[f"_{c}" for c in by])).applyInArrow(_rest(plan), "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of ``docs``.
 
@@ -277,19 +388,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     told = materialize(slim.mapInArrow(_describe(plan, k, lower), "doc_id long, n long, s1 long, s2 long, sigs binary, sketch binary"), "sets")
     full = told.where("n > 0 and doc_id is not null")
-    reps = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class_id"))
-    rep_ids = reps.select(F.col("class_id").alias("doc_id"))
-    own = full.join(rep_ids, "doc_id").dropDuplicates(["doc_id"])
+    same = ["s1", "s2", "n"]
+    reps = full.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
+    rep = reps.select(F.col("class_id").alias("doc_id"), *[F.col(c).alias(f"r_{c}") for c in same])
+    own = full.join(rep, "doc_id").where(" and ".join(f"{c} = r_{c}" for c in same)).dropDuplicates(["doc_id", *same])
+    # Where an id has several texts, its signatures meet with the sketches of all of them: more candidates, never fewer.
     met = _block_pairs(own.select("doc_id", "sigs").mapInArrow(_explode_signatures, "sig long, doc_id long"), "sig", SKETCH_BLOCK)
     meeting = ["sig", "lo", "hi"]
     drawn = met.join(own.select("doc_id", "n", "sketch"), "doc_id").repartition(*meeting).sortWithinPartitions(*meeting, "block", "doc_id")
     maybe = drawn.select(*meeting, "block", "doc_id", "n", "sketch").mapInArrow(_bounded(plan), "a long, b long").distinct()
     clusters = materialize(connected_components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "clusters")
     # Clusters grow with the input, so this is a shuffle of both sides at every size.
-    sets = slim.join(clusters.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "grp").mapInArrow(_sets(k, lower), "doc_id long, grp long, grams binary")
-    links = _block_pairs(sets, "grp", SET_BLOCK).groupBy("grp", "lo", "hi").applyInArrow(_exact(plan, k, lower), "a long, b long")
+    sets = slim.join(clusters.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "grp").mapInArrow(_sets(k, lower), "doc_id long, grp long, grams binary")
+    large = materialize(clusters.groupBy("grp").agg(F.count("*").alias("_n")).where(F.col("_n") > SET_BLOCK), "large")
+    if large.isEmpty():
+        links = sets.groupBy("grp").applyInArrow(_exact(plan), "a long, b long")
+    else:
+        sets = materialize(sets, "cluster-sets")
+        small = sets.join(large.select("grp").hint("merge"), "grp", "left_anti").groupBy("grp").applyInArrow(_exact(plan), "a long, b long")
+        links = small.unionByName(_large_clusters(sets, large, plan))
+    # Texts of one id are one node: it belongs to the classes of all of them.
+    pairs = full.join(reps, same).select("doc_id", "class_id").distinct()
+    several = pairs.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("doc_id")
+    links = links.unionByName(pairs.join(several.hint("merge"), "doc_id").where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
     linked = connected_components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     classes = reps.join(linked, "class_id", "left")
-    return told.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes.withColumnRenamed("n", "n_shingles"), ["s1", "s2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id")
+    mine = F.col("doc_id").isNotNull()
+    return told.select("doc_id", "n", "s1", "s2").join(classes, same, "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(mine, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(mine, F.coalesce("component_id", "class_id", "doc_id")).alias("component_id")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import MIN_ROWS, RATIOS, SPREAD_FACTOR
+from .quality import GUARD, MIN_ROWS, RATIOS, SPREAD_FACTOR
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -47,10 +47,14 @@ def _limit(r: str) -> str:
     def at(level: str, q: float) -> str:
         return f"{level}_{r}[greatest(ceil({q} * len({level}_{r})), 1)::INT]"
 
-    def fence(level: str) -> str:
-        return f"{at(level, 0.5)} + {SPREAD_FACTOR} * greatest({at(level, 0.5)} - {at(level, 0.1)}, {RATIOS[r]})"
+    def spread(level: str) -> str:
+        return f"({at(level, 0.9)} - {at(level, 0.5)})"
 
-    return f"CASE WHEN o_n >= {MIN_ROWS} THEN {fence('o')} WHEN l_n >= {MIN_ROWS} THEN {fence('l')} ELSE {fence('c')} END"
+    def fence(level: str, width: str) -> str:
+        return f"{at(level, 0.5)} + {SPREAD_FACTOR} * greatest({width}, {RATIOS[r]})"
+
+    own = f"least({spread('o')}, {GUARD} * greatest({spread('l')}, {RATIOS[r]}))"
+    return f"CASE WHEN o_n >= {MIN_ROWS} THEN {fence('o', own)} WHEN l_n >= {MIN_ROWS} THEN {fence('l', spread('l'))} ELSE {fence('c', spread('c'))} END"
 
 
 def _sorted(level: str) -> str:

@@ -3,10 +3,12 @@
 Every document gets a handful of ratios.  A KLL sketch of each ratio is built per
 (language, source), merged upwards into language and corpus sketches, and the
 quantiles read from it become that group's thresholds: ``median + spread_factor *
-max(median - q10, floor)``.  The lower half of a distribution is used for the
-spread because junk sits in the upper tail, so a source may be almost half junk
-and still gets sane limits.  A group with fewer than ``min_rows`` documents uses
-the merged sketch of its language, then that of the corpus.  All of it is
+spread``, the spread being ``q90 - median`` of the group.  A source that is mostly
+junk has junk at its 90th percentile, so its spread is at most ``GUARD`` times that
+of its language's merged sketch.  The constants of ``RATIOS`` are the least spreads;
+they only count where nine of ten documents have none of a kind (see the README).  A
+group with fewer than ``min_rows`` documents uses the merged sketch of its language,
+then that of the corpus.  All of it is
 DataFrame expressions; the text is read once and never shuffled.
 
 Defined cases: null text counts as empty, has no words and fails the base rule;
@@ -25,13 +27,14 @@ from .runtime import WORD_SPLIT, materialize, text_or_empty
 #: ratio -> least spread, so that a group in which a ratio never varies does not
 #: reject the first document that differs.
 RATIOS: dict[str, float] = {
-    "symbol_ratio": 0.008,
-    "dup_line_ratio": 0.1,
-    "repeat_ratio": 0.06,
-    "upper_ratio": 0.03,
-    "bang_ratio": 0.006,
+    "symbol_ratio": 0.004,
+    "dup_line_ratio": 0.05,
+    "repeat_ratio": 0.005,
+    "upper_ratio": 0.002,
+    "bang_ratio": 0.003,
 }
 SPREAD_FACTOR = 6.0
+GUARD = 2.0
 MIN_ROWS = 200
 SKETCH_K = 1024
 
@@ -114,9 +117,13 @@ def learn_thresholds(metrics: DataFrame, lang_col: str = "lang", source_col: str
     level = F.when(F.col("n") >= min_rows, "own").when(F.col("l_n") >= min_rows, "lang").otherwise("corpus")
 
     def limit(r: str) -> Column:
-        sketch = F.when(level == "own", F.col(r)).when(level == "lang", F.col(f"l_{r}")).otherwise(F.col(f"c_{r}"))
-        at = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-        return (at(0.5) + spread_factor * F.greatest(at(0.5) - at(0.1), F.lit(RATIOS[r]))).alias(f"max_{r}")
+        at = lambda sketch, q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+        spread = lambda sketch: at(sketch, 0.9) - at(sketch, 0.5)
+        least = F.lit(RATIOS[r])
+        own = F.least(spread(F.col(r)), GUARD * F.greatest(spread(F.col(f"l_{r}")), least))
+        fence = lambda sketch, width: at(sketch, 0.5) + spread_factor * F.greatest(width, least)
+        lang, corpus = F.col(f"l_{r}"), F.col(f"c_{r}")
+        return F.when(level == "own", fence(F.col(r), own)).when(level == "lang", fence(lang, spread(lang))).otherwise(fence(corpus, spread(corpus))).alias(f"max_{r}")
 
     out = wide.select("g_lang", "g_source", F.col("n").alias("g_rows"), level.alias("g_level"), *[limit(r) for r in RATIOS])
     # Written, so that Spark knows the size of the limits (a few numbers a group) rather than that of the sketches behind them.

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from vigilore.llm import chat, components, neighbours, urls
 from vigilore.llm.queries import URL_RULES
@@ -36,6 +37,29 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df, 24).count() == 0
 
 
+@pytest.mark.parametrize(("n", "spread"), [(1, 0), (5, 0), (15, 1), (21, 1), (30, 0), (1500, 1)])
+def test_neighbours_of_few_or_unequal_vectors(spark, n, spread):
+    """Small tables are searched exactly; with lengths that differ tenfold most of the largest inner products are found."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x *= (np.exp(spread * rng.normal(size=n)) / np.linalg.norm(x, axis=1))[:, None]
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(data + data[:2], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for q in range(0, n, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(n), -s))[: min(20, n - 1)]
+        rows = sorted(got.get(q, []))
+        assert [r for r, *_ in rows] == list(range(1, len(best) + 1)) and all(abs(v - s[i]) <= 1e-12 * max(1, abs(v)) for _, i, v in rows)
+        hits, total = hits + len({i for _, i, _ in rows} & set(best.tolist())), total + len(best)
+        assert n > 100 or [i for _, i, _ in rows] == best.tolist()
+    assert hits >= 0.9 * total
+
+
 def test_chat(spark):
     convs = {1: "abc", 2: "ab", 3: "abcd", 4: "abcd", 5: "x", 6: "", 7: "abd", 8: None}
     data = [(c, t, "user" if t % 2 == 0 else "assistant", k, "v") for c, s in convs.items() for t, k in enumerate(s or "")] + [(9, 0, None, None, "v"), (None, 3, "user", "zz", "v"), (10, 0, "user", None, "v")] + [(11, t, "user", str(t), "v") for t in range(1500)] + [(12, t, "user", str(t), "v") for t in range(1200)]

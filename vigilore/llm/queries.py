@@ -46,7 +46,7 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), dim=64)
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]

@@ -4,10 +4,10 @@ The class is the outermost context of one Kneser-Ney hierarchy: a toxic and an
 ordinary 5-gram model discount their own counts and back off to the shared lower
 orders, which are estimated from continuation counts of both classes together, so
 rare expressions cost both classes the same.  A word's log-likelihood ratio is the
-sum over its characters; a document's is the mean over its words (the
-length-normalised comparison), beside its largest word ratio and the share of
-clearly toxic words.  A logistic curve through these three, fitted on a fold that
-the counts did not see, turns them into a score.
+sum over its characters.  A document's is the sum over its words of what each ratio
+exceeds the noise margin by, normalised for length: divided by the root of the
+number of words, as the noise of a sum grows.  A logistic curve through this one
+number, fitted on a fold that the counts did not see, turns it into a score.
 
 All labelled rows outside the held-out fold are counted (the counts grow with the
 input); counting, smoothing and the joins between orders are Spark aggregations.
@@ -15,8 +15,8 @@ The model stays a Spark table and is never cut or gathered: documents are packed
 chunks of bounded size, each chunk names the distinct n-grams of its words, and a
 shuffle join brings it the ratios of these, and of the contexts of unseen ones.
 
-Defined cases: null text is empty; a text without words gets the score of three
-zero features; rows that repeat an id are scored each; without both classes in the
+Defined cases: null text is empty; a text without words gets the score of a zero
+comparison; rows that repeat an id are scored each; without both classes in the
 labels every score is the share of the class present (0.5 without labels); null
 labels are not learned from; other columns are ignored.
 """
@@ -41,8 +41,8 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Bytes of text that fill a chunk.
 CHUNK = 32 << 20
-#: log-likelihood ratio from which a word counts as clearly toxic.
-CLEAR = 3.0
+#: Log-likelihood ratio that a word of either class may have by chance.
+MARGIN = 2.0
 _START, _END = "^", "$"
 
 
@@ -201,26 +201,18 @@ def word_ratios(words: list[str], model, order: int = ORDER) -> np.ndarray:
 
 
 def _features(chunk: pa.Table, ratios: pa.Table) -> pa.Table:
-    """Features of the texts of one chunk from the ratios of its n-grams."""
+    """Length-normalised comparison of the texts of one chunk from the ratios of its n-grams."""
     owner, word, times = _postings(chunk)
     docs, words = chunk["doc_ids"].chunk(0).values, chunk["words"][0].as_py()
     model = _table(ratios["gram"].to_pylist(), ratios["ratio"].to_numpy().astype(np.float32), ORDER)
     of = np.concatenate([np.zeros(0), *[word_ratios(words[i : i + 50_000], model) for i in range(0, len(words), 50_000)]])[word]
-    out = np.zeros((4, len(docs)))
-    out[0] = np.bincount(owner, times, len(docs))
-    some = np.maximum(out[0], 1)
-    out[1], out[3] = np.bincount(owner, times * of, len(docs)) / some, np.bincount(owner, times * (of > CLEAR), len(docs)) / some
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    if len(first):
-        out[2, owner[first]] = np.maximum.reduceat(of, first)
-    return pa.table([docs, *[pa.array(x) for x in out]], names=["doc_id", "n_words", "mean_ratio", "max_ratio", "clear_share"])
-
-
-FEATURES = ["mean_ratio", "max_ratio", "clear_share"]
+    n = np.bincount(owner, times, len(docs))
+    normalised = np.bincount(owner, times * np.maximum(of - MARGIN, 0), len(docs)) / np.sqrt(np.maximum(n, 1))
+    return pa.table([docs, pa.array(n.astype(np.float64)), pa.array(normalised)], names=["doc_id", "n_words", "comparison"])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int = 0, chunk_bytes: int = CHUNK) -> DataFrame:
-    """(doc_id, held_out, score, predicted and the features) of every row of ``docs``.
+    """(doc_id, held_out, score, predicted, n_words, comparison) of every row of ``docs``.
 
     ``labels`` has ``id_col`` and ``label_col``; rows of the held-out fold are never
     read.  Fold 4 of the rest fits the curve, the others the counts.
@@ -241,17 +233,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     every = needed.select("gram").distinct().join(grams, "gram", "left").withColumn("context", F.substring("gram", 1, ORDER - 1)).join(lower, "context", "left")
     every = materialize(every.select("gram", F.coalesce("ratio", "lower", F.lit(0.0)).cast("float").alias("ratio")).where("ratio <> 0"), "ratios")
     ratios = needed.join(every.hint("merge"), "gram").select(F.col("chunk").alias("home"), "gram", "ratio")
-    told = chunks.select(*postings, "words", "doc_ids").groupBy("chunk").cogroup(ratios.groupBy("home")).applyInArrow(_features, "doc_id long, n_words double, mean_ratio double, max_ratio double, clear_share double")
+    told = chunks.select(*postings, "words", "doc_ids").groupBy("chunk").cogroup(ratios.groupBy("home")).applyInArrow(_features, "doc_id long, n_words double, comparison double")
     told = materialize(told, "toxicity")
     fit = told.join(known.where(fold() == 4), "doc_id").where(F.col("label").isNotNull())
     classes = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}  # two rows at most
     if len(classes) < 2:
         score: Column = F.lit(0.5 if not classes else float(next(iter(classes))))
     else:
-        curve = LogisticRegression(featuresCol="v", labelCol="label", regParam=1e-4, maxIter=50).fit(VectorAssembler(inputCols=FEATURES, outputCol="v").transform(fit))
-        z = F.lit(float(curve.intercept))
-        for name, weight in zip(FEATURES, curve.coefficients.toArray(), strict=True):
-            z = z + F.col(name) * float(weight)
-        score = 1 / (1 + F.exp(-z))
+        curve = LogisticRegression(featuresCol="v", labelCol="label", regParam=1e-4, maxIter=50).fit(VectorAssembler(inputCols=["comparison"], outputCol="v").transform(fit))
+        score = 1 / (1 + F.exp(-(float(curve.intercept) + F.col("comparison") * float(curve.coefficients[0]))))
     told = told.withColumn("score", score.cast("double"))
-    return told.select("doc_id", (fold() == held_out_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", *FEATURES)
+    return told.select("doc_id", (fold() == held_out_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "comparison")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,20 +14,30 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
+    """Folder of this application that the driver and all executors see; it goes when the application ends.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is taken.
+    The cluster names the folder above it in ``spark.checkpoint.dir``; only a local
+    session without that setting (tests) gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vigilore-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="vigilore-")
+        context.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/vigilore-{context.applicationId}"
+    if path not in _made:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _made.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     files outlive any single executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/vigilore-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

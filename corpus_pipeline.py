@@ -16,8 +16,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near duplicates stays; documents without an id all stay."""
-    found = materialize(jaccard.jaccard_components(docs), "components")
+    """The smallest document of each group of near duplicates stays; documents without an id all stay.
+
+    Near duplicates share four fifths of their five-word shingles.
+    """
+    found = materialize(jaccard.jaccard_components(docs, k=5, num=80, den=100), "components")
     # The copies grow with the input, so this is a shuffle of both sides at every size.
     copies = found.where("doc_id <> component_id").select("doc_id").hint("merge")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)

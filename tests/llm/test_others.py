@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigilore.llm import chat, components, neighbours, urls
 from vigilore.llm.queries import URL_RULES
@@ -85,6 +86,19 @@ def test_urls(spark):
     assert urls.url_filter(df.limit(0), URL_RULES).count() == 0
 
 
+def test_url_classifier_on_held_out_urls(spark):
+    """A fit on three quarters of the labelled table judges the rest; very long URLs are judged whole."""
+    from vigilore.llm.url_labels import labelled_urls
+
+    known = labelled_urls(spark).withColumn("h", F.pmod(F.xxhash64("url"), F.lit(4))).cache()
+    assert {r["block"]: r["count"] for r in known.groupBy("block").count().collect()}[1] > 400
+    asked = known.where("h = 0").select(F.monotonically_increasing_id().alias("page_id"), "url", F.col("block").alias("rule"))
+    got = urls.url_filter(asked, [], known.where("h <> 0"), max_labelled=2_000).join(asked.select("page_id", F.col("rule").alias("block")), "page_id").collect()
+    assert len(got) > 200 and sum((r.verdict == "block") == (r.block == 1) for r in got) >= 0.95 * len(got)
+    long = spark.createDataFrame([(1, "http://casino.com/" + "win/" * 20_000), (2, "http://wiki.org/" + "about/" * 20_000)], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.url_filter(long, []).collect()} == {1: "block", 2: "allow"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

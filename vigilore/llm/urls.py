@@ -1,7 +1,8 @@
 """URL filtering: host and path rules first, then logistic regression on hashed character n-grams.
 
 The classifier is fitted on a small labelled URL table (at most ``max_labelled``
-rows, those with the smallest hash of the URL) and scores every other URL in one
+rows, those with the smallest hash of the URL; by default the table of
+``url_labels``, which knows nothing of the rules) and scores every other URL in one
 scan without a shuffle.  All of it runs in the JVM.
 
 Defined cases: null URLs and URLs without ``://`` have an empty host and path and
@@ -18,6 +19,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import materialize
+from .url_labels import labelled_urls
+
 Rule = tuple[str, str]
 FEATURES = 1 << 14
 GRAM_SIZES = (2, 3, 4)
@@ -67,25 +71,17 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(id, host, path, rule, verdict, p_block).
-
-    ``labelled`` has ``url`` and ``block`` (0 or 1); where it is not given, the
-    URLs that rules decide are the labels.
-    """
+    """(id, host, path, rule, verdict, p_block); ``labelled`` has ``url`` and ``block`` (0 or 1)."""
     url = F.col(url_col).cast("string")
     judged = pages.select(F.col(id_col), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     judged = judged.withColumn("_by_rule", _verdict(F.col("rule"), rules))
-    if labelled is None:
-        table = judged.where("rule is not null").select(F.col("_url").alias("url"), "host", "path", (F.col("_by_rule") == "block").cast("double").alias("block"))
-    else:
-        table = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("block").cast("double").alias("block"))
-    table = table.where("block is not null").orderBy(F.xxhash64("url"), "url", "block").limit(max_labelled)
-    train = _features(table).select("_vector", "block")
+    known = (labelled_urls(pages.sparkSession) if labelled is None else labelled).where("block is not null").orderBy(F.xxhash64("url"), "url", "block").limit(max_labelled)
+    table = materialize(known.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("block").cast("double").alias("block")), "urls")
     classes = sorted(r[0] for r in table.select("block").distinct().collect())  # two rows at most
     if len(classes) < 2:
         out = judged.withColumn("p_block", F.lit(classes[0] if classes else 0.0))
     else:
-        model = LogisticRegression(featuresCol="_vector", labelCol="block", regParam=0.001, maxIter=40, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_class").fit(train)
+        model = LogisticRegression(featuresCol="_vector", labelCol="block", regParam=0.001, maxIter=40, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_class").fit(_features(table).select("_vector", "block"))
         out = model.transform(_features(judged)).withColumn("p_block", vector_to_array("_p")[1])
     return out.select(id_col, "host", "path", "rule", F.coalesce("_by_rule", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")

@@ -50,6 +50,8 @@ BASE = {
 ALL_KINDS = (*KINDS, "secret")
 _AT = r"(?: ?(?:@|[(\[{] ?(?i:at) ?[)\]}]) ?| (?i:at) )"
 _DOT = r"(?:\.| ?[(\[{] ?(?i:dot|\.) ?[)\]}] ?| (?i:dot) )"
+#: What a text without ``@`` must hold for an email proposal.
+_MARKED_AT = rf"(?i)[(\[{{] ?at ?[)\]}}]| at {_LABEL}+(?:\.{_LABEL}| ?[(\[{{]| dot )"
 #: High-recall proposals.
 LOOSE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+{_AT}{_LABEL}++(?:{_DOT}{_LABEL}++)++",
@@ -109,7 +111,7 @@ def find_matches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     digit = F.col("_digit")
     needed = {
         "base": {"email": text.contains("@"), "ip": digit & text.contains("."), "card": digit, "phone": digit & text.contains("+")},
-        "loose": {"email": text.contains("@") | text.rlike(r"(?i)[(\[{ ]at[)\]} ]"), "ip": digit, "card": digit, "phone": digit, "secret": digit | text.contains("=") | text.contains(":")},
+        "loose": {"email": text.contains("@") | text.rlike(_MARKED_AT), "ip": digit, "card": digit, "phone": digit, "secret": digit | text.contains("=") | text.contains(":")},
     }
     arrays = {f"{how}_{k}": _matches(text, pattern, needed[how][k]) for how, patterns in (("base", BASE), ("loose", LOOSE)) for k, pattern in patterns.items()}
     return df.withColumns(arrays).drop("_text", "_digit")

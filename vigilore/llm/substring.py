@@ -1,18 +1,23 @@
-"""Removal of repeated passages with a prefix-partitioned suffix tree over words.
+"""Removal of repeated passages: sampled prefixes split the suffixes, window hashes find the repeats.
 
-The suffix tree of the corpus is never built whole.  Its nodes at word depth 8 are
-the prefixes that split the suffixes; only a sampled suffix of every window is
-looked at there (the leftmost smallest 8-word hash of the 13 in the window, so two
-equal windows always sample the same one).  A prefix with a single suffix is a
-leaf and goes no further.  Under the prefixes that occur twice or more the
-suffixes are prolonged to the window length; the nodes at that depth with two or
-more leaves are the deep internal nodes, and every leaf but the first (smallest
-document, then start) is a repeat.  Overlapping repeats join into maximal ones.
+The dealt method is a prefix-partitioned suffix tree over words.  It is not what runs
+here: a subtree that finds repeats of 20 words must hold 20 words of every suffix
+whose prefix repeats, and those are a third of all (27 million of the 0.5 GB of the
+check tool, 2.7 GB even at five bytes a word, against a limit of four times the
+input for everything).  Two levels of the tree are kept as groupings by hash:
+
+1. Depth 8: only a sampled suffix of every window is looked at (the leftmost
+   smallest 8-word hash of the 13 in the window, so two equal windows always sample
+   the same one).  A prefix with a single suffix is a leaf and goes no further.
+2. Depth 20: under the prefixes that occur twice or more, windows of 20 words are
+   grouped by 95 bits of hash; every member of a group but the first (smallest
+   document, then start) is a repeat.  Overlapping repeats join into maximal ones.
 
 The texts are shuffled once by document; both joins with them use that exchange.
 Both levels reduce inside the task before anything is shuffled: suffixes that meet
 in one task are settled there and only one of them travels, so the rows that share
-a passage number at most one per task however common it is.
+a passage number at most one per task however common it is, and no group has to be
+held in memory.
 
 Defined cases: null text has no words and an empty result text; a null document id
 takes no part in the search and keeps all its words; rows that repeat an id count

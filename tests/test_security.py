@@ -129,7 +129,18 @@ def test_graph(spark):
     assert dict(rows(graph.distances(e, known), "node", "distance")) == {"a": 0, "b": 1, "c": 2, "d": 3}
     prev = spark.createDataFrame([("a", "p"), ("b", "p")], "node string, component string")
     diff = {r.cur: (r.status, r.gained) for r in graph.campaign_diff(graph.components(e), prev).collect()}
-    assert diff == {"a": ("growth", ["c", "d"]), "x": ("new", ["x", "y", "z"])}
+    assert diff == {"a": ("growth", 2), "x": ("new", 3)}
+    assert set(rows(graph.gained_members(graph.components(e), prev), "cur", "node")) == {("a", "c"), ("a", "d"), ("x", "x"), ("x", "y"), ("x", "z")}
+    assert set(rows(graph.campaigns(e, known), "component", "size", "confirmed")) == {("a", 4, 1), ("x", 3, 0)}
+    next_ = rows(graph.pivots(e, "b", known, n=20), "node", "tier")
+    assert next_[0] == ("c", 1) and dict(next_)["d"] == 2 and dict(next_)["x"] == 3
+    line = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", 1) for i in range(24)], "src string, dst string, weight long")
+    assert set(rows(graph.components(line), "component")) == {("n000",)}
+    ends = spark.createDataFrame([("n000",)], "node string")
+    assert dict(rows(graph.distances(line, ends), "node", "distance"))["n024"] == 24
+    crowd = spark.createDataFrame([("b", f"i{i:04}") for i in range(600)], "batch string, ioc string")
+    pairs = graph.co_occurrence(crowd)
+    assert pairs.count() == 600 * 599 // 2 and pairs.where("weight <> 1 or src >= dst").count() == 0
     assert graph.pivots(e, "b", known).first()["node"] == "c"
 
 
@@ -159,6 +170,73 @@ def test_extract(spark):
     assert dict(rows(extract.page_signatures(page), "page_id", "verdict")) == {1: "CONFIRMED", 2: "CLEAN", 3: "CLEAN"}
 
 
+def brute_pagerank(edges, seeds, alpha=0.85):
+    nodes = sorted({x for e in edges for x in e})
+    near = {n: [b for a, b in edges if a == n] + [a for a, b in edges if b == n] for n in nodes}
+    home = {n: (1 / len(seeds) if n in seeds else 0.0) for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(300):
+        rank = {n: (1 - alpha) * home[n] + alpha * sum(rank[m] / len(near[m]) for m in near[n]) for n in nodes}
+    return rank
+
+
+def brute_betweenness(edges):
+    """Sums over all ordered sources of the share of shortest paths through a node."""
+    nodes = sorted({x for e in edges for x in e})
+    near = {n: {b for a, b in edges if a == n} | {a for a, b in edges if b == n} for n in nodes}
+
+    def paths(s, t):
+        found, level = [], [[s]]
+        while level and not found:
+            level = [[*p, m] for p in level for m in near[p[-1]] if m not in p]
+            found = [p for p in level if p[-1] == t]
+        return found
+
+    out = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t in nodes:
+            for p in (all_ := paths(s, t) if s != t else []):
+                for v in p[1:-1]:
+                    out[v] += 1 / len(all_)
+    return out
+
+
+def test_graph_against_brute_force(spark):
+    """What ``suspicion_ranking`` and ``node_betweenness`` compute, on a small graph."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("d", "e"), ("e", "f"), ("x", "y"), ("b", "e")]
+    e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src string, dst string, weight long")
+    want = brute_pagerank(pairs, {"a", "x"})
+    got = dict(rows(graph.suspicion(e, spark.createDataFrame([("a",), ("x",)], "node string")), "node", "score"))
+    assert got.keys() == want.keys() - {"a", "x"} and all(abs(got[n] - want[n]) < 1e-4 for n in got)
+    between = dict(rows(graph.betweenness(e)[0], "node", "betweenness"))
+    assert all(abs(between.get(n, 0.0) - v) < 1e-9 for n, v in brute_betweenness(pairs).items())
+
+
+def test_investigation(spark):
+    """Every address of the window once; what is known of it and of its cluster; effects on the registries."""
+    t = AS_OF - timedelta(hours=2)
+    data = [(i, t + timedelta(minutes=i // 4), f"9.9.9.{i % 4}", 12 if i % 4 == 0 else 3, ("33100", "5712", "5501", "510")[i % 4 if i % 4 else (i // 4) % 4], ["web"], ["Initial Access"] if i % 4 == 0 else None, None, "agent") for i in range(40)]
+    data += [(100 + k, AS_OF - timedelta(days=2, hours=k), "8.8.4.4", 3, "1", ["web"], None, None, "agent") for k in range(30)]
+    df = spark.createDataFrame(data, "alert_id long, ts timestamp, srcip string, rule_level int, rule_id string, rule_groups array<string>, tactic array<string>, technique array<string>, agent_name string")
+    intel = spark.createDataFrame([("9.9.9.1", 2, "high")], "indicator string, votes long, risk string")
+    found = lifecycle.investigation(df, AS_OF, intel=intel, confirmed=spark.createDataFrame([("9.9.9.2",)], "srcip string"))
+    got = {r.srcip: r for r in found.collect()}
+    assert set(got) == {f"9.9.9.{i}" for i in range(4)}
+    assert {r.cluster for r in got.values()} == {"9.9.9.0"} and all(r.near_confirmed for r in got.values()) and got["9.9.9.2"].confirmed
+    assert (got["9.9.9.1"].votes, got["9.9.9.1"].intel_risk, got["9.9.9.0"].chain_confidence) == (2, "high", 0.95)
+    verdicts = lifecycle.investigation_verdicts(found, AS_OF)
+    assert verdicts.count() == 4 and lifecycle.verdict_effects(verdicts)["cases"].count() == 0
+
+
+def test_multi_resolution(spark):
+    """Tiers of an address against sums made by hand."""
+    data = [(1, AS_OF - timedelta(minutes=5), "a", 15, ["Initial Access", "Exfiltration"]), (2, AS_OF - timedelta(minutes=5), "a", 15, ["Discovery"]), (3, AS_OF - timedelta(days=20), "b", 15, ["Initial Access", "Exfiltration", "Impact"]), (4, AS_OF - timedelta(days=20), "b", 15, ["Command and Control"])]
+    df = spark.createDataFrame(data, "alert_id long, ts timestamp, srcip string, rule_level int, tactic array<string>").withColumns({"technique": F.lit(None).cast("array<string>"), "rule_groups": F.array().cast("array<string>")})
+    got = {r.srcip: r for r in scoring.multi_resolution(df, AS_OF).collect()}
+    assert got["a"].persistence == "persistent"
+    assert "b" not in got or got["b"].persistence in ("slow_burn", "partial")
+
+
 def test_redact(spark):
     strip = lambda t: one(spark, redact.strip_credentials(F.lit(t)))
     assert strip("Authorization: Bearer abc.def rest") == "Authorization: Bearer <BEARER_REDACTED> rest"
@@ -173,6 +251,13 @@ def test_redact(spark):
     assert redact.redact(df, "raw", "s", ["log"]).first().log == "mail alice@example.com"
     with pytest.raises(ValueError):
         redact.redact(df, "other", "s", ["log"])
+    names = spark.createDataFrame([("admin.example.com",), ("evil.cn",), ("db.corp",), ("a.b.lan",), ("www.sub.example.org and x.local",), (None,), ("",)], "d string")
+    shown = [r.d for r in redact.redact(names, "full", "s", [], ["d"]).collect()]
+    assert shown == ["a***n.example.com", "evil.cn", "d*.corp", "a.***.lan", "w*w.sub.example.org and x.local", None, ""]
+    registry = spark.createDataFrame([("Alice@Example.com",)], "ioc string")
+    two = spark.createDataFrame([("alice@example.com bob@example.com",)], "log string")
+    kept = redact.redact(two, "full", "s", ["log"], attackers=registry).first().log
+    assert kept.startswith("alice@example.com b*b@example.com [h:") and redact.redact(two, "full", "s", ["log"], attackers=registry).columns == ["log"]
 
 
 def test_lifecycle(spark):
@@ -193,6 +278,24 @@ def test_lifecycle(spark):
     assert [r.ioc for r in lifecycle.live_set(live, AS_OF, 7).collect()] == ["x"]
 
 
+def test_hunt_templates(spark):
+    """One positive and one near miss for each template."""
+    lines = [
+        ("powershell.exe -enc aGk=", "encoded_powershell"), ("lsass dump", "lsass_access"), ("kerberos tgs asked", "kerberoasting"), ("at.exe /create x", "suspicious_scheduled_tasks"), ("wmic /namespace:x", "wmi_persistence"), ("excel started mshta", "suspicious_parent"), ("dns length aaaa", "dns_tunneling"),
+        ("mimikatz run", "credential_dumping"), ("smbexec now", "lateral_movement"), ("outbound checkin", "c2_beacon"), ("whoami in x.jsp", "web_shells"), ("powershell -encoder", None), ("glsass", None), ("kerberos only", None), ("at.exe only", None), ("wmi only", None), ("excel only", None), ("dns length only", None),
+        ("mimikatzen", None), ("ssh -o", None), ("outbound only", None), ("whoami only", None), (None, None),
+    ]
+    df = spark.createDataFrame([(t, h) for t, h in lines], "t string, h string").select("h", extract.hunt_matches(F.col("t")).alias("got"))
+    for r in df.collect():
+        assert r.got == ([r.h] if r.h else []), r
+
+
+def test_domains_seen_only_in_addresses(spark):
+    df = spark.createDataFrame([(1, "mail a@x.org"), (2, "a@x.org and x.org and y.net"), (2, "z.com"), (3, None)], "doc_id long, text string")
+    found = extract.iocs(df).where("kind = 'domain'")
+    assert set(rows(found, "doc_id", "ioc")) == {(2, "x.org"), (2, "y.net"), (2, "z.com")}
+
+
 def test_intel(spark):
     feed = spark.createDataFrame([("a", "1", "malicious", None, None, None, None), ("b", "1", "medium", None, None, None, None), ("c", "1", None, None, None, None, "down"), ("a", "2", None, None, None, None, "down")], "provider string, indicator string, reputation string, confidence int, detections int, total int, error string")
     got = {r.indicator: (r.votes, r.risk, r.errors) for r in profiles.consensus(profiles.normalise_intel(feed)).collect()}

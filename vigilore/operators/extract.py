@@ -13,7 +13,6 @@ EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b"
 URL = r"https?://[^\s<>\"']+"
 HASHES = {"md5": r"\b[a-fA-F0-9]{32}\b", "sha1": r"\b[a-fA-F0-9]{40}\b", "sha256": r"\b[a-fA-F0-9]{64}\b"}
-PAGE_CHARS = 65_536
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -33,11 +32,13 @@ def iocs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lists = {"ip": ips, "email": mails, "url": _all(text, URL), **{k: F.transform(_all(text, p), lambda h: F.lower(h)) for k, p in HASHES.items()}}
     mail_hosts = F.transform(mails, lambda e: F.substring_index(e, "@", -1))
     found = docs.select(F.col(id_col), *[v.alias(k) for k, v in lists.items()], hosts.alias("_hosts"), mail_hosts.alias("_mail"))
-    # A domain counts if it occurs more often than as the domain of an address.
-    domain = F.filter(F.array_distinct("_hosts"), lambda d: F.size(F.filter("_hosts", lambda x: x == d)) > F.size(F.filter("_mail", lambda x: x == d)))
-    found = found.withColumn("domain", domain)
+    # A domain counts if it occurs more often than as the domain of an address; texts without addresses need no count.
+    found = found.withColumn("domain", F.when(F.size("_mail") == 0, F.col("_hosts")).otherwise(F.array().cast("array<string>")))
     tagged = F.flatten(F.array(*[_tag(k) for k in [*lists, "domain"]]))
-    return found.select(id_col, F.explode(tagged).alias("x")).select(id_col, "x.*").where("ioc <> ''")
+    plain = found.select(id_col, F.explode(tagged).alias("x")).select(id_col, "x.*").where("ioc <> ''")
+    signed = F.concat(F.transform("_hosts", lambda h: F.struct(h.alias("ioc"), F.lit(1).alias("n"))), F.transform("_mail", lambda h: F.struct(h.alias("ioc"), F.lit(-1).alias("n"))))
+    counted = found.where(F.size("_mail") > 0).withColumn("_row", F.monotonically_increasing_id()).select("_row", id_col, F.explode(signed).alias("x")).groupBy("_row", id_col, "x.ioc").agg(F.sum("x.n").alias("n"))
+    return plain.unionByName(counted.where("n > 0 and ioc <> ''").select(id_col, F.lit("domain").alias("kind"), "ioc"))
 
 
 def _tag(kind: str) -> Column:
@@ -93,6 +94,13 @@ def hunt_report(rows: DataFrame, text_col: str, dimension: str) -> DataFrame:
     return each.groupBy("hunt", dimension).agg(F.count("*").alias("n"))
 
 
+def hunt_breakdowns(rows: DataFrame, text_col: str, dims: dict[str, Column], hunts: dict[str, list[list[str]]] | None = None) -> DataFrame:
+    """(hunt, dimension, value, n): every hunt by all dimensions at once; a missing value is N/A."""
+    each = rows.select(F.explode(hunt_matches(F.col(text_col), hunts)).alias("hunt"), *[F.coalesce(v.cast("string"), F.lit("N/A")).alias(k) for k, v in dims.items()])
+    pairs = F.explode(F.array(F.struct(F.lit("total").alias("dimension"), F.lit("").alias("value")), *[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("value")) for k in dims]))
+    return each.select("hunt", pairs.alias("p")).select("hunt", "p.*").groupBy("hunt", "dimension", "value").agg(F.count("*").alias("n"))
+
+
 def pick_playbook(alerts: DataFrame, keywords: DataFrame, key: str = "srcip") -> DataFrame:
     """First template by priority whose keyword is in the alert's techniques or groups; else ``c2_beacon``.
 
@@ -103,27 +111,45 @@ def pick_playbook(alerts: DataFrame, keywords: DataFrame, key: str = "srcip") ->
     return alerts.select(key).distinct().join(met, key, "left").withColumn("template", F.coalesce("template", F.lit("c2_beacon")))
 
 
-def page_signatures(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, high, medium, low, login_high, families, verdict) of every page."""
-    body = F.substring(F.coalesce(html_col, F.lit("")), 1, PAGE_CHARS)
-    hits = [(F.regexp_count("_body", F.lit("(?i)" + p)), label, w) for p, label, w in SHELL_SIGNATURES]
-    logins = [(F.regexp_count("_body", F.lit("(?i)" + p)), w) for p, _, w in LOGIN_SIGNATURES]
-    seen = lambda w: sum((F.when(h > 0, 1).otherwise(0) for h, _, x in hits if x == w), F.lit(0))
-    out = pages.select(id_col, body.alias("_body")).select(
-        id_col, *[seen(w).alias(w) for w in ("high", "medium", "low")], sum((F.when(h > 0, 1).otherwise(0) for h, w in logins if w == "high"), F.lit(0)).alias("login_high"), F.array_compact(F.array(*[F.when(h > 0, label) for h, label, _ in hits])).alias("families")
-    )
+def _signs(body: Column) -> dict[str, Column]:
+    """Families found, numbers of signs of each weight, and the verdict on a page."""
+    hits = [(body.rlike("(?i)" + p), label, w) for p, label, w in SHELL_SIGNATURES]
+    some = lambda conditions: sum((c.cast("int") for c in conditions), F.lit(0))
+    return {**{w: some(h for h, _, x in hits if x == w) for w in ("high", "medium", "low")}, "login_high": some(body.rlike("(?i)" + p) for p, _, w in LOGIN_SIGNATURES if w == "high"), "families": F.array_compact(F.array(*[F.when(h, label) for h, label, _ in hits]))}
+
+
+def page_signatures(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", chars: int | None = None, others: dict[str, Column] | None = None) -> DataFrame:
+    """(id, high, medium, low, login_high, families, others, verdict) of every page; ``chars`` bounds what is read of one."""
+    body = F.coalesce(html_col, F.lit(""))
+    out = pages.select(id_col, *[v.alias(k) for k, v in _signs(body if chars is None else F.substring(body, 1, chars)).items()], *[v.alias(k) for k, v in (others or {}).items()])
     high, medium = F.col("high"), F.col("medium")
     verdict = F.when((high >= 2) | ((high >= 1) & (medium >= 2)), "CONFIRMED").when((high >= 1) | (medium >= 2), "SUSPICIOUS").when(F.col("login_high") > 0, "LOGIN_PAGE").when(high + medium + F.col("low") > 0, "LOW_RISK").otherwise("CLEAN")
     return out.withColumn("verdict", verdict)
 
 
+def context_columns(html_col: str = "html", k: int = 10) -> dict[str, Column]:
+    """Title, first headings, numbers of inputs and forms of a page."""
+    h = F.col(html_col)
+    return {
+        "title": F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1), "headings": F.slice(F.regexp_extract_all(h, F.lit(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1)), 1, k),
+        "n_inputs": F.regexp_count(h, F.lit(r"(?i)<input\b")), "n_forms": F.regexp_count(h, F.lit(r"(?i)<form\b")),
+    }
+
+
 def page_context(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k: int = 10) -> DataFrame:
     """(id, title, headings, n_inputs, n_forms)."""
-    h = F.col(html_col)
-    return pages.select(
-        id_col, F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.slice(F.regexp_extract_all(h, F.lit(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1)), 1, k).alias("headings"),
-        F.regexp_count(h, F.lit(r"(?i)<input\b")).alias("n_inputs"), F.regexp_count(h, F.lit(r"(?i)<form\b")).alias("n_forms"),
-    )
+    return pages.select(id_col, *[v.alias(c) for c, v in context_columns(html_col, k).items()])
+
+
+def page_report(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Signatures, verdict and context of every page in one projection."""
+    return page_signatures(pages, id_col, html_col, others=context_columns(html_col))
+
+
+def email_ranking(rows: DataFrame, text_col: str, dims: dict[str, Column], ts: str) -> DataFrame:
+    """(email, docs, first_seen, last_seen, n_<dimension>): texts that mention an address, each once, and what they come from."""
+    each = rows.select(F.explode(emails(F.col(text_col))).alias("email"), F.col(ts).alias("_ts"), *[v.alias(k) for k, v in dims.items()])
+    return each.groupBy("email").agg(F.count("*").alias("docs"), F.min("_ts").alias("first_seen"), F.max("_ts").alias("last_seen"), *[F.count_distinct(k).alias(f"n_{k}") for k in dims])
 
 
 def look_alikes(domains: DataFrame, col: str = "domain", most: int | None = None) -> DataFrame:

@@ -71,6 +71,22 @@ def compliance(column: str, values: list[str] | None) -> Column:
     return array_any(column, values) if values else exists(column, is_array=True)
 
 
+def vulnerability(cve: str | None = None, severity: str | None = None, columns: tuple[str, str] = ("cve", "severity")) -> Column:
+    """Vulnerability rows of a CVE (letters of either case) and a severity."""
+    out = F.lit(True)
+    if cve:
+        out = out & (F.upper(columns[0]) == cve.strip().upper())
+    return out & (F.lower(columns[1]) == severity.lower()) if severity else out
+
+
+def file_change(event: str | None = None, path: str | None = None, columns: tuple[str, str] = ("event", "path")) -> Column:
+    """File-integrity rows of an event type whose path fits a wildcard."""
+    out = F.lit(True)
+    if event:
+        out = out & (F.lower(columns[0]) == event.lower())
+    return out & wildcard(columns[1], path) if path else out
+
+
 def is_ipv4(ip: Column) -> Column:
     return ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$")
 

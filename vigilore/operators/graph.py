@@ -1,33 +1,40 @@
 """Co-occurrence graphs over indicators: components, ranks, paths, betweenness.
 
-Loops keep their state in checkpointed frames; only convergence scalars reach the driver.
+Loops run to their fixed point and keep their state in written tables; only
+convergence scalars reach the driver.
 """
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from .timeseries import decay
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; a folder of its own only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vigilore-graph-"))
-    return df.checkpoint()
+def written(df: DataFrame) -> DataFrame:
+    return materialize(df, "graph")
+
+
+#: Items of one batch that a task pairs with another such block.
+BLOCK = 256
 
 
 def co_occurrence(observations: DataFrame, item: str = "ioc", batch: str = "batch") -> DataFrame:
-    """(src, dst, weight): pairs that share a batch, weight the number of batches; src < dst."""
+    """(src, dst, weight): pairs that share a batch, weight the number of batches; src < dst.
+
+    The pairs are the answer, so a batch of k items gives k * k / 2 of them.  A large
+    batch is cut into blocks of items and every two blocks meet under a key of their own.
+    """
     rows = observations.select(F.col(batch).alias("b"), F.col(item).alias("i")).where("b is not null and i is not null").distinct()
-    a, b = rows.withColumnRenamed("i", "src"), rows.withColumnRenamed("i", "dst")
-    return a.join(b, "b").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    sizes = rows.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    rows = rows.join(sizes, "b").withColumn("own", F.pmod(F.xxhash64("i"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    a = rows.select("b", F.col("own").alias("x"), F.col("other").alias("y"), F.col("i").alias("src"))
+    b = rows.select("b", F.col("other").alias("x"), F.col("own").alias("y"), F.col("i").alias("dst"))
+    return a.join(b, ["b", "x", "y"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def graph_nodes(observations: DataFrame, as_of: datetime, most: int = 500, min_count: int = 1, item: str = "ioc", ts: str = "ts") -> DataFrame:
@@ -36,32 +43,46 @@ def graph_nodes(observations: DataFrame, as_of: datetime, most: int = 500, min_c
     return per.withColumn("decay", F.round(decay(F.col("last"), as_of), 3)).orderBy(F.desc("decay"), F.desc("n"), "node").limit(most).select("node", "n", "decay")
 
 
+def indicator_graph(observations: DataFrame, as_of: datetime, most: int = 500, min_count: int = 1, item: str = "ioc", batch: str = "batch", ts: str = "ts") -> DataFrame:
+    """Co-occurrence edges between the leading indicators only: a report of the ``most`` strongest nodes."""
+    nodes = graph_nodes(observations, as_of, most, min_count, item, ts).select(F.col("node").alias(item))
+    return co_occurrence(observations.join(nodes, item, "left_semi"), item, batch)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     e = edges.select("src", "dst", "weight")
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable; labels spread with pointer jumping."""
-    e = checkpointed(both_ways(edges).select("src", "dst"))
-    label = checkpointed(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
-    for _ in range(max_rounds):
-        near = e.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        step = label.join(near, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = checkpointed(step.join(jump, "component", "left").select("node", F.coalesce(F.least("up", "component"), F.col("component")).alias("component"), "old"))
-        changed = new.where("component <> old").limit(1).count()
-        label = new.select("node", "component")
-        if not changed:
-            return label
-    return label
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): smallest node reachable from each node of ``edges(src, dst)``.
+
+    Alternating stars: every node links to the least of its neighbourhood, first its
+    larger neighbours, then its smaller ones, until nothing changes (about log(n)
+    rounds).  A node with very many edges is only ever an aggregation key with a
+    partial minimum; a round costs one written table and one scalar.
+    """
+    links = written(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).where("hi <> lo").distinct())
+    changed = True
+    while changed:
+        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        pair = lambda c: F.struct(F.col(c).alias("hi"), F.col("m").alias("lo"))
+        small = written(large.join(floor, "hi").select(F.explode(F.array(pair("hi"), pair("lo"))).alias("e")).select("e.*").where("hi <> lo").distinct())
+        changed = not small.join(links, ["hi", "lo"], "left_anti").isEmpty() or not links.join(small, ["hi", "lo"], "left_anti").isEmpty()
+        links = small
+    member = links.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
+    roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
+    return member.unionByName(roots.join(member.select("node"), "node", "left_anti"))
 
 
 def campaigns(edges: DataFrame, confirmed: DataFrame | None = None) -> DataFrame:
-    """(component, size, members, confirmed) of the components of two nodes or more."""
+    """(component, size, confirmed) of the components; the members are the rows of ``components``."""
     c = components(edges)
     known = confirmed.select("node").distinct().withColumn("_k", F.lit(1)) if confirmed is not None else c.select("node").limit(0).withColumn("_k", F.lit(1))
-    return c.join(known, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"), F.count("_k").alias("confirmed")).where("size > 1")
+    return c.join(known, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.count("_k").alias("confirmed"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -70,9 +91,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank): random walk that returns to the seeds (to all nodes without any); starts at 1/n."""
-    both = checkpointed(both_ways(edges).select("src", "dst"))
+    both = written(both_ways(edges).select("src", "dst"))
     degree = both.groupBy("src").agg(F.count("*").alias("degree"))
-    links = checkpointed(both.join(degree, "src"))
+    links = written(both.join(degree, "src"))
     nodes = degree.select(F.col("src").alias("node"))
     n = nodes.count()
     if not n:
@@ -81,13 +102,13 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.
     if seeds is not None:
         marked = nodes.join(seeds.select("node").distinct().withColumn("_s", F.lit(1.0)), "node", "left").select("node", F.coalesce("_s", F.lit(0.0)).alias("seed"))
     total = marked.agg(F.sum("seed")).first()[0]
-    base = checkpointed(marked.select("node", (F.col("seed") / total if total else F.lit(1.0 / n)).alias("home")))
+    base = written(marked.select("node", (F.col("seed") / total if total else F.lit(1.0 / n)).alias("home")))
     rank = base.select("node", F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
         flow = links.join(rank, links.src == rank.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
         new = base.join(flow, "node", "left").join(rank.withColumnRenamed("rank", "old"), "node").select("node", ((1 - alpha) * F.col("home") + alpha * F.coalesce("flow", F.lit(0.0))).alias("rank"), "old")
         if i % 5 == 4:
-            new = checkpointed(new)
+            new = written(new)
             moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
             rank = new.select("node", "rank")
             if moved < tolerance:
@@ -105,62 +126,64 @@ def suspicion(edges: DataFrame, confirmed: DataFrame, k: int = 5, rounds: int =
     return rank.join(known, "node", "left_anti").join(near, "node", "left").select("node", F.round("rank", 4).alias("score"), F.coalesce("near", F.array().cast("array<string>")).alias("near"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """(node, distance) from the nearest source, level by level."""
-    e = checkpointed(both_ways(edges).select("src", "dst"))
-    seen = checkpointed(sources.select("node").distinct().withColumn("distance", F.lit(0)))
-    for d in range(1, most + 1):
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, distance) from the nearest source, level by level until no level is added."""
+    e = written(both_ways(edges).select("src", "dst"))
+    seen = written(sources.select("node").distinct().withColumn("distance", F.lit(0)))
+    d = 0
+    while True:
+        d += 1
         front = seen.where(F.col("distance") == d - 1)
-        new = front.join(e, front.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(d))
-        both = checkpointed(seen.unionByName(new))
-        if not both.where(F.col("distance") == d).limit(1).count():
-            break
-        seen = both
-    return seen
+        new = written(front.join(e, front.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(d)))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, most: int = 20) -> DataFrame:
+def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
     """One row (path) between two nodes without regard to case; none if absent, equal or apart."""
-    low = both_ways(edges).select(F.lower("src").alias("src"), F.lower("dst").alias("dst"))
-    e = checkpointed(low)
+    e = written(both_ways(edges).select(F.lower("src").alias("src"), F.lower("dst").alias("dst")))
     start, goal = a.lower(), b.lower()
     front = e.where(F.col("src") == start).select(F.col("src").alias("node")).distinct().withColumn("path", F.array("node"))
     seen = front.select("node")
-    for _ in range(most if start != goal else 0):
+    while start != goal:
         new = front.join(e, front.node == e.src).join(seen.withColumnRenamed("node", "dst"), "dst", "left_anti").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        front = checkpointed(new.withColumn("path", F.concat("path", F.array("node"))))
-        if not front.limit(1).count():
-            break
-        if front.where(F.col("node") == goal).limit(1).count():
-            return front.where(F.col("node") == goal).select("path")
+        front = written(new.withColumn("path", F.concat("path", F.array("node"))))
+        found = front.where(F.col("node") == goal).select("path")
+        if front.isEmpty() or not found.isEmpty():
+            return found
         seen = seen.unionByName(front.select("node"))
     return front.where(F.lit(False)).select("path")
 
 
-def betweenness(edges: DataFrame, sources: int = 50, depth: int = 20) -> tuple[DataFrame, DataFrame]:
+def betweenness(edges: DataFrame, sources: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes with betweenness, edges with betweenness), from ``sources`` sampled by hash.
 
-    Breadth-first levels with path counts forward, dependencies backward, for all
-    sources at once; unnormalised sums over the sources.
+    By default a tenth of the nodes, 10 at least and 200 at most (all nodes of a
+    smaller graph).  Breadth-first levels with path counts forward, dependencies
+    backward, for all sources at once; unnormalised sums over the sources.
     """
-    e = checkpointed(both_ways(edges).select("src", "dst"))
-    chosen = e.select(F.col("src").alias("node")).distinct().orderBy(F.xxhash64("node"), "node").limit(sources)
-    level = checkpointed(chosen.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
+    e = written(both_ways(edges).select("src", "dst"))
+    nodes = e.select(F.col("src").alias("node")).distinct()
+    if sources is None:
+        sources = max(10, min(nodes.count() // 10, 200))
+    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(sources)
+    level = written(chosen.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
     deepest = 0
-    for d in range(1, depth + 1):
-        front = level.where(F.col("d") == d - 1)
+    while True:
+        front = level.where(F.col("d") == deepest)
         new = front.join(e, front.node == e.src).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths")).join(level.select("s", "node"), ["s", "node"], "left_anti")
-        grown = checkpointed(level.unionByName(new.select("s", "node", F.lit(d).alias("d"), "paths")))
-        if not grown.where(F.col("d") == d).limit(1).count():
+        new = written(new.select("s", "node", F.lit(deepest + 1).alias("d"), "paths"))
+        if new.isEmpty():
             break
-        level, deepest = grown, d
+        level, deepest = level.unionByName(new), deepest + 1
     credit = level.select("s", "node", F.lit(0.0).alias("dep")).where("false")
     flows = None
     for d in range(deepest, 0, -1):
         below = level.where(F.col("d") == d).join(credit, ["s", "node"], "left").select("s", F.col("node").alias("w"), F.col("paths").alias("pw"), F.coalesce("dep", F.lit(0.0)).alias("dw"))
         up = level.where(F.col("d") == d - 1).select("s", F.col("node").alias("v"), F.col("paths").alias("pv"))
         flow = below.join(e, below.w == e.src).select("s", "w", "pw", "dw", F.col("dst").alias("v")).join(up, ["s", "v"]).select("s", "v", "w", (F.col("pv") / F.col("pw") * (1 + F.col("dw"))).alias("c"))
-        flow = checkpointed(flow)
+        flow = written(flow)
         flows = flow if flows is None else flows.unionByName(flow)
         credit = credit.unionByName(flow.groupBy("s", F.col("v").alias("node")).agg(F.sum("c").alias("dep")))
     nodes = credit.where("s <> node").groupBy("node").agg(F.sum("dep").alias("betweenness"))
@@ -176,22 +199,31 @@ def best_overlap(current: DataFrame, previous: DataFrame) -> DataFrame:
     return met.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def gained_members(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(cur, node): members of a cluster that its best earlier match does not have; all members of a new one."""
+    match = best_overlap(current, previous).select("cur", "prev")
+    now = current.select(F.col("component").alias("cur"), "node").join(match, "cur", "left")
+    before = previous.select(F.col("component").alias("prev"), "node")
+    return now.join(before, ["prev", "node"], "left_anti").select("cur", "node")
+
+
 def campaign_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(cur, status, gained): new clusters, and clusters that gained members."""
-    match = best_overlap(current, previous)
-    of = lambda df, name: df.groupBy(F.col("component").alias(name)).agg(F.array_sort(F.collect_list("node")).alias(f"m_{name}"))
-    all_ = of(current, "cur").join(match, "cur", "left").join(of(previous, "prev"), "prev", "left")
-    gained = F.array_sort(F.array_except("m_cur", F.coalesce("m_prev", F.array().cast("array<string>"))))
-    return all_.select("cur", F.when(F.col("prev").isNull(), "new").when(F.size(gained) > 0, "growth").otherwise("same").alias("status"), gained.alias("gained"))
+    """(cur, status, size, gained): new clusters, and clusters that gained members; their rows are ``gained_members``."""
+    sizes = current.groupBy(F.col("component").alias("cur")).agg(F.count("*").alias("size"))
+    gained = gained_members(current, previous).groupBy("cur").agg(F.count("*").alias("gained"))
+    all_ = sizes.join(best_overlap(current, previous).select("cur", "prev"), "cur", "left").join(gained, "cur", "left")
+    gained_n = F.coalesce("gained", F.lit(0).cast("long"))
+    return all_.select("cur", F.when(F.col("prev").isNull(), "new").when(gained_n > 0, "growth").otherwise("same").alias("status"), "size", gained_n.alias("gained"))
 
 
-def pivots(edges: DataFrame, node: str, confirmed: DataFrame, n: int = 10) -> DataFrame:
-    """Where to look next from a node: neighbours by weight, then members of its cluster."""
-    near = both_ways(edges).where(F.col("src") == node).select(F.col("dst").alias("node"), F.lit(1).alias("tier"), "weight")
+def pivots(edges: DataFrame, node: str, confirmed: DataFrame, n: int = 10, suspects: int = 5) -> DataFrame:
+    """Where to look next from a node: neighbours by weight, then members of its cluster, then the leading suspects elsewhere."""
+    near = both_ways(edges).where(F.col("src") == node).select(F.col("dst").alias("node"), F.lit(1).alias("tier"), F.col("weight").cast("double").alias("weight"))
     comp = components(edges)
     own = comp.where(F.col("node") == node).select("component")
-    mates = comp.join(own, "component", "left_semi").where(F.col("node") != node).select("node", F.lit(2).alias("tier"), F.lit(0).cast("long").alias("weight"))
-    all_ = near.unionByName(mates).groupBy("node").agg(F.min("tier").alias("tier"), F.max("weight").alias("weight"))
+    mates = comp.join(own, "component", "left_semi").where(F.col("node") != node).select("node", F.lit(2).alias("tier"), F.lit(0.0).alias("weight"))
+    ranked = suspicion(edges, confirmed).where(F.col("node") != node).orderBy(F.desc("score"), "node").limit(suspects).select("node", F.lit(3).alias("tier"), F.col("score").alias("weight"))
+    all_ = near.unionByName(mates).unionByName(ranked).groupBy("node").agg(F.min("tier").alias("tier"), F.max_by("weight", -F.col("tier")).alias("weight"))
     far = distances(edges, confirmed).withColumnRenamed("distance", "hops_to_confirmed")
     return all_.join(far, "node", "left").orderBy("tier", F.desc("weight"), "node").limit(n)
 

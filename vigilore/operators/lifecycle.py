@@ -17,7 +17,13 @@ def ioc_key(value: Column) -> Column:
 def ioc_store(observations: DataFrame, batches: int = 10) -> DataFrame:
     """(ioc, kind, n, first_seen, last_seen, source, batches) over observations (ioc, kind, source, batch, ts)."""
     o = observations.withColumn("ioc", ioc_key(F.col("ioc")))
-    return o.groupBy("ioc").agg(F.min_by("kind", F.struct("ts", "kind")).alias("kind"), F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("source", F.struct("ts", "source")).alias("source"), F.slice(F.array_sort(F.collect_set("batch")), -batches, batches).alias("batches") if batches else F.lit(None).alias("batches"))
+    store = o.groupBy("ioc").agg(F.min_by("kind", F.struct("ts", "kind")).alias("kind"), F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("source", F.struct("ts", "source")).alias("source"))
+    if not batches:
+        return store.withColumn("batches", F.lit(None).cast("array<string>"))
+    # The last batches of an indicator: ranked within tasks first, so a hot one sends a few rows from each.
+    latest = Window.partitionBy("ioc").orderBy(F.desc("batch"))
+    last = o.select("ioc", "batch").where("batch is not null").distinct().withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= batches)
+    return store.join(last.groupBy("ioc").agg(F.array_sort(F.collect_list("batch")).alias("batches")), "ioc", "left").withColumn("batches", F.coalesce("batches", F.array().cast("array<string>")))
 
 
 def ranked(store: DataFrame, as_of: datetime, kind: str | None = None, since_days: int | None = None, min_count: int = 1, n: int = 50) -> DataFrame:
@@ -91,29 +97,50 @@ def kind_stats(store: DataFrame) -> DataFrame:
     return store.groupBy("kind").agg(F.count("*").alias("entries"), F.sum("n").alias("observations"))
 
 
-def asset_context(hosts: DataFrame, assets: DataFrame) -> DataFrame:
-    from .extract import asset_lookup
+def investigation(alerts: DataFrame, as_of: datetime, hours: int = 24, threshold: float = 35.0, techniques: DataFrame | None = None, intel: DataFrame | None = None, confirmed: DataFrame | None = None, batch_seconds: int = 60, drift_threshold: float = 2.5) -> DataFrame:
+    """Batch over all addresses of a window: card, risk with graph context, chain, intelligence, drift and the joint verdict.
 
-    return asset_lookup(hosts, assets)
-
-
-def investigation(alerts: DataFrame, as_of: datetime, hours: int = 24, threshold: float = 35.0, techniques: DataFrame | None = None) -> DataFrame:
-    """Batch over all addresses of a window: risk, chain confidence, card and the joint verdict."""
-    from ..functions.common import in_window
+    ``intel`` is a consensus table (indicator, votes, risk); ``confirmed`` has the
+    addresses known to be hostile.  Their effects on the registries are those of
+    ``verdict_effects`` over ``investigation_verdicts``.
+    """
+    from ..functions.common import bucket, in_window
+    from .graph import co_occurrence, components
     from .profiles import ip_profile
     from .scoring import category_risks, engine_a, unified_severity
     from .sequence import collapsed, kill_chains
-
-    rows = alerts.where(in_window("ts", as_of - timedelta(hours=hours), as_of))
+    from .timeseries import baseline_drift
+
+    since = as_of - timedelta(hours=hours)
+    rows = alerts.where(in_window("ts", since, as_of))
+    edges = co_occurrence(rows.withColumn("batch", bucket("ts", batch_seconds)), "srcip")
+    cluster = components(edges).select(F.col("node").alias("srcip"), F.col("component").alias("cluster"))
+    known = (confirmed if confirmed is not None else rows.select("srcip").limit(0)).select("srcip").distinct().withColumn("known", F.lit(True))
+    near = cluster.join(known, "srcip").select("cluster").distinct().withColumn("near_confirmed", F.lit(True))
     risk = engine_a(category_risks(rows, techniques), threshold).select("srcip", "total", "triggered")
     chain = kill_chains(collapsed(rows)).groupBy("srcip").agg(F.max("confidence").alias("chain_confidence"))
+    drift = baseline_drift(alerts, 3600, (since - timedelta(days=7), since), (since, as_of), drift_threshold).agg(F.count_if("drifted").alias("drifted"))
     card = ip_profile(rows).select("srcip", F.col("total").alias("n_alerts"), "recommendation")
-    out = card.join(risk, "srcip", "left").join(chain, "srcip", "left")
+    out = card.join(risk, "srcip", "left").join(chain, "srcip", "left").join(cluster, "srcip", "left").join(near, "cluster", "left").join(known, "srcip", "left")
+    if intel is not None:
+        out = out.join(intel.select(F.col("indicator").alias("srcip"), "votes", F.col("risk").alias("intel_risk")), "srcip", "left")
+    else:
+        out = out.withColumns({"votes": F.lit(None).cast("long"), "intel_risk": F.lit(None).cast("string")})
     triggers = F.coalesce(F.col("triggered").cast("long"), F.lit(0))
-    score, label = unified_severity(triggers, F.when(F.col("chain_confidence") >= 0.6, 1).otherwise(0))
-    return out.select("srcip", "n_alerts", "recommendation", F.coalesce("total", F.lit(0.0)).alias("risk"), F.coalesce("chain_confidence", F.lit(0.0)).alias("chain_confidence"), score.cast("long").alias("severity"), label.alias("verdict"))
+    score, label = unified_severity(triggers, (F.coalesce("chain_confidence", F.lit(0.0)) >= 0.6).cast("long") + F.coalesce(F.col("votes") > 0, F.lit(False)).cast("long"))
+    return out.select(
+        "srcip", "n_alerts", "recommendation", F.coalesce("total", F.lit(0.0)).alias("risk"), F.coalesce("chain_confidence", F.lit(0.0)).alias("chain_confidence"), "cluster", F.coalesce("near_confirmed", F.lit(False)).alias("near_confirmed"),
+        F.coalesce("known", F.lit(False)).alias("confirmed"), "votes", "intel_risk", drift.scalar().alias("drifted_hours"), score.cast("long").alias("severity"), label.alias("verdict"),
+    )
+
+
+def investigation_verdicts(found: DataFrame, as_of: datetime) -> DataFrame:
+    """Rows for ``verdict_effects``: severe addresses are true positives, those without any sign false ones."""
+    verdict = F.when(F.col("severity") >= 3, "true_positive").when((F.col("severity") == 0) & ~F.col("near_confirmed"), "false_positive").otherwise("needs_review")
+    return found.select("srcip", verdict.alias("verdict"), F.concat(F.lit("severity "), F.col("severity").cast("string")).alias("notes"), F.lit(as_of).alias("ts"), F.lit(None).cast("string").alias("case_id"))
 
 
-def newest(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.desc("ts"))
+def newest(rows: DataFrame, by: list[str], n: int, tie: str) -> DataFrame:
+    """The last ``n`` rows of each group by time; equal times by the larger ``tie``."""
+    order = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc(tie))
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")

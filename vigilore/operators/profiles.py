@@ -42,6 +42,40 @@ def digest(alerts: DataFrame, key: str = "srcip") -> DataFrame:
     return alerts.groupBy(key, "rule_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("rule_level").alias("max_level"))
 
 
+def facets(rows: DataFrame, keys: list[str], dims: dict[str, Column], k: int | None = None, ts: str | None = None) -> DataFrame:
+    """(keys, kind, value, n[, first_seen, last_seen][, rank]): what each key occurs with, all kinds from one scan.
+
+    Values may be arrays, whose distinct elements count once a row; null, empty and
+    ``-`` are missing.  ``k`` keeps the leading values of every key and kind.
+    """
+    each = []
+    for kind, value in dims.items():
+        array = value if "array" in rows.select(value.alias("v")).dtypes[0][1] else F.array(value.cast("string"))
+        each.append(F.transform(F.array_distinct(F.coalesce(array, F.array().cast("array<string>"))), _of_kind(kind)))
+    named = [F.col(x) for x in keys] + ([F.col(ts).alias("_ts")] if ts else [])
+    flat = rows.select(*named, F.explode(F.flatten(F.array(*each))).alias("x")).select(*keys, *(["_ts"] if ts else []), "x.*").where("value is not null and value not in ('', '-')")
+    seen = [F.min("_ts").alias("first_seen"), F.max("_ts").alias("last_seen")] if ts else []
+    out = flat.groupBy(*keys, "kind", "value").agg(F.count("*").alias("n"), *seen)
+    if k is None:
+        return out
+    order = Window.partitionBy(*keys, "kind").orderBy(F.desc("n"), "value")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _of_kind(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
+def sample_row(rows: DataFrame, keys: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """One row of every group: the first by ``order``."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_x")).select(*keys, "_x.*")
+
+
+def coverage(rows: DataFrame, axis: str, present: Column) -> DataFrame:
+    """Totals of a curated report: rows, entities, and the share of rows with a location in percent."""
+    return rows.agg(F.count("*").alias("total"), F.count_distinct(axis).alias("entities"), r4(F.count_if(present) * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("coverage_pct"))
+
+
 def user_agent_counts(alerts: DataFrame, key: str, agent: str = "user_agent", k: int = 20) -> DataFrame:
     """Leading user agents per address with the label of unusual ones; ``-`` and empty are missing."""
     clean = alerts.withColumn(agent, F.when(~F.col(agent).isin("", "-"), F.col(agent))).where(F.col(agent).isNotNull())
@@ -130,6 +164,43 @@ def normalise_intel(feed: DataFrame) -> DataFrame:
     return feed.withColumn("risk", risk).withColumn("malicious", F.col("risk").isin("high", "critical"))
 
 
+# Limits of the providers' own figures.
+PROVIDER_SCORES = {"malicious": 100, "suspicious": 60, "known": 30, "unknown": 10, "safe": 0}
+PROVIDER_RISKS = {"malicious": "high", "suspicious": "medium", "known": "low", "unknown": "low", "safe": "none"}
+
+
+def provider_opinions(feed: DataFrame) -> DataFrame:
+    """Rows of (provider kind, indicator and the figures of its kind, error) to (risk, score, malicious).
+
+    Kinds: ``reputation`` (a word), ``confidence`` (0 to 100, by matches), ``abuse`` (0
+    to 100), ``engines`` (how many of how many detect), ``scanner`` (a class),
+    ``pulses`` (mentions, families, samples).
+    """
+    table = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+    word, kind = F.coalesce(F.lower("reputation"), F.lit("unknown")), F.col("kind")
+    conf, found = F.coalesce("confidence", F.lit(0)), F.coalesce("detections", F.lit(0))
+    share = F.floor(found * 100 / F.when(F.col("total") > 0, F.col("total")).otherwise(1)).cast("int")
+    named = F.coalesce("families", F.lit(0)) + F.coalesce("samples", F.lit(0)) > 0
+    limits = lambda c, *steps: F.coalesce(*[F.when(c >= at, name) for at, name in steps], F.lit("none"))
+    risk = (
+        F.when(kind == "reputation", F.coalesce(F.element_at(table(PROVIDER_RISKS), word), F.lit("low")))
+        .when(kind == "confidence", F.when(found == 0, "none").otherwise(limits(conf, (75, "high"), (50, "medium"), (-1, "low"))))
+        .when(kind == "abuse", limits(conf, (75, "high"), (50, "medium"), (25, "low")))
+        .when(kind == "engines", F.when(share >= 50, "high").when(share >= 20, "medium").when(found > 0, "low").otherwise("none"))
+        .when(kind == "scanner", F.when(word == "malicious", "high").when(word == "unknown", "low").otherwise("none"))
+        .when(kind == "pulses", F.when(named, "high").when(found > 0, "medium").otherwise("none"))
+    )
+    score = (
+        F.when(kind == "reputation", F.coalesce(F.element_at(table(PROVIDER_SCORES), word), F.lit(10)))
+        .when(kind.isin("confidence", "abuse"), conf)
+        .when(kind == "engines", share)
+        .when(kind == "scanner", F.when(word == "malicious", 100).otherwise(0))
+        .when(kind == "pulses", F.when((found == 0) & ~named, 0).otherwise(F.least(50 + 5 * found + 10 * F.coalesce("samples", F.lit(0)), F.lit(100))))
+    )
+    bad = F.when(kind.isin("reputation", "scanner"), word == "malicious").when(kind == "engines", found > 0).when(kind == "pulses", named).when(kind == "confidence", (conf >= 50) & (found > 0)).otherwise(conf >= 50)
+    return feed.withColumns({"risk": risk, "score": score.cast("int"), "malicious": bad})
+
+
 def consensus(normal: DataFrame) -> DataFrame:
     """Per indicator: votes, highest risk and provider errors; risk is null if no provider answered."""
     rank = F.element_at(F.create_map(*[x for k, v in RISK_RANK.items() for x in (F.lit(k), F.lit(v))]), F.col("risk"))

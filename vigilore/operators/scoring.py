@@ -179,11 +179,15 @@ def normal_cidr6(ip: Column, prefix: int = 64) -> Column:
     return network(ip)
 
 
-def lockouts(alerts: DataFrame, text: str = "full_log", error: str = "error") -> DataFrame:
-    """Advisory count of account-lockout alerts."""
-    log, err = F.lower(F.col(text)), F.lower(F.col(error))
-    hit = err.contains("locked") | log.contains("account is locked") | log.contains("account locked") | log.contains("locked out")
-    return alerts.agg(F.count_if(hit).alias("lockouts"))
+def lockouts(alerts: DataFrame, text: str = "full_log", errors: tuple[str, ...] = ("error", "inner_error", "mail_error"), groups: list[str] | None = None) -> DataFrame:
+    """Advisory count of account-lockout alerts of category B: ``locked`` in an error field, or a phrase in the log."""
+    hit = F.lit(False)
+    for name in errors:
+        hit = hit | F.coalesce(F.lower(name).rlike(r"\blocked\b"), F.lit(False))
+    for phrase in ("account is locked", "account locked", "locked out"):
+        hit = hit | F.coalesce(F.lower(text).contains(phrase), F.lit(False))
+    of_b = F.arrays_overlap("rule_groups", F.array(*map(F.lit, groups or GROUP_TOKENS["B"])))
+    return alerts.agg(F.count_if(of_b & hit).alias("lockouts"))
 
 
 def graph_context(clusters: DataFrame, ranks: DataFrame, confirmed: DataFrame) -> DataFrame:

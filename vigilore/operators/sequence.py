@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import r4
+from ..functions.common import r4, with_previous
+from ..functions.storage import materialize
 from ..knowledge import CHAINS, PHASE_RULES
 
 
 def collapsed(alerts: DataFrame, key: str = "srcip", item: str = "rule_id") -> DataFrame:
-    """(key, pos, item, ts): consecutive repeats of an item become one; positions from 1."""
-    order = Window.partitionBy(key).orderBy("ts", "alert_id")
-    change = alerts.withColumn("_before", F.lag(item).over(order)).where(~F.col(item).eqNullSafe(F.col("_before")))
-    return change.select(key, F.row_number().over(order).alias("pos"), item, "ts")
+    """(key, pos, item, ts): consecutive repeats of an item become one; positions from 1.
+
+    Changes are numbered within parts of a key's time, behind the changes of the parts before.
+    """
+    rows = with_previous(alerts.select(key, item, "ts", "alert_id"), key, F.col(item))
+    change = rows.where(~F.col(item).eqNullSafe(F.col("_before")))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = change.groupBy(key, "_part").agg(F.count("*").alias("n")).select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(key, "_part").orderBy("ts", "alert_id")
+    met = change.join(ahead, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return met.select(key, (F.col("_ahead") + F.row_number().over(inside)).cast("int").alias("pos"), item, "ts")
 
 
 def transitions(chain: DataFrame, key: str = "srcip", item: str = "rule_id", n: int = 15) -> DataFrame:
@@ -35,7 +43,7 @@ def kill_chains(chain: DataFrame, key: str = "srcip", item: str = "rule_id", cha
     """
     chains, phases = chains or CHAINS, phases or PHASE_RULES
     relevant = sorted({r for names, _ in chains.values() for p in names for r in phases[p]})
-    rows = chain.where(F.col(item).isin(relevant)).select(key, "pos", item)
+    rows = materialize(chain.where(F.col(item).isin(relevant)).select(key, "pos", item), "chains")
     pos, rule = F.col("pos"), F.col(item)
     depth = max(len(names) for names, _ in chains.values())
     state = rows.select(key).distinct().withColumns({c: F.lit(0) for c in chains} | {f"m_{c}": F.lit(0) for c in chains})

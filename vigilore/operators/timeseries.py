@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import bucket, epoch, in_window, r4, severity_counts, top_k_per, zero_filled
+from ..functions.common import bucket, epoch, in_window, r4, severity_counts, top_k_per, with_previous, zero_filled
 
 FLAT = 1e-4
 
@@ -22,21 +22,22 @@ def filled_histogram(alerts: DataFrame, seconds: int, since: datetime, until: da
 
 def gaps(alerts: DataFrame, key: str = "srcip", order: tuple[str, ...] = ("ts", "alert_id")) -> DataFrame:
     """(key, ts, gap): seconds since the alert before of the same key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return alerts.select(key, "ts", (epoch("ts") - F.lag(epoch("ts")).over(w)).alias("gap")).where("gap is not null")
+    rows = with_previous(alerts.select(key, *order), key, epoch("ts"), order)
+    return rows.select(key, "ts", (epoch("ts") - F.col("_before")).alias("gap")).where("gap is not null")
 
 
 def beacons(alerts: DataFrame, key: str = "srcip", min_events: int = 5, cv_threshold: float = 0.3) -> DataFrame:
     """Regularity of every key's arrivals: score 1 for a clock, 0 from a variation of 0.5 on.
 
-    ``period`` is the upper median of the gaps in whole seconds.
+    ``period`` is the upper median of the gaps in whole seconds, found among the
+    distinct whole seconds, which are few however many gaps there are.
     """
     g = gaps(alerts, key)
-    order = Window.partitionBy(key).orderBy("gap")
-    ranked = g.withColumn("rn", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy(key)))
-    stats = ranked.groupBy(key).agg(
-        F.count("*").alias("n_gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"), F.max(F.when(F.col("rn") == F.floor(F.col("size") / 2) + 1, F.bround("gap"))).alias("period")
-    )
+    stats = g.groupBy(key).agg(F.count("*").alias("n_gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
+    seconds = g.groupBy(F.col(key).alias("_key"), F.bround("gap").alias("s")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("_key").orderBy("s"))
+    middle = seconds.withColumn("upto", upto).withColumn("size", F.sum("n").over(Window.partitionBy("_key"))).where(F.col("upto") > F.floor(F.col("size") / 2)).groupBy("_key").agg(F.min("s").alias("period"))
+    stats = stats.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     events = alerts.groupBy(key).agg(F.count("*").alias("n_events"))
     cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean"))
     out = events.join(stats, key, "left").withColumn("cv", cv)
@@ -140,9 +141,12 @@ def timeline(alerts: DataFrame, seconds: int, since: datetime, until: datetime)
     """Total, bands and the leading rule, address and agent of every bucket."""
     rows = alerts.where(in_window("ts", since, until)).withColumn("bucket", bucket("ts", seconds))
     counted = rows.groupBy("bucket").agg(F.count("*").alias("total"), *severity_counts())
-    for name in ("rule_id", "srcip", "agent_name"):
-        lead = top_k_per(rows, ["bucket"], name, 1).select("bucket", F.col(name).alias(f"top_{name}"))
-        counted = counted.join(lead, "bucket", "left")
+    names = ("rule_id", "srcip", "agent_name")
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("dimension"), F.col(x).cast("string").alias("value")) for x in names]))
+    each = rows.select("bucket", pairs.alias("p")).select("bucket", "p.*").groupBy("bucket", "dimension", "value").agg(F.count("*").alias("n"))
+    first = F.struct(-F.col("n"), F.col("value"))
+    lead = each.groupBy("bucket").agg(*[F.min_by("value", F.when(F.col("dimension") == x, first)).alias(f"top_{x}") for x in names])
+    counted = counted.join(lead, "bucket", "left")
     values = ["total", "low", "medium", "high"]
     full = zero_filled(counted.select("bucket", *values), "bucket", seconds, since, until, values)
     return full.join(counted.drop(*values), "bucket", "left")

@@ -35,11 +35,11 @@ def verdict_dashboard(spark, sf_dir):
     return lifecycle.verdict_counts(v, datetime(1970, 1, 1))
 
 
-@query("case_view", "SELECT o_custkey AS case_id, coalesce(array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderstatus = 'O'))), '|'), '') AS iocs, count(*) FILTER (o_orderstatus = 'F') AS n_verdicts FROM orders WHERE o_custkey <= 40 GROUP BY 1")
+@query("case_view", "SELECT case_id, iocs, ips, n_verdicts, created FROM (SELECT o_custkey AS case_id, coalesce(array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderstatus = 'O'))), '|'), '') AS iocs, coalesce(array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderstatus NOT IN ('O', 'F')))), '|'), '') AS ips, count(*) FILTER (o_orderstatus = 'F') AS n_verdicts, min(o_orderkey) AS created FROM orders GROUP BY 1) ORDER BY created DESC, case_id LIMIT 500")
 def case_view(spark, sf_dir):
     kind = F.when(F.col("o_orderstatus") == "O", "ioc").when(F.col("o_orderstatus") == "F", "verdict").otherwise("ip")
-    events = table(spark, sf_dir, "orders").where("o_custkey <= 40").select(F.col("o_custkey").alias("case_id"), kind.alias("kind"), F.col("o_orderpriority").alias("value"), F.timestamp_seconds("o_orderkey").alias("ts"))
-    return lifecycle.case_view(events).select("case_id", F.array_join("iocs", "|").alias("iocs"), "n_verdicts")
+    events = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), kind.alias("kind"), F.col("o_orderpriority").alias("value"), F.timestamp_seconds("o_orderkey").alias("ts"))
+    return lifecycle.case_view(events).select("case_id", F.array_join("iocs", "|").alias("iocs"), F.array_join("ips", "|").alias("ips"), "n_verdicts", F.unix_seconds("created").alias("created"))
 
 
 def _store(spark, sf_dir):
@@ -73,12 +73,12 @@ def intel_consensus(spark, sf_dir):
     return profiles.consensus(profiles.normalise_intel(feed))
 
 
-@query("confidence_scores", "WITH s AS (SELECT s_suppkey, (s_suppkey % 11) / 10.0 AS a, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE (s_suppkey % 7) / 6.0 END AS b, (s_suppkey % 5) / 4.0 AS c FROM supplier), x AS (SELECT s_suppkey, (0.35 * a + coalesce(0.35 * b, 0) + 0.30 * c) / (0.65 + CASE WHEN b IS NULL THEN 0 ELSE 0.35 END) AS v FROM s) SELECT s_suppkey::VARCHAR AS indicator, round(v, 4) AS score FROM x")
+@query("confidence_scores", "WITH s AS (SELECT s_suppkey, (s_suppkey % 11) / 10.0 AS a, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE (s_suppkey % 7) / 6.0 END AS b, (s_suppkey % 5) / 4.0 AS c FROM supplier), x AS (SELECT s_suppkey, (0.35 * a + coalesce(0.35 * b, 0) + 0.30 * c) / (0.65 + CASE WHEN b IS NULL THEN 0 ELSE 0.35 END) AS v FROM s) SELECT s_suppkey::VARCHAR AS indicator, round(v, 4) AS score, CASE WHEN round(v, 4) >= 0.8 THEN 'malicious' WHEN round(v, 4) >= 0.5 THEN 'suspicious' WHEN round(v, 4) >= 0.2 THEN 'low' WHEN round(v, 4) > 0 THEN 'present' ELSE 'none' END AS verdict FROM x")
 def confidence_scores(spark, sf_dir):
     k = F.col("s_suppkey")
     rows = F.array(F.struct(F.lit("provider_a").alias("provider"), ((k % 11) / 10.0).alias("score")), F.struct(F.lit("provider_b").alias("provider"), F.when(k % 3 != 0, (k % 7) / 6.0).alias("score")), F.struct(F.lit("provider_c").alias("provider"), ((k % 5) / 4.0).alias("score")))
     feed = table(spark, sf_dir, "supplier").select(k.cast("string").alias("indicator"), F.explode(rows).alias("x")).select("indicator", "x.*")
-    return profiles.confidence_score(feed).drop("verdict")
+    return profiles.confidence_score(feed)
 
 
 @query("hunt_words", "WITH h AS (SELECT source, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])token($|[^a-z0-9_])') THEN 'tokens' END AS a, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])und($|[^a-z0-9_])') AND regexp_matches(lower(text), '(^|[^a-z0-9_])das($|[^a-z0-9_])') THEN 'german' END AS b FROM documents) SELECT hunt, source, count(*) AS n FROM (SELECT a AS hunt, source FROM h UNION ALL SELECT b, source FROM h) WHERE hunt IS NOT NULL GROUP BY 1, 2")
@@ -92,10 +92,10 @@ def persistence_tiers(spark, sf_dir):
     return scoring.multi_resolution(alerts(spark, sf_dir), AS_OF, techniques(spark)).drop("persistence")
 
 
-@query("attacker_hosts", f"WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages) SELECT host FROM h WHERE host IN ('example.org') OR (regexp_replace(host, '^[^.]*[.]', '') IN ('example.org', 'tionsh.example.net') AND len(string_split(host, '.')) > 2)")
+@query("attacker_hosts", f"WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages) SELECT host FROM h WHERE host IN ('example.org', 'tionsh.example.net') OR (regexp_replace(host, '^[^.]*[.]', '') IN ('example.org', 'tionsh.example.net') AND len(string_split(host, '.')) > 2)")
 def attacker_hosts(spark, sf_dir):
     hosts = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host")).distinct()
-    return extract.attacker_match(hosts, spark.createDataFrame([("example.org",), ("tionsh.example.net",)], "ioc string"), "host").where("host <> 'tionsh.example.net'")
+    return extract.attacker_match(hosts, spark.createDataFrame([("example.org",), ("tionsh.example.net",)], "ioc string"), "host")
 
 
 @query("deep_chains", CTE + _CHAIN + ", m AS (SELECT srcip FROM alerts GROUP BY 1 HAVING max(rule_level) >= 10) SELECT ch.srcip, string_agg(rule_id, '>' ORDER BY pos) AS chain FROM ch WHERE pos <= 15 AND srcip IN (SELECT srcip FROM m) GROUP BY 1")
@@ -105,7 +105,15 @@ def deep_chains(spark, sf_dir):
     return profiles.deep_chains(rows, sequence.collapsed(rows), chosen).select("srcip", F.array_join("chain", ">").alias("chain"))
 
 
-@query("campaign_growth")
+_EDGES_OF = ", o{0} AS (SELECT DISTINCT srcip AS i, date_trunc('minute', ts) AS b FROM alerts WHERE ts >= TIMESTAMP '{1}' AND ts < TIMESTAMP '{2}'), bo{0} AS (SELECT DISTINCT x.i AS u, y.i AS v FROM o{0} x JOIN o{0} y ON x.b = y.b AND x.i <> y.i), r{0} AS (SELECT DISTINCT u AS node, u AS reach FROM bo{0} UNION SELECT r{0}.node, bo{0}.v FROM r{0} JOIN bo{0} ON r{0}.reach = bo{0}.u), k{0} AS (SELECT node, min(reach) AS component FROM r{0} GROUP BY 1)"
+
+
+@query(
+    "campaign_growth",
+    CTE.replace("WITH e", "WITH RECURSIVE e") + _EDGES_OF.format(1, "2024-01-30", "2024-01-31") + _EDGES_OF.format(2, "2024-01-29", "2024-01-30") + """, met AS (SELECT k1.component AS cur, k2.component AS prev, count(*) AS shared FROM k1 JOIN k2 ON k1.node = k2.node GROUP BY 1, 2), best AS (SELECT cur, prev FROM (SELECT *, row_number() OVER (PARTITION BY cur ORDER BY shared DESC, prev) AS r FROM met) WHERE r = 1),
+n AS (SELECT k1.component AS cur, count(*) AS size, count(*) FILTER (k2.node IS NULL) AS gained, any_value(best.prev) AS prev FROM k1 LEFT JOIN best ON k1.component = best.cur LEFT JOIN k2 ON k2.component = best.prev AND k2.node = k1.node GROUP BY 1)
+SELECT cur, CASE WHEN prev IS NULL THEN 'new' WHEN gained > 0 THEN 'growth' ELSE 'same' END AS status, size, gained FROM n""",
+)
 def campaign_growth(spark, sf_dir):
     before = alerts(spark, sf_dir).where((F.col("ts") >= F.lit(DAY - timedelta(days=1))) & (F.col("ts") < F.lit(DAY)))
     old = graph.co_occurrence(before.withColumn("batch", F.date_trunc("minute", "ts")), "srcip")

@@ -108,12 +108,11 @@ def component_ids(sets_by_row, num, den):
     return {i: find(i) for i in parent}
 
 
-@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
-def test_large_clusters_lose_no_link(spark, monkeypatch, num, den):
+def test_large_clusters_lose_no_link(spark, monkeypatch):
     """Chains of near copies, far beyond one block; ids with two texts; null ids; repeated rows."""
     monkeypatch.setattr(jaccard, "SET_BLOCK", 16)
     monkeypatch.setattr(jaccard, "PIVOTS", 3)
-    r = random.Random(8)
+    num, den, r = 80, 100, random.Random(8)
     base = [f"w{r.randrange(500)}" for _ in range(150)]
     data = []
     for g in range(3):

@@ -1,13 +1,17 @@
 """Vectors, chats, URLs, components and the pipeline."""
 
+import collections
 import hashlib
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from vigilore.llm import chat, components, neighbours, urls
-from vigilore.llm.queries import URL_RULES
+from vigilore.llm import chat, components, neighbours, pii, urls
+from vigilore.llm.queries import ORACLE, URL_RULES, tokenizer_path
 
 
 def test_components(spark):
@@ -126,5 +130,25 @@ def test_pipeline(spark):
             seen.add(key)
         want = b" ".join(x for k, x in enumerate(w) if k not in off).decode() if off else once[i]
         assert hashlib.md5(cut[i].encode()).digest() == hashlib.md5(want.encode()).digest()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert packed.select("doc_id").distinct().count() == docs.count()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert set(good) == {i for i, kept in db.sql(ORACLE["op1_quality_rules"]).project("doc_id, kept").fetchall() if kept}
+    spans = {r.doc_id: r.spans for r in pii.pii_spans(spark.createDataFrame(list(cut.items()), "doc_id long, text string")).collect()}
+    for i, text in cut.items():
+        shown, at = "", 0
+        for kind, start, end in (x.split(":") for x in spans[i].split(",") if x):
+            if int(start) >= at:
+                shown += text[at : int(start)] + f"<{kind.upper()}>"
+            at = max(at, int(end))
+        assert held[3][i] == shown + text[at:]
+    packed = collections.defaultdict(list)
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect():
+        packed[r.doc_id].append(r)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    assert packed.keys() == held[3].keys()
+    for i, text in held[3].items():
+        ids, at = tokenizer.encode(text, add_special_tokens=False).ids + [1], 0
+        for r in sorted(packed[i], key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)

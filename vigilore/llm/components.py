@@ -1,38 +1,13 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components of an edge table of long ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from ..operators import graph
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
-
-    Each round links every node to the smallest neighbour of its neighbourhood (large
-    star, then small star), which is repeated until nothing changes (about log(n) rounds).
-    A round is written to the shared folder, so lineage stays short and a lost
-    executor costs one round at most.  A node with very many edges is only ever an
-    aggregation key with a partial minimum, and its edges are split by Spark's
-    skew-join handling; only one number comes to the driver a round: how many
-    edges changed.
-    """
-    links = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
-    links = materialize(links, "links")
-    changed = True
-    while changed:
-        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # Large star: neighbours above u move to the least of u's neighbourhood.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        # Small star: u and its lower neighbours move to the least of them.
-        floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(floor, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct()
-        small = materialize(small, "links")
-        changed = small.join(links, ["hi", "lo"], "left_anti").limit(1).count() or links.join(small, ["hi", "lo"], "left_anti").limit(1).count()
-        links = small
-    member = links.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
-    roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return member.unionByName(roots.join(member.select("node"), "node", "left_anti"))
+    """(node, component) for every node of ``edges(a, b)`` with another neighbour; component is the smallest node reachable."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))

@@ -2,59 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
+
 #: ASCII white space that separates words in every contract of this subpackage.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-_made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of this application that the driver and all executors see; it goes when the application ends.
-
-    The cluster names the folder above it in ``spark.checkpoint.dir``; only a local
-    session without that setting (tests) gets a temporary folder.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="vigilore-")
-        context.setCheckpointDir(named)
-    path = f"{named.rstrip('/')}/vigilore-{context.applicationId}"
-    if path not in _made:
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
-        files.mkdirs(folder)
-        files.deleteOnExit(folder)
-        _made.add(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again.
-
-    Cuts lineage and keeps an expensive result from being computed twice; the
-    files outlive any single executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+__all__ = ["SPACES", "WORD_SPLIT", "docs_table", "materialize", "text_or_empty"]

@@ -222,8 +222,11 @@ def pivots(edges: DataFrame, node: str, confirmed: DataFrame, n: int = 10, suspe
     comp = components(edges)
     own = comp.where(F.col("node") == node).select("component")
     mates = comp.join(own, "component", "left_semi").where(F.col("node") != node).select("node", F.lit(2).alias("tier"), F.lit(0.0).alias("weight"))
-    ranked = suspicion(edges, confirmed).where(F.col("node") != node).orderBy(F.desc("score"), "node").limit(suspects).select("node", F.lit(3).alias("tier"), F.col("score").alias("weight"))
-    all_ = near.unionByName(mates).unionByName(ranked).groupBy("node").agg(F.min("tier").alias("tier"), F.max_by("weight", -F.col("tier")).alias("weight"))
+    tiers = near.unionByName(mates)
+    if suspects:
+        ranked = suspicion(edges, confirmed).where(F.col("node") != node).orderBy(F.desc("score"), "node").limit(suspects)
+        tiers = tiers.unionByName(ranked.select("node", F.lit(3).alias("tier"), F.col("score").alias("weight")))
+    all_ = tiers.groupBy("node").agg(F.min("tier").alias("tier"), F.max_by("weight", -F.col("tier")).alias("weight"))
     far = distances(edges, confirmed).withColumnRenamed("distance", "hops_to_confirmed")
     return all_.join(far, "node", "left").orderBy("tier", F.desc("weight"), "node").limit(n)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more, reports  # noqa: F401  (they register their queries)
+from . import context, more, reports  # noqa: F401  (they register their queries)
 from .security import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

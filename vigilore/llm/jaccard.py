@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -141,11 +141,26 @@ def _describe(plan: _Plan, k: int, lower: bool):
     return run
 
 
+#: Sets whose signatures a task remembers to have sent.
+SENT = 1_000_000
+
+
 def _explode_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, s1): equal sets that meet in one task send their signatures once."""
+    sent: set[int] = set()
     for batch in batches:
-        sigs = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        counts = [len(x) for x in sigs]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts))], names=["sig", "doc_id"])
+        for at in range(0, batch.num_rows, 1000):
+            b = batch.slice(at, 1000)
+            keys, sigs = [], []
+            for key, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key not in sent:
+                    sent.add(key)
+                    keys.append(key)
+                    sigs.append(np.frombuffer(sig, np.int64))
+            if len(sent) > SENT:
+                sent.clear()
+            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in sigs]))], names=["sig", "s1"])
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -336,15 +351,26 @@ def _block(ids: str, n: Column) -> Column:
     return F.floor(F.pmod(F.xxhash64(ids, F.lit(7)), F.lit(1 << 20)) * n / (1 << 20)).cast("int")
 
 
-def _block_pairs(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Numbers the rows of each key, cuts them into blocks and sends each row to the pairs of its block.
+def _meetings(sets: DataFrame) -> DataFrame:
+    """(sig, s1, _n): sets that agree in a fragment, ``_n`` of them.
 
-    The counts are summed within tasks first and joined back, where Spark splits hot keys.
+    The rows of a signature are ordered and counted where they are; they hold two
+    numbers each.  Near copies agree in most of their fragments: of the signatures
+    with the same members only one is kept.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    numbered = rows.join(counts.hint("merge"), key)
+    by = Window.partitionBy("sig")
+    rows = sets.select("s1", "sigs").mapInArrow(_explode_signatures, "sig long, s1 long")
+    rows = rows.withColumn("_n", F.count("*").over(by)).where("_n > 1").select("sig", "s1").dropDuplicates(["sig", "s1"])
+    members = {f"_h{i}": F.bit_xor(F.xxhash64("s1", F.lit(i))).over(by) for i in (1, 2)}
+    rows = materialize(rows.withColumns({"_n": F.count("*").over(by), **members}).where("_n > 1"), "meetings")
+    first = rows.groupBy("_n", *members).agg(F.min("sig").alias("sig")).select("sig")
+    return rows.join(first.hint("merge"), "sig", "left_semi").drop(*members)
+
+
+def _block_pairs(rows: DataFrame, size: int) -> DataFrame:
+    """Cuts the ``_n`` rows of each key into blocks and sends each row to the pairs of its block."""
     blocks = F.ceil(F.col("_n") / size).cast("int")
-    paired = numbered.withColumn("block", _block("doc_id", blocks)).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
+    paired = rows.withColumn("block", _block("doc_id", blocks)).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
     return paired.withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_o", "_n")
 
 
@@ -389,14 +415,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = materialize(slim.mapInArrow(_describe(plan, k, lower), "doc_id long, n long, s1 long, s2 long, sigs binary, sketch binary"), "sets")
     full = told.where("n > 0 and doc_id is not null")
     same = ["s1", "s2", "n"]
-    reps = full.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    rep = reps.select(F.col("class_id").alias("doc_id"), *[F.col(c).alias(f"r_{c}") for c in same])
-    own = full.join(rep, "doc_id").where(" and ".join(f"{c} = r_{c}" for c in same)).dropDuplicates(["doc_id", *same])
-    # Where an id has several texts, its signatures meet with the sketches of all of them: more candidates, never fewer.
-    met = _block_pairs(own.select("doc_id", "sigs").mapInArrow(_explode_signatures, "sig long, doc_id long"), "sig", SKETCH_BLOCK)
+    reps = full.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.any_value("sketch").alias("sketch"))
+    reps = materialize(reps, "classes")
+    met = _meetings(full).join(reps.select("s1", F.col("class_id").alias("doc_id"), "n", "sketch"), "s1")
     meeting = ["sig", "lo", "hi"]
-    drawn = met.join(own.select("doc_id", "n", "sketch"), "doc_id").repartition(*meeting).sortWithinPartitions(*meeting, "block", "doc_id")
+    drawn = _block_pairs(met, SKETCH_BLOCK).repartition(*meeting).sortWithinPartitions(*meeting, "block", "doc_id")
     maybe = drawn.select(*meeting, "block", "doc_id", "n", "sketch").mapInArrow(_bounded(plan), "a long, b long").distinct()
+    reps = reps.drop("sketch")
     clusters = materialize(connected_components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "clusters")
     # Clusters grow with the input, so this is a shuffle of both sides at every size.
     sets = slim.join(clusters.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "grp").mapInArrow(_sets(k, lower), "doc_id long, grp long, grams binary")

@@ -76,6 +76,18 @@ def test_chat(spark):
     assert chat.collapse_and_render(df.limit(0)).count() == 0
 
 
+def test_chat_crowded_turns(spark, monkeypatch):
+    """Turns without a number, or with the same one, are in order of role and text however many they are; a very long text."""
+    monkeypatch.setattr(chat, "TURN_RANGE", 4)
+    texts = [f"{chr(97 + i % 7)}{i:03}" for i in range(60)] + [None, "", "a", "é" * 20_000]
+    data = [(1, None, "user", t) for t in texts] + [(1, 3, "user", "last")] + [(2, 9, r, t) for t in texts for r in ("user", None)] + [(3, None, "user", t) for t in sorted(t for t in texts if t is not None)[:30]]
+    out = chat.collapse_and_render(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    got = {c: [r.rendered for r in sorted((r for r in out if r.conv_id == c), key=lambda r: r.turn_index)] for c in (1, 2, 3)}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, (r[3] or "").encode())
+    for c in (1, 2, 3):
+        assert got[c] == [f"<|{r or ''}|>\n{t or ''}<|end|>\n" for _, _, r, t in sorted((x for x in data if x[0] == c), key=key)]
+
+
 def test_urls(spark):
     data = [(1, "https://A.Example.org/es/1?q"), (2, "http://example.org/en/12"), (3, "http://x.example.org/de/1#t"), (4, "https://shop.com/fr/9"), (5, "ftp://shop.com/de/9"), (6, "https://shop.net/de/1"), (7, None), (8, "nothing"), (9, ""), (10, "http://badexample.org"), (11, "http://notorg/es/"), (12, "x://H"), (1, "https://A.Example.org/es/1?q")]
     df = spark.createDataFrame([(*r, "r") for r in data], "page_id long, url string, rule string")

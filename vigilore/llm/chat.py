@@ -6,8 +6,10 @@ of (position, role, text), in two independent 64-bit lanes.  A conversation whos
 hash at its end is found inside a longer one is a prefix of it and goes, by an
 anti-join; of equal conversations the smallest id stays.
 
-The running hash is built in two levels (ranges of ``turn``, then their totals), so
-a conversation with a third of all rows is spread over tasks.
+The running hash is built in two levels (parts of a conversation, then their totals),
+so a conversation with a third of all rows is spread over tasks.  A part is a range of
+``turn``; where one range holds very many rows (turns that are null or repeated), its
+parts are told by turn, role and the first letters of the text, which keeps their order.
 
 Defined cases: null roles and texts are values of their own; rows that repeat a
 turn are turns in order of role and text; a null conversation id is one
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .runtime import materialize
 
-#: Turns numbered in one go.
+#: Turns numbered in one go, and a quarter of the rows that one part may hold.
 TURN_RANGE = 512
 
 
@@ -32,13 +34,17 @@ def _lane(seed: int) -> Column:
 def turn_prefixes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, pos, n_turns, role, text, p1, p2, h1, h2): position, prefix hash and whole hash."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("part", F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / TURN_RANGE))
+    rows = rows.withColumn("range", F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / TURN_RANGE))
+    crowded = rows.groupBy(F.col("conv_id").alias("k"), F.col("range").alias("kr")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * TURN_RANGE).select("k", "kr", F.lit(True).alias("crowded"))
+    rows = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("range") == F.col("kr")), "left")
+    finer = F.when(F.col("crowded"), F.struct("turn", "role", F.substring("text", 1, 2).alias("head")))
+    rows = rows.select("conv_id", "turn", "role", "text", F.struct("range", finer.alias("finer")).alias("part"))
     inside = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
     counts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     counts = counts.select(F.col("conv_id").alias("k"), F.col("part").alias("kp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"), F.sum("n").over(whole).alias("n_turns"))
-    same = lambda a: (F.col("conv_id").eqNullSafe(a["k"])) & (F.col("part") == a["kp"])
+    same = lambda a: (F.col("conv_id").eqNullSafe(a["k"])) & (F.col("part").eqNullSafe(a["kp"]))
     rows = rows.withColumn("local", F.row_number().over(inside))
     rows = rows.join(counts, same(counts)).withColumn("pos", F.col("ahead") + F.col("local")).drop("k", "kp", "ahead")
     rows = materialize(rows.withColumn("e1", _lane(1)).withColumn("e2", _lane(2)), "turns")

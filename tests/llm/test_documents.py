@@ -140,13 +140,30 @@ def test_repeated_ids_keep_all_links(spark):
 
 
 def test_sketches_of_very_long_texts():
-    """Two sets of five million n-grams that nearly agree pass the bound of the coarse fragments."""
+    """Two sets of five million n-grams that nearly agree pass the bound of the coarse fragments, unlike two that do not."""
     x = np.unique(np.random.default_rng(1).integers(0, 2**63, 5_001_000).astype(np.uint64) * np.uint64(2))
-    y, z = x[1_000:], x[: len(x) - 1_000]
-    key, count = jaccard._read_sketches([jaccard.sketch_of(y), jaccard.sketch_of(z)])
-    n = np.array([len(y), len(z)])
-    assert jaccard._within(count, key, n, np.s_[0:1], np.s_[1:2], jaccard._Plan(90, 100)).tolist() == [True]
-    assert count.sum(1).tolist() == n.tolist()
+    y, z, plan = x[1_000:], x[: len(x) - 1_000], jaccard._Plan(90, 100)
+    far = np.unique(np.random.default_rng(2).integers(0, 2**63, len(y)).astype(np.uint64) * np.uint64(2))
+    sketches = jaccard._Sketches([jaccard.sketch_of(v) for v in (y, z, far)])
+    one = lambda i: sketches.at(np.array([i]), int(sketches.m[0]))
+    assert one(0)[1].sum() == len(y)
+    assert jaccard._within(one(0), one(1), len(y), len(z), plan).tolist() == [True]
+    assert jaccard._within(one(0), one(2), len(y), len(far), plan).tolist() == [False]
+
+
+def test_sketches_bound_every_linked_pair():
+    """Sets on both sides of a doubling of the fragments; the bound never rules out a linked pair."""
+    rng = np.random.default_rng(3)
+    for num in (80, 90):
+        plan = jaccard._Plan(num, 100)
+        for n in (400, 505, 512, 520, 1030, 2100):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            y = np.unique(np.concatenate([rng.permutation(x)[int(n * 0.02) :], rng.integers(0, 2**63, int(n * (98 - num) / 100)).astype(np.uint64)]))
+            if 100 * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)):
+                sketches = jaccard._Sketches([jaccard.sketch_of(x), jaccard.sketch_of(y)])
+                m = int(sketches.m.min())
+                at = [sketches.at(np.array([i]), m) for i in (0, 1)]
+                assert sketches.m.max() <= 2 * m and jaccard._within(*at, len(x), len(y), plan).tolist() == [True]
 
 
 def test_pigeonhole_never_loses_a_pair():

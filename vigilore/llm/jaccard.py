@@ -107,18 +107,39 @@ def _signatures(s: np.ndarray, c: int, plan: _Plan) -> np.ndarray:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """For every coarse fragment 16 bits of a hash of its elements, then their 32-bit counts."""
-    f = _ranges(s, COARSE).astype(np.int64)
+    """For every coarse fragment 16 bits of the sum of its elements' hashes, then their 32-bit counts.
+
+    There are ``COARSE`` times a power of two of them, so that a fragment has eight
+    elements or fewer on average: with more the bound would tell too little.
+    """
+    m = COARSE
+    while len(s) > 8 * m:
+        m *= 2
+    f = _ranges(s, m).astype(np.int64)
     at = np.flatnonzero(np.diff(f, prepend=-1))
-    key = np.zeros(COARSE, np.uint16)
-    key[f[at]] = (np.add.reduceat(mix(s), at) >> np.uint64(48)).astype(np.uint16)
-    return key.tobytes() + np.bincount(f, minlength=COARSE).astype(np.uint32).tobytes()
+    key = np.zeros(m, np.uint16)
+    key[f[at]] = (np.add.reduceat(mix(s), at) & np.uint64(0xFFFF)).astype(np.uint16)
+    return key.tobytes() + np.bincount(f, minlength=m).astype(np.uint32).tobytes()
+
+
+class _Sketches:
+    """Sketches of some rows, read at a number of fragments; one with twice as many is halved (both parts add up)."""
 
+    def __init__(self, sketches: list[bytes]):
+        self.raw = sketches
+        self.m = np.array([len(x) // 6 for x in sketches], np.int64)
 
-def _read_sketches(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts), a row for each sketch."""
-    z = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), 6 * COARSE)
-    return np.ascontiguousarray(z[:, : 2 * COARSE]).view(np.uint16), np.ascontiguousarray(z[:, 2 * COARSE :]).view(np.uint32).astype(np.int64)
+    def at(self, rows: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts) of ``rows``, all of which have ``m`` or ``2 * m`` fragments."""
+        key, count = np.zeros((len(rows), m), np.uint16), np.zeros((len(rows), m), np.int64)
+        for own, step in ((m, 1), (2 * m, 2)):
+            here = np.flatnonzero(self.m[rows] == own)
+            if len(here):
+                z = np.frombuffer(b"".join(self.raw[r] for r in rows[here]), np.uint8).reshape(len(here), 6 * own)
+                k = np.ascontiguousarray(z[:, : 2 * own]).view(np.uint16).reshape(len(here), m, step)
+                c = np.ascontiguousarray(z[:, 2 * own :]).view(np.uint32).reshape(len(here), m, step)
+                key[here], count[here] = k.sum(2, dtype=np.uint16), c.sum(2, dtype=np.int64)
+        return key, count
 
 
 def _describe(plan: _Plan, k: int, lower: bool):
@@ -187,11 +208,12 @@ def _edges_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _within(count: np.ndarray, key: np.ndarray, n: np.ndarray, a, b, plan: _Plan) -> np.ndarray:
-    """Whether the summed partial bounds of rows ``a`` and ``b`` reach the needed overlap."""
-    low = np.minimum(count[a], count[b])
-    low = low - ((count[a] == count[b]) & (key[a] != key[b]))
-    return low.sum(1) >= plan.need(n[a], n[b])
+def _within(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], n_one, n_other, plan: _Plan) -> np.ndarray:
+    """Whether the summed partial bounds of two (keys, counts) reach the needed overlap."""
+    (key_a, count_a), (key_b, count_b) = one, other
+    low = np.minimum(count_a, count_b)
+    low = low - ((count_a == count_b) & (key_a != key_b))
+    return low.sum(1) >= plan.need(n_one, n_other)
 
 
 def _bounded(plan: _Plan):
@@ -202,24 +224,46 @@ def _bounded(plan: _Plan):
 
     def settle(t: pa.Table) -> pa.RecordBatch:
         ids, n, block = (t[c].to_numpy() for c in ("doc_id", "n", "block"))
-        key, count = _read_sketches(t["sketch"].to_pylist())
+        sketches = _Sketches(t["sketch"].to_pylist())
         at = np.concatenate([_starts(t), [len(ids)]])
         size = np.diff(at)
+        edges: list[tuple[int, int]] = []
         a = at[:-1][size == 2]
-        near = a[_within(count, key, n, a, a + 1, plan)] if len(a) else a
-        edges = list(zip(ids[near].tolist(), ids[near + 1].tolist(), strict=True))
+        level = np.minimum(sketches.m[a], sketches.m[a + 1])
+        a, level = (x[np.maximum(sketches.m[a], sketches.m[a + 1]) <= 2 * level] for x in (a, level))  # else too unequal to be linked
+        for m in np.unique(level).tolist():
+            for part in np.array_split(a[level == m], max(1, int((level == m).sum() * m // 4_000_000))):
+                near = part[_within(sketches.at(part, m), sketches.at(part + 1, m), n[part], n[part + 1], plan)]
+                edges += zip(ids[near].tolist(), ids[near + 1].tolist(), strict=True)
         for lo, hi in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
-            two = block[lo] != block[hi - 1]
-            left = int(np.searchsorted(block[lo:hi], block[hi - 1])) if two else hi - lo
-
-            def partners(i: int, lo=lo, hi=hi, two=two, left=left) -> np.ndarray:
-                first = lo + (left if two else i + 1)
-                return first - lo + np.flatnonzero(_within(count, key, n, np.s_[lo + i : lo + i + 1], np.s_[first:hi], plan))
-
-            edges += _forest(ids[lo:hi], partners, left)
+            edges += meeting(ids[lo:hi], n[lo:hi], block[lo:hi], _Sketches(sketches.raw[lo:hi]))
         found = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
+    def meeting(ids: np.ndarray, n: np.ndarray, block: np.ndarray, sketches: _Sketches) -> list[tuple[int, int]]:
+        two = block[0] != block[-1]
+        left = int(np.searchsorted(block, block[-1])) if two else len(ids)
+        levels = {}
+        for m in np.unique(sketches.m).tolist():
+            rows = np.flatnonzero((sketches.m == m) | (sketches.m == 2 * m))
+            levels[m] = rows, sketches.at(rows, m)
+
+        def partners(i: int) -> np.ndarray:
+            found = [np.zeros(0, np.int64)]
+            for m in (int(sketches.m[i]) // 2, int(sketches.m[i])):
+                if m in levels:
+                    rows, (key, count) = levels[m]
+                    own = int(np.searchsorted(rows, i))
+                    first = int(np.searchsorted(rows, left if two else i + 1))
+                    js = rows[first:]
+                    # At half the fragments only with those that have no more.
+                    js = js[sketches.m[js] == m] if m < sketches.m[i] else js
+                    p = np.searchsorted(rows, js)
+                    found.append(js[_within((key[own : own + 1], count[own : own + 1]), (key[p], count[p]), n[i], n[js], plan)])
+            return np.concatenate(found)
+
+        return _forest(ids, partners, left)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:

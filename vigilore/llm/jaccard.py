@@ -68,6 +68,9 @@ class _Plan:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        # Two unrelated sets with x elements in a fragment agree in about 1 - 0.56 / sqrt(x) of them by count alone;
+        # linked ones of equal size in 2 * num / (num + den).  Half of the x at which the two meet.
+        self.per_fragment = max(4, int(0.5 * (0.56 * (num + den) / (den - num)) ** 2)) if num < den else 64
         self.tops = [1]
         while self.tops[-1] < 1 << 40:
             self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * CLASS_STEP)))
@@ -106,14 +109,14 @@ def _signatures(s: np.ndarray, c: int, plan: _Plan) -> np.ndarray:
     return sig
 
 
-def sketch_of(s: np.ndarray) -> bytes:
+def sketch_of(s: np.ndarray, per_fragment: int = 8) -> bytes:
     """For every coarse fragment 16 bits of the sum of its elements' hashes, then their 32-bit counts.
 
-    There are ``COARSE`` times a power of two of them, so that a fragment has eight
-    elements or fewer on average: with more the bound would tell too little.
+    There are ``COARSE`` times a power of two of them, so that a fragment has
+    ``per_fragment`` elements or fewer on average: with more the bound would tell too little.
     """
     m = COARSE
-    while len(s) > 8 * m:
+    while len(s) > per_fragment * m:
         m *= 2
     f = _ranges(s, m).astype(np.int64)
     at = np.flatnonzero(np.diff(f, prepend=-1))
@@ -153,7 +156,7 @@ def _describe(plan: _Plan, k: int, lower: bool):
                     out.append((doc, 0, 0, 0, b"", b""))
                     continue
                 sig = np.concatenate([_signatures(s, c, plan) for c in plan.classes(len(s))])
-                sketch = sketch_of(s)
+                sketch = sketch_of(s, plan.per_fragment)
                 out.append((doc, len(s), int(np.add.reduce(mix(s)).view(np.int64)), int(np.add.reduce(mix(s ^ np.uint64(0xABCDEF987654321))).view(np.int64)), sig.tobytes(), sketch))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]

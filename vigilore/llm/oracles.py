@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import centroids
 from .quality import GUARD, MIN_ROWS, RATIOS, SPREAD_FACTOR
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -79,9 +80,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r LEFT JOIN lim ON r.lang = lim.lang AND r.source = lim.source
 """
 
+
+def _clusters() -> str:
+    near = "list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x)"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({centroids.SCALE} * e::DOUBLE)) AS x FROM embeddings WHERE len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda e: isfinite(e))) = {centroids.DIM})",
+        f"c0 AS MATERIALIZED (SELECT k, x FROM (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), x) - 1 AS k, x FROM v) WHERE k < {centroids.CLUSTERS})",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.r, c.k, {near} AS d FROM v, c{i} AS c) GROUP BY r)")
+        if i < centroids.ROUNDS:
+            parts += [
+                f"s{i} AS (SELECT k, j, sum(x[j])::HUGEINT AS t, count(*) AS n FROM a{i} JOIN v ON a{i}.r = v.r, range(1, {centroids.DIM + 1}) AS g(j) GROUP BY 1, 2)",
+                f"m{i} AS (SELECT k, list(((t - ((t % n) + n) % n) // n)::DOUBLE ORDER BY j) AS x FROM s{i} GROUP BY k)",
+                f"c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m{i}.x, c.x) AS x FROM c{i} AS c LEFT JOIN m{i} ON c.k = m{i}.k)",
+            ]
+    last = centroids.ROUNDS
+    return f"""
+WITH {', '.join(parts)}
+SELECT vec_id, a.k::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda e: e::BIGINT), ',')) AS centroid_sha256
+FROM a{last} AS a JOIN v ON a.r = v.r JOIN c{last} AS c ON a.k = c.k
+"""
+
+
 ORACLE = {
     "op1_quality_rules": QUALITY,
     "op4_snapshot_collapse": SNAPSHOTS,
     "op8_substring_dedup": SUBSTRING,
     "op10_ngram_jaccard": JACCARD,
+    "op13_scalar_tables": _clusters(),
 }

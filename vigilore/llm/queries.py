@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, jaccard, neighbours, packing, pii, quality, segmentation, substring, toxicity, urls
+from . import centroids, chat, jaccard, mixing, neighbours, packing, pii, quality, segmentation, substring, toxicity, urls
 from .oracles import ORACLE
 from .runtime import docs_table
 
@@ -73,6 +73,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).drop("p_block")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(docs_table(spark, sf_dir))
+
+
 def op13_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_source_mix": op11_source_mix,
     "op13_scalar_tables": op13_scalar_tables,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, jaccard, mixing, neighbours, packing, pii, quality, segmentation, substring, toxicity, urls
+from . import centroids, chat, jaccard, mixing, neighbours, packing, pii, quality, runs, segmentation, substring, toxicity, urls
 from .oracles import ORACLE
 from .runtime import docs_table
 
@@ -77,6 +77,10 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs_table(spark, sf_dir))
 
 
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(docs_table(spark, sf_dir), runs.tiled))
+
+
 def op13_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_source_mix": op11_source_mix,
+    "op12_lyndon_runs": op12_lyndon_runs,
     "op13_scalar_tables": op13_scalar_tables,
 }
 

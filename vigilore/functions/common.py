@@ -105,22 +105,3 @@ def zero_filled(counts: DataFrame, time_col: str, seconds: int, since: datetime,
 
 def r4(column: Column | str) -> Column:
     return F.round(column, 4)
-
-
-#: Seconds of one part of a key's history that a task orders.
-PART_SECONDS = 86_400
-
-
-def with_previous(rows: DataFrame, key: str, value: Column, order: tuple[str, ...] = ("ts", "alert_id"), part_seconds: int = PART_SECONDS) -> DataFrame:
-    """Adds ``_part`` (of time) and ``_before``: the value of the row before, in the order of a key.
-
-    Each part of a key is ordered by itself; its first row gets the last value of
-    the part before, so a key with very many rows is spread over its parts.
-    """
-    rows = rows.withColumn("_part", F.floor(F.unix_seconds(F.col(order[0])) / part_seconds)).withColumn("_value", value)
-    ends = rows.groupBy(key, "_part").agg(F.max_by("_value", F.struct(*order)).alias("_last"))
-    ends = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.lag("_last").over(Window.partitionBy(key).orderBy("_part")).alias("_carried"))
-    inside = Window.partitionBy(key, "_part").orderBy(*order)
-    met = rows.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
-    before = F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag("_value").over(inside))
-    return met.withColumn("_before", before).drop("_key", "_of", "_carried", "_value")

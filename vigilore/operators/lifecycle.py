@@ -108,7 +108,7 @@ def investigation(alerts: DataFrame, as_of: datetime, hours: int = 24, threshold
     from .graph import co_occurrence, components
     from .profiles import ip_profile
     from .scoring import category_risks, engine_a, unified_severity
-    from .sequence import collapsed, kill_chains
+    from .sequence import kill_chains
     from .timeseries import baseline_drift
 
     since = as_of - timedelta(hours=hours)
@@ -118,7 +118,7 @@ def investigation(alerts: DataFrame, as_of: datetime, hours: int = 24, threshold
     known = (confirmed if confirmed is not None else rows.select("srcip").limit(0)).select("srcip").distinct().withColumn("known", F.lit(True))
     near = cluster.join(known, "srcip").select("cluster").distinct().withColumn("near_confirmed", F.lit(True))
     risk = engine_a(category_risks(rows, techniques), threshold).select("srcip", "total", "triggered")
-    chain = kill_chains(collapsed(rows)).groupBy("srcip").agg(F.max("confidence").alias("chain_confidence"))
+    chain = kill_chains(rows).groupBy("srcip").agg(F.max("confidence").alias("chain_confidence"))
     drift = baseline_drift(alerts, 3600, (since - timedelta(days=7), since), (since, as_of), drift_threshold).agg(F.count_if("drifted").alias("drifted"))
     card = ip_profile(rows).select("srcip", F.col("total").alias("n_alerts"), "recommendation")
     out = card.join(risk, "srcip", "left").join(chain, "srcip", "left").join(cluster, "srcip", "left").join(near, "cluster", "left").join(known, "srcip", "left")

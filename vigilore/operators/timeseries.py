@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import bucket, epoch, in_window, r4, severity_counts, top_k_per, with_previous, zero_filled
+from ..functions.common import bucket, epoch, in_window, r4, severity_counts, top_k_per, zero_filled
+from ..functions.ordered import ORDER, previous
 
 FLAT = 1e-4
 
@@ -20,10 +21,15 @@ def filled_histogram(alerts: DataFrame, seconds: int, since: datetime, until: da
     return zero_filled(histogram(alerts.where(in_window("ts", since, until)), seconds), "bucket", seconds, since, until, ["n"])
 
 
-def gaps(alerts: DataFrame, key: str = "srcip", order: tuple[str, ...] = ("ts", "alert_id")) -> DataFrame:
+def _arrivals(alerts: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """(key, ts, gap): seconds since the alert before of the same key, null at its first."""
+    rows = previous(alerts.select(key, *order, epoch(order[0]).alias("_at")), key, "_at", order)
+    return rows.select(key, order[0], (F.col("_at") - F.col("before")).alias("gap"))
+
+
+def gaps(alerts: DataFrame, key: str = "srcip", order: tuple[str, ...] = ORDER) -> DataFrame:
     """(key, ts, gap): seconds since the alert before of the same key."""
-    rows = with_previous(alerts.select(key, *order), key, epoch("ts"), order)
-    return rows.select(key, "ts", (epoch("ts") - F.col("_before")).alias("gap")).where("gap is not null")
+    return _arrivals(alerts, key, order).where("gap is not null")
 
 
 def beacons(alerts: DataFrame, key: str = "srcip", min_events: int = 5, cv_threshold: float = 0.3) -> DataFrame:
@@ -32,15 +38,12 @@ def beacons(alerts: DataFrame, key: str = "srcip", min_events: int = 5, cv_thres
     ``period`` is the upper median of the gaps in whole seconds, found among the
     distinct whole seconds, which are few however many gaps there are.
     """
-    g = gaps(alerts, key)
-    stats = g.groupBy(key).agg(F.count("*").alias("n_gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
-    seconds = g.groupBy(F.col(key).alias("_key"), F.bround("gap").alias("s")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("_key").orderBy("s"))
-    middle = seconds.withColumn("upto", upto).withColumn("size", F.sum("n").over(Window.partitionBy("_key"))).where(F.col("upto") > F.floor(F.col("size") / 2)).groupBy("_key").agg(F.min("s").alias("period"))
-    stats = stats.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    events = alerts.groupBy(key).agg(F.count("*").alias("n_events"))
-    cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean"))
-    out = events.join(stats, key, "left").withColumn("cv", cv)
+    g = _arrivals(alerts, key, ORDER)
+    stats = g.groupBy(key).agg(F.count("*").alias("n_events"), F.count("gap").alias("n_gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
+    seconds = g.where("gap is not null").groupBy(F.col(key).alias("_key"), F.bround("gap").alias("s")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("_key")
+    middle = seconds.withColumn("upto", F.sum("n").over(whole.orderBy("s"))).withColumn("size", F.sum("n").over(whole)).where(F.col("upto") > F.floor(F.col("size") / 2)).groupBy("_key").agg(F.min("s").alias("period"))
+    out = stats.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("cv", F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")))
     score = F.when(F.col("n_events") < min_events, F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("cv", F.lit(float("inf"))) / 0.5)))
     out = out.withColumn("score", score)
     label = F.when(F.col("n_events") < min_events, "insufficient_data").when(F.col("score") >= 0.8, "strong").when(F.col("score") >= 0.5, "likely").when(F.col("score") >= 0.25, "possible").otherwise("none")

@@ -252,11 +252,11 @@ def filled_histogram(spark, sf_dir):
 
 
 @query("beacon_scores", CTE + """, g AS (SELECT srcip, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY srcip ORDER BY ts, alert_id) AS gap FROM alerts), r AS (SELECT srcip, gap, row_number() OVER (PARTITION BY srcip ORDER BY gap) AS rn, count(*) OVER (PARTITION BY srcip) AS c FROM g WHERE gap IS NOT NULL),
-s AS (SELECT srcip, count(*) AS ng, avg(gap) AS m, stddev_pop(gap) AS sd FROM r GROUP BY 1), e2 AS (SELECT srcip, count(*) AS n_events FROM alerts GROUP BY 1)
-SELECT e2.srcip, n_events, round(m, 4) AS mean_gap, round(sd / m, 4) AS cv, CASE WHEN n_events < 5 THEN NULL ELSE round(greatest(0.0, least(1.0, 1 - coalesce(sd / m, 1e9) / 0.5)), 4) END AS score, CASE WHEN n_events < 5 THEN 'insufficient_data' WHEN 1 - sd / m / 0.5 >= 0.8 THEN 'strong' WHEN 1 - sd / m / 0.5 >= 0.5 THEN 'likely' WHEN 1 - sd / m / 0.5 >= 0.25 THEN 'possible' ELSE 'none' END AS verdict, sd / m < 0.3 AS is_regular
+s AS (SELECT srcip, count(*) AS ng, avg(gap) AS m, stddev_pop(gap) AS sd, max(round_even(gap, 0)) FILTER (rn = c // 2 + 1) AS period FROM r GROUP BY 1), e2 AS (SELECT srcip, count(*) AS n_events FROM alerts GROUP BY 1)
+SELECT e2.srcip, n_events, round(m, 4) AS mean_gap, round(sd / m, 4) AS cv, CASE WHEN n_events < 5 THEN NULL ELSE round(greatest(0.0, least(1.0, 1 - coalesce(sd / m, 1e9) / 0.5)), 4) END AS score, CASE WHEN n_events < 5 THEN 'insufficient_data' WHEN 1 - sd / m / 0.5 >= 0.8 THEN 'strong' WHEN 1 - sd / m / 0.5 >= 0.5 THEN 'likely' WHEN 1 - sd / m / 0.5 >= 0.25 THEN 'possible' ELSE 'none' END AS verdict, sd / m < 0.3 AS is_regular, round(sd, 4) AS sd_gap, period
 FROM e2 LEFT JOIN s ON e2.srcip = s.srcip""")
 def beacon_scores(spark, sf_dir):
-    return timeseries.beacons(alerts(spark, sf_dir)).drop("sd_gap", "period")
+    return timeseries.beacons(alerts(spark, sf_dir))
 
 
 @query("heat_map", CTE + ", g AS (SELECT w, h FROM generate_series(0, 6) a(w), generate_series(0, 23) b(h)), c AS (SELECT isodow(ts) - 1 AS w, hour(ts) AS h, count(*) AS n FROM alerts GROUP BY 1, 2), f AS (SELECT g.w AS weekday, g.h AS hour, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.w = c.w AND g.h = c.h), z AS (SELECT weekday, hour, n, CASE WHEN stddev_pop(n) OVER () > 0.001 THEN (n - avg(n) OVER ()) / stddev_pop(n) OVER () ELSE 0 END AS z FROM f) SELECT weekday, hour, n, round(z, 4)::DOUBLE AS z, z >= 2.5 AS periodic, CASE WHEN count(*) FILTER (z >= 2.5) OVER () >= 3 THEN 'strong' WHEN count(*) FILTER (z >= 2.5) OVER () >= 1 THEN 'possible' ELSE 'none' END AS periodicity FROM z")
@@ -394,7 +394,7 @@ def _greedy(name: str) -> str:
 
 @query("kill_chains", CTE + _CHAIN + ", " + ", ".join(_greedy(c) for c in CHAINS) + " " + " UNION ALL ".join(f"SELECT * FROM {c}" for c in CHAINS))
 def kill_chains(spark, sf_dir):
-    found = sequence.kill_chains(sequence.collapsed(alerts(spark, sf_dir)))
+    found = sequence.kill_chains(alerts(spark, sf_dir))
     return found.withColumns({c: F.col(c).cast("long") for c in ("matched", "n_phases")}).select("srcip", "chain", "matched", "n_phases", "confidence")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vigilore.functions.common import auto_bucket_seconds, parse_time, window_of, zero_filled
 from vigilore.operators import extract, filters, graph, lifecycle, profiles, ranking, redact, scoring, sequence, timeseries
 from vigilore.sources import readers
-from vigilore.streaming import jobs
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -331,27 +330,3 @@ def test_filters(spark):
     assert one(spark, filters.user_agent_label(F.lit("curl/8 nmap"))) == "Scripted/automated client"
     p = spark.createDataFrame([("a_b%c",), ("axbyc",)], "v string")
     assert [r.v for r in p.where(filters.wildcard("v", "a_b%?")).collect()] == ["a_b%c"]
-
-
-def test_streaming(spark, tmp_path):
-    t = datetime(2024, 1, 1)
-    data = [(i, t + timedelta(seconds=20 * i), "a" if i % 2 else "b", "1", 5) for i in range(60)] + [(0, t, "b", "1", 5), (999, t + timedelta(hours=5), "a", "606029", 5)]
-    df = spark.createDataFrame(data, "alert_id long, ts timestamp, srcip string, rule_id string, rule_level int")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.alert_stream(spark, str(tmp_path / "in"), df.schema)
-
-    def run(out, mode):
-        q = out.writeStream.format("memory").queryName("m").outputMode(mode).option("checkpointLocation", str(tmp_path / f"c{out.columns}{mode}")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        return spark.table("m").collect()
-
-    got = {(r.bucket, r.srcip): r.n for r in run(jobs.tumbling_counts(stream, "srcip"), "append")}
-    want = {(r.bucket, r.srcip): r.n for r in timeseries.histogram(df, 60, ["srcip"]).collect() if r.bucket < t + timedelta(hours=4)}
-    assert got == want
-    assert len(run(jobs.without_duplicates(stream), "append")) == 60
-    assert {r.n for r in run(jobs.activity_sessions(stream), "append")} == {30, 31}
-    beacon = {r.srcip: r for r in run(jobs.running_beacons(stream.where("rule_id = '1' and alert_id > 0")), "update")}
-    assert abs(beacon["a"].mean - 40) < 1e-6 and beacon["a"].cv < 1e-6
-    q = jobs.emit_triggers(stream, str(tmp_path / "trig"), lambda b: b.groupBy("srcip").agg(F.count("*").alias("n")), str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "trig")).count() == 2

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,40 +34,3 @@ def activity_sessions(alerts: DataFrame, key: str = "srcip", gap: str = "30 minu
 
 def without_duplicates(alerts: DataFrame, late: str = "10 minutes") -> DataFrame:
     return alerts.where(~F.col("rule_id").isin(WRAPPER_RULES)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["alert_id"])
-
-
-def running_beacons(alerts: DataFrame, key: str = "srcip", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
-    """(key, n, mean, cv) after each batch, from constant state per key (count, mean, squared deviations of the gaps)."""
-    out = T.StructType.fromDDL(f"{key} string, n long, mean double, cv double")
-    state = T.StructType.fromDDL("n long, mean double, m2 double, last double")
-
-    def update(k, batches: Iterator, held) -> Iterator:
-        import pandas as pd
-
-        if held.hasTimedOut:
-            held.remove()
-            return
-        n, mean, m2, last = held.get if held.exists else (0, 0.0, 0.0, float("nan"))
-        times = sorted(t for b in batches for t in b["t"])
-        for t in times:
-            if last == last and t >= last:
-                n += 1
-                d = (t - last) - mean
-                mean += d / n
-                m2 += d * ((t - last) - mean)
-            last = t if last != last else max(last, t)
-        held.update((n, mean, m2, last))
-        held.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({key: [k[0]], "n": [n], "mean": [mean], "cv": [(m2 / n) ** 0.5 / mean if n and mean else float("nan")]})
-
-    rows = alerts.select(F.col(key), (F.unix_micros("ts") / 1e6).alias("t"))
-    return rows.groupBy(key).applyInPandasWithState(update, out, state, "update", "ProcessingTimeTimeout")
-
-
-def emit_triggers(alerts: DataFrame, path: str, batch_operator: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Runs a batch operator on every micro-batch and appends what it finds."""
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch_operator(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
-
-    return alerts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context, more, reports, search, streams  # noqa: F401  (they register their queries)
+from . import context, more, reports, search, streams, summaries  # noqa: F401  (they register their queries)
 from .security import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -23,18 +23,55 @@ def written(df: DataFrame) -> DataFrame:
 BLOCK = 256
 
 
-def co_occurrence(observations: DataFrame, item: str = "ioc", batch: str = "batch") -> DataFrame:
-    """(src, dst, weight): pairs that share a batch, weight the number of batches; src < dst.
+def co_occurrence(observations: DataFrame, item: str = "ioc", batch: str = "batch", min_weight: int = 1) -> DataFrame:
+    """(src, dst, weight): pairs that share ``min_weight`` batches at least, weight the number of batches; src < dst.
 
-    The pairs are the answer, so a batch of k items gives k * k / 2 of them.  A large
-    batch is cut into blocks of items and every two blocks meet under a key of their own.
+    The pairs are the answer, so with a weight of 1 a batch of k items gives k * k / 2 of them.  With more, only pairs
+    that meet in the rare batches of both are formed (see ``frequent_pairs``).
     """
     rows = observations.select(F.col(batch).alias("b"), F.col(item).alias("i")).where("b is not null and i is not null").distinct()
-    sizes = rows.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    rows = rows.join(sizes, "b").withColumn("own", F.pmod(F.xxhash64("i"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    a = rows.select("b", F.col("own").alias("x"), F.col("other").alias("y"), F.col("i").alias("src"))
-    b = rows.select("b", F.col("other").alias("x"), F.col("own").alias("y"), F.col("i").alias("dst"))
-    return a.join(b, ["b", "x", "y"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    if min_weight > 1:
+        return frequent_pairs(rows, min_weight)
+    return _pairs(rows, "b").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, src, dst): items ``i`` that share a key; a large key is cut into blocks, every two of which meet under a key of their own."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).select(F.col(key).alias("_key"), "n")
+    rows = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("own", F.pmod(F.xxhash64("i"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    a = rows.select(key, F.col("own").alias("x"), F.col("other").alias("y"), F.col("i").alias("src"))
+    b = rows.select(key, F.col("other").alias("x"), F.col("own").alias("y"), F.col("i").alias("dst"))
+    return a.join(b, [key, "x", "y"]).where("src < dst").select(key, "src", "dst")
+
+
+def rare_batches(rows: DataFrame, least: int) -> DataFrame:
+    """(b, i) of distinct ``rows(b, i)``: of each item with ``least`` batches or more all but its ``least - 1`` most frequent ones.
+
+    Two items that share ``least`` batches share one of these: of the shared ones the rarest has ``least - 1`` others behind it
+    in both orders.  Batches are ordered by their number of items, then by themselves.
+    """
+    many = rows.groupBy("i").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+    kept = rows.join(many, "i")
+    often = kept.groupBy("b").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("i").orderBy("f", "b")
+    return kept.join(often, "b").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("m") - least + 1).select("b", "i")
+
+
+def frequent_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """(src, dst, weight) of the items of distinct ``rows(b, i)`` that share ``least`` batches or more, exactly.
+
+    Candidates meet in the rare batches; then the batches of the item with fewer of them are looked up in the
+    other's.  A batch that most items have is never paired unless items have little else.
+    """
+    rows = written(rows)
+    met = _pairs(rare_batches(rows, least), "b").select("src", "dst").distinct()
+    sizes = rows.groupBy("i").agg(F.count("*").alias("m"))
+    side = lambda c: sizes.select(F.col("i").alias(c), F.col("m").alias(f"m_{c}"))
+    short = F.col("m_src") <= F.col("m_dst")
+    met = met.join(side("src"), "src").join(side("dst"), "dst").select(F.when(short, F.col("src")).otherwise(F.col("dst")).alias("i"), F.when(short, F.col("dst")).otherwise(F.col("src")).alias("j"))
+    each = met.join(rows, "i").join(rows.select(F.col("i").alias("j"), "b"), ["j", "b"])
+    pairs = each.groupBy("i", "j").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    return pairs.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "weight")
 
 
 def graph_nodes(observations: DataFrame, as_of: datetime, most: int = 500, min_count: int = 1, item: str = "ioc", ts: str = "ts") -> DataFrame:
@@ -43,10 +80,10 @@ def graph_nodes(observations: DataFrame, as_of: datetime, most: int = 500, min_c
     return per.withColumn("decay", F.round(decay(F.col("last"), as_of), 3)).orderBy(F.desc("decay"), F.desc("n"), "node").limit(most).select("node", "n", "decay")
 
 
-def indicator_graph(observations: DataFrame, as_of: datetime, most: int = 500, min_count: int = 1, item: str = "ioc", batch: str = "batch", ts: str = "ts") -> DataFrame:
+def indicator_graph(observations: DataFrame, as_of: datetime, most: int = 500, min_count: int = 1, item: str = "ioc", batch: str = "batch", ts: str = "ts", min_weight: int = 1) -> DataFrame:
     """Co-occurrence edges between the leading indicators only: a report of the ``most`` strongest nodes."""
     nodes = graph_nodes(observations, as_of, most, min_count, item, ts).select(F.col("node").alias(item))
-    return co_occurrence(observations.join(nodes, item, "left_semi"), item, batch)
+    return co_occurrence(observations.join(nodes, item, "left_semi"), item, batch, min_weight)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -89,8 +126,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(node, rank): random walk that returns to the seeds (to all nodes without any); starts at 1/n."""
+#: Rounds after which a walk that has not settled is an error.
+MOST_ROUNDS = 100
+#: Rounds between two written tables.
+AT_ONCE = 5
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): random walk that returns to the seeds (to all nodes without any); starts at 1/n.
+
+    Without ``rounds`` it runs until the ranks move by less than ``tolerance`` in ``AT_ONCE`` rounds, and raises an error if they have
+    not after ``MOST_ROUNDS``; with ``rounds`` it ends there at the latest.
+    """
     both = written(both_ways(edges).select("src", "dst"))
     degree = both.groupBy("src").agg(F.count("*").alias("degree"))
     links = written(both.join(degree, "src"))
@@ -104,25 +151,57 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.
     total = marked.agg(F.sum("seed")).first()[0]
     base = written(marked.select("node", (F.col("seed") / total if total else F.lit(1.0 / n)).alias("home")))
     rank = base.select("node", F.lit(1.0 / n).alias("rank"))
-    for i in range(rounds):
-        flow = links.join(rank, links.src == rank.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
-        new = base.join(flow, "node", "left").join(rank.withColumnRenamed("rank", "old"), "node").select("node", ((1 - alpha) * F.col("home") + alpha * F.coalesce("flow", F.lit(0.0))).alias("rank"), "old")
-        if i % 5 == 4:
-            new = written(new)
-            moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            rank = new.select("node", "rank")
-            if moved < tolerance:
-                break
-        else:
-            rank = new.select("node", "rank")
+    home = base.select("node", ((1 - alpha) * F.col("home")).alias("part"))
+    left = MOST_ROUNDS if rounds is None else rounds
+    while left:
+        new = rank
+        for _ in range(min(left, AT_ONCE)):
+            flow = links.join(new, links.src == new.node).select(F.col("dst").alias("node"), (alpha * F.col("rank") / F.col("degree")).alias("part"))
+            new = flow.unionByName(home).groupBy("node").agg(F.sum("part").alias("rank"))
+        left -= min(left, AT_ONCE)
+        new = written(new)
+        moved = new.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        rank = new
+        if moved < tolerance:
+            return rank
+    if rounds is None:
+        raise RuntimeError(f"ranks have not settled after {MOST_ROUNDS} rounds")
     return rank
 
 
-def suspicion(edges: DataFrame, confirmed: DataFrame, k: int = 5, rounds: int = 100) -> DataFrame:
-    """(node, score, near) of unconfirmed nodes, with up to ``k`` confirmed neighbours."""
-    rank = pagerank(edges, confirmed, rounds=rounds)
+def local_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, error: float = 1e-6) -> DataFrame:
+    """(node, rank, rest) near the seeds, by pushing residuals forward.
+
+    Walk mass starts at the seeds as residual; a node whose residual exceeds ``error`` times its degree keeps
+    ``1 - alpha`` of it as rank and passes the rest to its neighbours.  When no node does, each rank is below that of
+    the converged walk by at most ``error`` times the node's degree.  Only nodes near the seeds are ever held; a
+    round joins those that push with their own edges.  Every push turns ``(1 - alpha) * error`` of a whole mass of 1 into
+    rank or more, so rounds end; seeds that are not in the graph have no part, and without any there are no rows.
+    """
+    both = both_ways(edges).select("src", "dst")
+    degree = written(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")))
+    links = written(both.join(degree.select(F.col("node").alias("dst"), F.col("degree").alias("far")), "dst"))
+    known = degree.join(seeds.select("node").distinct(), "node", "left_semi")
+    held = written(known.select("node", "degree", F.lit(0.0).alias("rank"), F.lit(1.0 / max(known.count(), 1)).alias("rest")))
+    pushing = F.col("rest") > error * F.col("degree")
+    while not (front := held.where(pushing)).isEmpty():
+        passed = front.join(links, front.node == links.src).select(F.col("dst").alias("node"), F.col("far").alias("degree"), F.lit(0.0).alias("rank"), (alpha * F.col("rest") / F.col("degree")).alias("rest"))
+        kept = held.select("node", "degree", (F.col("rank") + F.when(pushing, (1 - alpha) * F.col("rest")).otherwise(0.0)).alias("rank"), F.when(pushing, 0.0).otherwise(F.col("rest")).alias("rest"))
+        held = written(kept.unionByName(passed).groupBy("node").agg(F.max("degree").alias("degree"), F.sum("rank").alias("rank"), F.sum("rest").alias("rest")))
+    return held.select("node", "rank", "rest")
+
+
+def suspicion(edges: DataFrame, confirmed: DataFrame, k: int = 5, rounds: int | None = None, error: float | None = None) -> DataFrame:
+    """(node, score, near) of unconfirmed nodes, with up to ``k`` confirmed neighbours.
+
+    With ``error`` only nodes near confirmed ones are ranked, by ``local_pagerank``.
+    """
+    rank = pagerank(edges, confirmed, rounds=rounds) if error is None else local_pagerank(edges, confirmed, error=error)
     known = confirmed.select("node").distinct()
-    near = both_ways(edges).join(known.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.slice(F.array_sort(F.collect_set("dst")), 1, k).alias("near"))
+    # The first neighbours of each node before they are collected: a hub may have very many.
+    order = Window.partitionBy("node").orderBy("dst")
+    near = both_ways(edges).join(known.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "dst").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    near = near.groupBy("node").agg(F.array_sort(F.collect_list("dst")).alias("near"))
     return rank.join(known, "node", "left_anti").join(near, "node", "left").select("node", F.round("rank", 4).alias("score"), F.coalesce("near", F.array().cast("array<string>")).alias("near"))
 
 

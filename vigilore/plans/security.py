@@ -427,10 +427,46 @@ def campaign_components(spark, sf_dir):
     return graph.components(edges(spark, sf_dir))
 
 
-@query("suspicion_ranking")
+def _walk(rounds: int, error: bool = False) -> str:
+    """Personalised walk from a fifth of the nodes in so many rounds, and up to five seeds beside each node."""
+    steps = ", ".join(
+        f"p{i} AS MATERIALIZED (SELECT h.node, 0.15 * home + 0.85 * coalesce(flow, 0) AS p FROM h LEFT JOIN (SELECT dst, sum(p / degree) AS flow FROM bo JOIN p{i - 1} ON bo.src = p{i - 1}.node JOIN dg ON bo.src = dg.node GROUP BY 1) AS w ON h.node = w.dst)" for i in range(1, rounds + 1)
+    )
+    steps = f"{steps}, " if steps else ""
+    return f""", bo AS MATERIALIZED (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed), dg AS MATERIALIZED (SELECT src AS node, count(*) AS degree FROM bo GROUP BY 1), k AS (SELECT DISTINCT src AS node FROM ed WHERE substr(md5(src), 1, 1) IN ('0', '1', '2')),
+h AS MATERIALIZED (SELECT dg.node, CASE WHEN (SELECT count(*) FROM k) > 0 THEN CASE WHEN k.node IS NULL THEN 0.0 ELSE 1.0 / (SELECT count(*) FROM k) END ELSE 1.0 / (SELECT count(*) FROM dg) END AS home FROM dg LEFT JOIN k ON dg.node = k.node),
+p0 AS (SELECT node, 1.0 / (SELECT count(*) FROM dg) AS p FROM dg), {steps}nb AS (SELECT src AS node, list_sort(list_distinct(list(dst)))[1:5] AS near FROM bo JOIN k ON bo.dst = k.node GROUP BY 1)
+"""
+
+
+def _confirmed(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("node")).where(F.substring(F.md5("src"), 1, 1).isin("0", "1", "2")).distinct()
+
+
+@query("suspicion_ranking", CTE + _EDGES + _walk(80) + "SELECT p80.node, round(p, 4) AS score, array_to_string(coalesce(near, []), ',') AS near FROM p80 LEFT JOIN nb ON p80.node = nb.node WHERE p80.node NOT IN (SELECT node FROM k)")
 def suspicion_ranking(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return graph.suspicion(e, e.select(F.col("src").alias("node")).where("crc32(cast(src as binary)) % 5 = 0").distinct())
+    return graph.suspicion(e, _confirmed(e)).withColumn("near", F.array_join("near", ","))
+
+
+def _pushes(rounds: int, error: float) -> str:
+    """So many forward pushes; those after the last that a node needs change nothing."""
+    start = "s0 AS MATERIALIZED (SELECT dg.node, 0.0::DOUBLE AS p, 1.0 / (SELECT count(*) FROM k) AS r, degree FROM dg JOIN k ON dg.node = k.node)"
+    step = "s{1} AS MATERIALIZED (SELECT u.node, sum(p) AS p, sum(r) AS r, any_value(dg.degree) AS degree FROM (SELECT node, p + CASE WHEN r > {2} * degree THEN 0.15 * r ELSE 0 END AS p, CASE WHEN r > {2} * degree THEN 0 ELSE r END AS r FROM s{0} UNION ALL SELECT dst, 0, 0.85 * r / degree FROM s{0} JOIN bo ON s{0}.node = bo.src WHERE r > {2} * degree) AS u JOIN dg ON u.node = dg.node GROUP BY 1)"
+    return ", ".join(["", start, *[step.format(i - 1, i, error) for i in range(1, rounds + 1)]])
+
+
+@query("local_suspicion", CTE + _EDGES + _walk(0) + _pushes(60, 0.001) + " SELECT s60.node, round(p, 4) AS score, array_to_string(coalesce(near, []), ',') AS near FROM s60 LEFT JOIN nb ON s60.node = nb.node WHERE s60.node NOT IN (SELECT node FROM k)")
+def local_suspicion(spark, sf_dir):
+    """Nodes near confirmed ones, by local pushes."""
+    e = edges(spark, sf_dir)
+    return graph.suspicion(e, _confirmed(e), error=0.001).withColumn("near", F.array_join("near", ","))
+
+
+@query("frequent_pairs", CTE + ", o AS (SELECT DISTINCT srcip AS i, time_bucket(INTERVAL 10 MINUTE, ts) AS b FROM alerts) SELECT x.i AS src, y.i AS dst, count(*) AS weight FROM o x JOIN o y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 3")
+def frequent_pairs(spark, sf_dir):
+    """Addresses that were active in the same ten minutes three times or more."""
+    return graph.co_occurrence(alerts(spark, sf_dir).withColumn("batch", bucket("ts", 600)), "srcip", min_weight=3)
 
 
 @query("node_betweenness")

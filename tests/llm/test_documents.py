@@ -417,3 +417,16 @@ def test_pii_long_texts(spark):
     rows = pii.pii_spans(docs).collect()
     assert [(r.n_email, r.n_ip) for r in rows] == [(20_000, 20_000)] * 2
     assert {r.text for r in pii.redact(docs).collect()} == {"<EMAIL> <IP> " * 20_000}
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_toxicity_of_a_class_on_one_side_of_the_curve_fold(spark, inside):
+    """All toxic rows in the fold that fits the curve, or none of them: there is a model all the same."""
+    at = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    bad = [i for i in at if (zlib.crc32(str(i).encode()) % 5 == 4) == inside][:50]
+    good = [i for i in at if i not in set(bad)][:200]
+    rows = [(i, f"plain words here and zzykx number{i % 7}") for i in bad] + [(i, f"plain words here and there number{i % 7}") for i in good]
+    rows += [(5001, "a zzykx again"), (5004, "plain words again")]
+    labels = spark.createDataFrame([(i, 1) for i in bad] + [(i, 0) for i in good], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[5001] > 0.5 > got[5004] and all(got[i] > 0.5 for i in bad) and all(got[i] < 0.5 for i in good)

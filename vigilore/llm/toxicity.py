@@ -215,15 +215,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """(doc_id, held_out, score, predicted, n_words, comparison) of every row of ``docs``.
 
     ``labels`` has ``id_col`` and ``label_col``; rows of the held-out fold are never
-    read.  Fold 4 of the rest fits the curve, the others the counts.
+    read.  Fold 4 of the rest fits the curve, the others the counts; a class with all its rows
+    on one side of this serves both with them.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold() != held_out_fold))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    curve_fold = fold() == 4
+    # Two rows at most: how many labelled rows of each class are in the fold of the curve.
+    sides = {r["label"]: (r["inside"], r["n"]) for r in known.groupBy("label").agg(F.count_if(curve_fold).alias("inside"), F.count("*").alias("n")).collect()}
+    shared = F.col("label").isin([c for c, (inside, n) in sides.items() if inside in (0, n)])
     chunks = materialize(slim.mapInArrow(_chunks(ORDER, chunk_bytes), _CHUNKS), "chunks")
     postings = ["chunk", "n", "owner", "word", "times"]
     # Labels grow with the documents, so their join is a shuffle of both (ids only) at every size.
-    places = chunks.select("chunk", F.posexplode("doc_ids").alias("at", "doc_id")).join(known.where(fold() != 4).hint("merge"), "doc_id").select(F.col("chunk").alias("home"), "at", "label")
+    places = chunks.select("chunk", F.posexplode("doc_ids").alias("at", "doc_id")).join(known.where(~curve_fold | shared).hint("merge"), "doc_id").select(F.col("chunk").alias("home"), "at", "label")
     counted = chunks.select(*postings, "words").groupBy("chunk").cogroup(places.groupBy("home")).applyInArrow(_count_words, "word string, n0 long, n1 long")
     words = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     grams, contexts = kneser_ney(words)
@@ -235,7 +240,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ratios = needed.join(every.hint("merge"), "gram").select(F.col("chunk").alias("home"), "gram", "ratio")
     told = chunks.select(*postings, "words", "doc_ids").groupBy("chunk").cogroup(ratios.groupBy("home")).applyInArrow(_features, "doc_id long, n_words double, comparison double")
     told = materialize(told, "toxicity")
-    fit = told.join(known.where(fold() == 4), "doc_id").where(F.col("label").isNotNull())
+    fit = told.join(known.where(curve_fold | shared), "doc_id").where(F.col("label").isNotNull())
     classes = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}  # two rows at most
     if len(classes) < 2:
         score: Column = F.lit(0.5 if not classes else float(next(iter(classes))))

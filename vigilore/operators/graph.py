@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialize
+from ..functions.storage import materialize, release
 from .timeseries import decay
 
 
@@ -109,6 +109,7 @@ def components(edges: DataFrame) -> DataFrame:
         pair = lambda c: F.struct(F.col(c).alias("hi"), F.col("m").alias("lo"))
         small = written(large.join(floor, "hi").select(F.explode(F.array(pair("hi"), pair("lo"))).alias("e")).select("e.*").where("hi <> lo").distinct())
         changed = not small.join(links, ["hi", "lo"], "left_anti").isEmpty() or not links.join(small, ["hi", "lo"], "left_anti").isEmpty()
+        release(links)
         links = small
     member = links.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()

@@ -430,3 +430,24 @@ def test_toxicity_of_a_class_on_one_side_of_the_curve_fold(spark, inside):
     labels = spark.createDataFrame([(i, 1) for i in bad] + [(i, 0) for i in good], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
     assert got[5001] > 0.5 > got[5004] and all(got[i] > 0.5 for i in bad) and all(got[i] < 0.5 for i in good)
+
+
+@pytest.mark.parametrize("num", [50, 60, 66, 80])
+def test_low_thresholds_keep_all_links(spark, monkeypatch, num):
+    """Single words, pairs right at the threshold and sizes far apart; blocks cut by elements, not by rows only."""
+    monkeypatch.setattr(jaccard, "SET_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "MEAN_SET", 20)
+    r, data = random.Random(num), []
+    for g in range(60):
+        n = r.choice([1, 2, 3, 5, 8, 13, 40, 90, 200])
+        own = [f"g{g}w{i}" for i in range(n)]
+        least = -(-n * num // 100)  # a subset of so many words is linked, one word less is not
+        data += [(10 * g, own), (10 * g + 1, own[:least]), (10 * g + 2, own[n - least + 1 :]), (10 * g + 3, own + [f"g{g}x{i}" for i in range(n * (100 - num) // num)])]
+    want = component_ids([(i, set(w)) for i, w in data], num, 100)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in jaccard.jaccard_components(df, k=1, num=num).collect()} == want
+
+
+def test_thresholds_below_a_half_are_refused(docs):
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(docs, num=49)

@@ -39,13 +39,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import materialize
+from .runtime import materialize, release
 from .words import grams, mix, word_hashes
 
 #: Coarse fragments of the overlap bound, and rows of a block in the two kinds of meetings.
 COARSE = 64
 SKETCH_BLOCK = 4096
 SET_BLOCK = 512
+#: Elements of a set in a block of them, on average: of larger sets a block holds fewer.
+MEAN_SET = 40_000
 #: Sets of a large cluster that all others are compared with first.
 PIVOTS = 8
 CLASS_STEP = 1.5
@@ -67,6 +69,8 @@ class _Plan:
     """Size classes and fragment counts for links at ``num`` / ``den``."""
 
     def __init__(self, num: int, den: int):
+        if not den <= 2 * num <= 2 * den:
+            raise ValueError("linked sets must share half of their elements at least")  # sketches meet at a size ratio of two at most
         self.num, self.den = num, den
         # Two unrelated sets with x elements in a fragment agree in about 1 - 0.56 / sqrt(x) of them by count alone;
         # linked ones of equal size in 2 * num / (num + den).  Half of the x at which the two meet.
@@ -89,8 +93,8 @@ class _Plan:
         return d + 1 if d < 3 else d + 3 + (d + 1) // 100
 
     def classes(self, n: int) -> list[int]:
-        c = self.size_class(n)
-        return [c, c - 1] if c and n * self.num <= self.tops[c - 1] * self.den else [c]
+        """All classes that the smaller set of a link with one of ``n`` elements can fall into."""
+        return list(range(self.size_class(n), self.size_class(-(-n * self.num // self.den)) - 1, -1))
 
     def need(self, nx, ny):
         """Least overlap of a linked pair."""
@@ -398,8 +402,8 @@ def _block(ids: str, n: Column) -> Column:
     return F.floor(F.pmod(F.xxhash64(ids, F.lit(7)), F.lit(1 << 20)) * n / (1 << 20)).cast("int")
 
 
-def _meetings(sets: DataFrame) -> DataFrame:
-    """(sig, s1, _n): sets that agree in a fragment, ``_n`` of them.
+def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, s1, _n): sets that agree in a fragment, ``_n`` of them; and the table that this reads.
 
     The rows of a signature are ordered and counted where they are; they hold two
     numbers each.  Near copies agree in most of their fragments: of the signatures
@@ -411,7 +415,7 @@ def _meetings(sets: DataFrame) -> DataFrame:
     members = {f"_h{i}": F.bit_xor(F.xxhash64("s1", F.lit(i))).over(by) for i in (1, 2)}
     rows = materialize(rows.withColumns({"_n": F.count("*").over(by), **members}).where("_n > 1"), "meetings")
     first = rows.groupBy("_n", *members).agg(F.min("sig").alias("sig")).select("sig")
-    return rows.join(first.hint("merge"), "sig", "left_semi").drop(*members)
+    return rows.join(first.hint("merge"), "sig", "left_semi").drop(*members), rows
 
 
 def _block_pairs(rows: DataFrame, size: int) -> DataFrame:
@@ -426,8 +430,16 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns])
 
 
-def _large_clusters(sets: DataFrame, large: DataFrame, plan: _Plan) -> DataFrame:
-    """Links (a, b) that join what is joined in the clusters ``large(grp, _n)``; ``sets`` holds their rows."""
+def _rows_or_elements(rows: Column, elements: Column) -> Column:
+    """Number of sets, or of sets of ``MEAN_SET`` elements that would hold as much."""
+    return F.greatest(rows, F.ceil(elements / MEAN_SET).cast("long"))
+
+
+def _large_clusters(sets: DataFrame, large: DataFrame, plan: _Plan) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that join what is joined in the clusters ``large(grp, _n)``, and the tables that this reads.
+
+    ``sets`` holds the rows of the clusters.
+    """
     blocks = F.ceil(F.col("_n") / SET_BLOCK).cast("int")
     rows = sets.join(large.hint("merge"), "grp").withColumn("block", _block("doc_id", blocks))
     pivot = rows.groupBy("grp", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(PIVOTS))).agg(F.min("doc_id").alias("doc_id")).select("grp", "doc_id")
@@ -436,19 +448,20 @@ def _large_clusters(sets: DataFrame, large: DataFrame, plan: _Plan) -> DataFrame
     first = materialize(first, "pivots")
     joined = first.where("near <> doc_id").select(F.col("doc_id").alias("a"), F.col("near").alias("b"))
     part = connected_components(joined)
-    first = first.join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).hint("merge"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    first = materialize(first, "parts")
+    parted = first.join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).hint("merge"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    pivoted, first = first, materialize(parted, "parts")
     sizes = first.groupBy("grp", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("grp", "main")
     split = first.join(main.hint("merge"), "grp").join(rows.select("grp", "doc_id", "grams", "block", "_n"), ["grp", "doc_id"])
     split = materialize(split.withColumn("other", F.col("part") != F.col("main")), "rest")
     left = split.where("other").withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)))
-    count = split.where("other").groupBy("grp").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("_left"))
+    count = split.where("other").groupBy("grp").agg(F.ceil(_rows_or_elements(F.count("*"), F.sum(F.octet_length("grams") / 8)) / SET_BLOCK).cast("int").alias("_left"))
     left = left.join(count.hint("merge"), "grp").withColumn("mine", F.floor(F.col("mine") * F.col("_left") / (1 << 20)).cast("int"))
     left = left.select("grp", "mine", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "doc_id", "part", "far", "grams")
     right = split.join(count.hint("merge"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("_left") - 1)).alias("mine"), "block", "doc_id", "part", "far", "grams")
     by = ["grp", "mine", "block"]
-    return joined.unionByName(left.groupBy(*by).cogroup(_renamed(right).groupBy(*[f"_{c}" for c in by])).applyInArrow(_rest(plan), "a long, b long"))
+    links = joined.unionByName(left.groupBy(*by).cogroup(_renamed(right).groupBy(*[f"_{c}" for c in by])).applyInArrow(_rest(plan), "a long, b long"))
+    return links, [pivoted, first, split]
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
@@ -460,32 +473,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plan = _Plan(num, den)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     told = materialize(slim.mapInArrow(_describe(plan, k, lower), "doc_id long, n long, s1 long, s2 long, sigs binary, sketch binary"), "sets")
-    full = told.where("n > 0 and doc_id is not null")
+    known = F.expr("n > 0 and doc_id is not null")
     same = ["s1", "s2", "n"]
-    reps = full.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.any_value("sketch").alias("sketch"))
+    reps = told.where(known).groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.any_value("sketch").alias("sketch"))
     reps = materialize(reps, "classes")
-    met = _meetings(full).join(reps.select("s1", F.col("class_id").alias("doc_id"), "n", "sketch"), "s1")
+    drawn, meetings = _meetings(told.where(known))
+    # Signatures and sketches are many times as large as the rest, so tables go as soon as nothing reads them.
+    sizes = materialize(told.select("doc_id", "n", "s1", "s2"), "sizes")
+    release(told)
+    met = drawn.join(reps.select("s1", F.col("class_id").alias("doc_id"), "n", "sketch"), "s1")
     meeting = ["sig", "lo", "hi"]
     drawn = _block_pairs(met, SKETCH_BLOCK).repartition(*meeting).sortWithinPartitions(*meeting, "block", "doc_id")
     maybe = drawn.select(*meeting, "block", "doc_id", "n", "sketch").mapInArrow(_bounded(plan), "a long, b long").distinct()
-    reps = reps.drop("sketch")
     clusters = materialize(connected_components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "clusters")
+    sketched, reps = reps, materialize(reps.drop("sketch"), "class-ids")
+    release(sketched, meetings)
     # Clusters grow with the input, so this is a shuffle of both sides at every size.
     sets = slim.join(clusters.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "grp").mapInArrow(_sets(k, lower), "doc_id long, grp long, grams binary")
-    large = materialize(clusters.groupBy("grp").agg(F.count("*").alias("_n")).where(F.col("_n") > SET_BLOCK), "large")
+    counts = clusters.join(reps.select(F.col("class_id").alias("doc_id"), F.col("n").alias("elements")).hint("merge"), "doc_id").groupBy("grp").agg(_rows_or_elements(F.count("*"), F.sum("elements")).alias("_n"))
+    large = materialize(counts.where(F.col("_n") > SET_BLOCK), "large")
+    done: list[DataFrame] = []
     if large.isEmpty():
         links = sets.groupBy("grp").applyInArrow(_exact(plan), "a long, b long")
     else:
         sets = materialize(sets, "cluster-sets")
         small = sets.join(large.select("grp").hint("merge"), "grp", "left_anti").groupBy("grp").applyInArrow(_exact(plan), "a long, b long")
-        links = small.unionByName(_large_clusters(sets, large, plan))
+        links, done = _large_clusters(sets, large, plan)
+        links, done = small.unionByName(links), [*done, sets]
     # Texts of one id are one node: it belongs to the classes of all of them.
-    pairs = full.join(reps, same).select("doc_id", "class_id").distinct()
+    pairs = sizes.where(known).join(reps, same).select("doc_id", "class_id").distinct()
     several = pairs.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("doc_id")
     links = links.unionByName(pairs.join(several.hint("merge"), "doc_id").where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
     linked = connected_components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    release(*done)  # the components have read the links
     classes = reps.join(linked, "class_id", "left")
     mine = F.col("doc_id").isNotNull()
-    return told.select("doc_id", "n", "s1", "s2").join(classes, same, "left").select(
+    return sizes.join(classes, same, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(mine, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(mine, F.coalesce("component_id", "class_id", "doc_id")).alias("component_id")
     )

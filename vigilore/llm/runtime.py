@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialize
+from ..functions.storage import materialize, release
 
 #: ASCII white space that separates words in every contract of this subpackage.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -20,4 +20,4 @@ def docs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-__all__ = ["SPACES", "WORD_SPLIT", "docs_table", "materialize", "text_or_empty"]
+__all__ = ["SPACES", "WORD_SPLIT", "docs_table", "materialize", "release", "text_or_empty"]

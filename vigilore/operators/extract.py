@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scanning import Words, needed_literals, on
 from ..knowledge import HOMOGLYPHS, HUNTS, LOGIN_SIGNATURES, SHELL_SIGNATURES, TLD_SWAPS
 from .filters import is_noise_ip
 
@@ -67,25 +71,14 @@ def hunt_matches(text: Column, hunts: dict[str, list[list[str]]] | None = None)
 
     A word must not be part of a longer one on a side where it has a letter or digit.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-
-    def word(w: str) -> Column:
-        import re
+    ways = hunts or HUNTS
+    words = Words((w for own in ways.values() for way in own for w in way), whole=True)
 
-        before = r"(?<![a-z0-9_])" if w[0].isalnum() else ""
-        after = r"(?![a-z0-9_])" if w[-1].isalnum() else ""
-        return low.contains(w) & low.rlike(before + re.escape(w) + after)
+    def tests(found: Column) -> Column:
+        every = lambda way: reduce(and_, [words.has(found, w) for w in way])
+        return F.array_compact(F.array(*[F.when(reduce(or_, map(every, own)), name) for name, own in ways.items()]))
 
-    found = []
-    for name, ways in (hunts or HUNTS).items():
-        hit = F.lit(False)
-        for way in ways:
-            every = F.lit(True)
-            for w in way:
-                every = every & word(w)
-            hit = hit | every
-        found.append(F.when(hit, name))
-    return F.array_compact(F.array(*found))
+    return on(words.found(F.lower(F.coalesce(text, F.lit("")))), tests)
 
 
 def hunt_report(rows: DataFrame, text_col: str, dimension: str) -> DataFrame:
@@ -111,17 +104,41 @@ def pick_playbook(alerts: DataFrame, keywords: DataFrame, key: str = "srcip") ->
     return alerts.select(key).distinct().join(met, key, "left").withColumn("template", F.coalesce("template", F.lit("c2_beacon")))
 
 
-def _signs(body: Column) -> dict[str, Column]:
-    """Families found, numbers of signs of each weight, and the verdict on a page."""
-    hits = [(body.rlike("(?i)" + p), label, w) for p, label, w in SHELL_SIGNATURES]
+#: The words of which every signature needs some, all looked for in one pass.
+_NEEDED = Words(x for p, _, _ in (*SHELL_SIGNATURES, *LOGIN_SIGNATURES) for own in needed_literals(p) for x in own)
+
+
+def _signs(body: Column) -> Column:
+    """(high, medium, low, login_high, families): numbers of signs of each weight, and the families found.
+
+    A signature is tried only on pages that hold the words which it cannot do without.
+    """
     some = lambda conditions: sum((c.cast("int") for c in conditions), F.lit(0))
-    return {**{w: some(h for h, _, x in hits if x == w) for w in ("high", "medium", "low")}, "login_high": some(body.rlike("(?i)" + p) for p, _, w in LOGIN_SIGNATURES if w == "high"), "families": F.array_compact(F.array(*[F.when(h, label) for h, label, _ in hits]))}
+
+    def tests(found: Column) -> Column:
+        def seen(p: str) -> Column:
+            may = [reduce(or_, [_NEEDED.has(found, x) for x in own]) for own in needed_literals(p)]
+            # Not evaluated where the words are missing.
+            return F.when(reduce(and_, may), body.rlike("(?i)" + p)).otherwise(False) if may else body.rlike("(?i)" + p)
+
+        hits = F.array(*[seen(p) for p, _, _ in SHELL_SIGNATURES])
+        login = some(seen(p) for p, _, w in LOGIN_SIGNATURES if w == "high")
+
+        def told(h: Column) -> Column:
+            at = [F.get(h, i) for i in range(len(SHELL_SIGNATURES))]
+            by = [some(x for x, (_, _, w) in zip(at, SHELL_SIGNATURES, strict=True) if w == weight).alias(weight) for weight in ("high", "medium", "low")]
+            return F.struct(*by, login.alias("login_high"), F.array_compact(F.array(*[F.when(x, label) for x, (_, label, _) in zip(at, SHELL_SIGNATURES, strict=True)])).alias("families"))
+
+        return on(hits, told)
+
+    return on(_NEEDED.found(F.lower(body)), tests)
 
 
 def page_signatures(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", chars: int | None = None, others: dict[str, Column] | None = None) -> DataFrame:
     """(id, high, medium, low, login_high, families, others, verdict) of every page; ``chars`` bounds what is read of one."""
     body = F.coalesce(html_col, F.lit(""))
-    out = pages.select(id_col, *[v.alias(k) for k, v in _signs(body if chars is None else F.substring(body, 1, chars)).items()], *[v.alias(k) for k, v in (others or {}).items()])
+    out = pages.select(id_col, _signs(body if chars is None else F.substring(body, 1, chars)).alias("_signs"), *[v.alias(k) for k, v in (others or {}).items()])
+    out = out.select(id_col, "_signs.*", *(others or {}))
     high, medium = F.col("high"), F.col("medium")
     verdict = F.when((high >= 2) | ((high >= 1) & (medium >= 2)), "CONFIRMED").when((high >= 1) | (medium >= 2), "SUSPICIOUS").when(F.col("login_high") > 0, "LOGIN_PAGE").when(high + medium + F.col("low") > 0, "LOW_RISK").otherwise("CLEAN")
     return out.withColumn("verdict", verdict)

@@ -330,3 +330,27 @@ def test_filters(spark):
     assert one(spark, filters.user_agent_label(F.lit("curl/8 nmap"))) == "Scripted/automated client"
     p = spark.createDataFrame([("a_b%c",), ("axbyc",)], "v string")
     assert [r.v for r in p.where(filters.wildcard("v", "a_b%?")).collect()] == ["a_b%c"]
+
+
+def test_ipv6_networks(spark):
+    """Every spelling gives the network that the standard library gives; others stay."""
+    import ipaddress
+    import random
+
+    r = random.Random(6)
+    texts = ["::", "::1", "1::", "2001:DB8::1", "fe80::1:2:3:4", "::ffff:10.1.2.3", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:0:0:2:0:0:0:3", "0:0:1::", "1:2:3", ":1:2", "1::2::3", "12345::", "g::", "10.0.0.1", "", "x", "::ffff:10.1.2.300", "1:2:3:4:5:6:7:8:9"]
+    texts += [str(ipaddress.IPv6Address(r.choice([r.getrandbits(128), r.getrandbits(64), r.getrandbits(16) << 100 | r.getrandbits(20), 0xFFFF << 32 | r.getrandbits(32)]))) for _ in range(60)]
+    for prefix in (0, 20, 48, 64, 99, 128):
+        for x in spark.createDataFrame([(t,) for t in [*texts, None]], "v string").select("v", scoring.normal_cidr6(F.col("v"), prefix).alias("n")).collect():
+            try:
+                want = str(ipaddress.ip_network(f"{x.v}/{prefix}", strict=False)) if x.v and ":" in x.v else x.v
+            except ValueError:
+                want = x.v
+            assert x.n == want, (x.v, prefix)
+
+
+def test_networks_take_the_worst_address(spark):
+    risks = spark.createDataFrame([("10.0.0.1", "A", 5.0), ("10.0.0.1", "A", 3.0), ("10.0.0.2", "A", 7.0), ("10.0.0.9", "B", 30.0), ("10.0.0.77", "C", 99.0), ("2001:db8::1", "A", 1.0), ("2001:DB8::2", "A", 2.0)], "srcip string, category string, risk double")
+    off = spark.createDataFrame([("10.0.0.77",)], "srcip string")
+    assert sorted(map(tuple, scoring.by_network(risks, suppressed=off).select("srcip", "category", "risk").collect())) == [("10.0.0.0/24", "A", 8.0), ("10.0.0.0/24", "B", 30.0), ("2001:db8::/64", "A", 2.0)]
+    assert rows(scoring.engine_a(scoring.by_network(risks, suppressed=off)), "srcip", "total") == [("10.0.0.0/24", 38.0)]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import in_window
+from ..functions.scanning import on
 from ..knowledge import GROUP_TOKENS, TACTICS
 
 CATEGORIES = ("A", "B", "C")
@@ -162,21 +162,58 @@ def normal_cidr(ip: Column, prefix: int = 24) -> Column:
     return F.when(good, F.concat(text, F.lit(f"/{prefix}"))).otherwise(ip)
 
 
-def normal_cidr6(ip: Column, prefix: int = 64) -> Column:
-    """Network of an IPv6 address; Arrow batches, since addresses have many spellings."""
-    @F.pandas_udf("string")
-    def network(s: pd.Series) -> pd.Series:
-        import ipaddress
-
-        def one(x):
-            try:
-                return str(ipaddress.ip_network(f"{x}/{prefix}", strict=False)) if x is not None and ":" in x else x
-            except ValueError:
-                return x
+_BYTE = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_DOTTED = r"^(.*:)" + r"\.".join([_BYTE] * 4) + "$"
 
-        return s.map(one)
 
-    return network(ip)
+def normal_cidr6(ip: Column, prefix: int = 64) -> Column:
+    """Network of an IPv6 address in its shortest spelling; what cannot be read stays as it is."""
+
+    def in_hex(low: Column) -> Column:
+        byte = [F.regexp_extract(low, _DOTTED, i).try_cast("long") for i in range(2, 6)]
+        return F.when(low.rlike(_DOTTED), F.concat(F.regexp_extract(low, _DOTTED, 1), F.hex(byte[0] * 256 + byte[1]), F.lit(":"), F.hex(byte[2] * 256 + byte[3]))).otherwise(low)
+
+    def groups(halves: Column) -> Column:
+        """The eight groups, or null."""
+        some = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":"))
+        left, right = some(F.get(halves, 0)), some(F.coalesce(F.get(halves, 1), F.lit("")))
+        own = F.size(left) + F.size(right)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - own, F.lit(0)))
+        fits = ((F.size(halves) == 1) & (own == 8)) | ((F.size(halves) == 2) & (own <= 7))
+        return F.when(fits & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")), F.concat(left, zeros, right))
+
+    spans = F.array(*[F.lit(1 << (16 - min(16, max(0, prefix - 16 * i)))) for i in range(8)])
+    masked = lambda whole: F.zip_with(whole, spans, lambda g, span: F.conv(g, 16, 10).cast("long") - F.conv(g, 16, 10).cast("long") % span)
+
+    def spelled(net: Column) -> Column:
+        mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[(F.floor(F.get(net, i) / d) % 256).cast("string") for i in (6, 7) for d in (256, 1)]))
+        plain = F.lower(F.array_join(F.transform(net, lambda n: F.hex(n)), ":"))
+        return on(plain, lambda text: F.when(text.startswith("0:0:0:0:0:ffff:"), mapped).otherwise(shortened(text)))
+
+    def shortened(text: Column) -> Column:
+        """The first of the longest runs of zero groups becomes "::"."""
+        out = text
+        for run in range(2, 9):
+            zeros = rf"^(|.*?:)0(?::0){{{run - 1}}}(|:.*)$"
+            sides = [F.regexp_extract(text, zeros, i) for i in (1, 2)]
+            out = F.when(text.rlike(zeros), F.concat(F.regexp_replace(sides[0], ":$", ""), F.lit("::"), F.regexp_replace(sides[1], "^:", ""))).otherwise(out)
+        return out
+
+    whole = on(on(F.lower(ip), in_hex), lambda low: on(F.split(low, "::"), groups))
+    network = on(whole, lambda w: F.when(w.isNotNull(), on(masked(w), spelled)))
+    return F.when(ip.contains(":"), F.coalesce(F.concat(network, F.lit(f"/{prefix}")), ip)).otherwise(ip)
+
+
+def by_network(risks: DataFrame, prefix: int = 24, prefix6: int = 64, suppressed: DataFrame | None = None) -> DataFrame:
+    """``risks`` of networks, named in ``srcip``: of each category the score of its worst address, for ``engine_a``.
+
+    ``suppressed(srcip)`` addresses are dropped before addresses are made networks.
+    """
+    if suppressed is not None:
+        risks = risks.join(suppressed.select("srcip").distinct(), "srcip", "left_anti")
+    worst = risks.groupBy("srcip", "category").agg(F.round(F.sum("risk"), 2).alias("risk"))
+    net = F.when(F.col("srcip").contains(":"), normal_cidr6(F.col("srcip"), prefix6)).otherwise(normal_cidr(F.col("srcip"), prefix))
+    return worst.groupBy(net.alias("srcip"), "category").agg(F.max("risk").alias("risk"))
 
 
 def lockouts(alerts: DataFrame, text: str = "full_log", errors: tuple[str, ...] = ("error", "inner_error", "mail_error"), groups: list[str] | None = None) -> DataFrame:

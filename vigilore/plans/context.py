@@ -11,7 +11,7 @@ from ..functions.common import time_text
 from ..functions.storage import shared_dir
 from ..operators import extract, filters, graph, lifecycle, ranking, redact, scoring, timeseries
 from ..sources import readers
-from .security import _W, AS_OF, CTE, alerts, edges, last_day, log_lines, query, table, three_sources
+from .security import _EDGES, _SPIKES, _W, AS_OF, CTE, _confirmed, _walk, alerts, edges, last_day, log_lines, query, table, three_sources
 
 # --- scoring and series -----------------------------------------------------------------------
 
@@ -42,7 +42,10 @@ def robust_spikes(spark, sf_dir):
     return timeseries.z_scores(series, "n", ["_g"], robust=True).where("z >= 1.5").select(time_text(F.col("bucket")).alias("bucket"), "n", F.round("z", 4).alias("z"))
 
 
-@query("sparse_sources", CTE + "SELECT count(*) FILTER (false) AS spikes FROM alerts")
+_SPARSE = ", q AS (SELECT b, n_a, n_b, CASE WHEN hour(b) = 3 AND day(b) = 9 THEN 5 ELSE 0 END AS n_c FROM f3), w AS (SELECT sum(n_a) OVER () < 10 AS sa, sum(n_b) OVER () < 10 AS sb, sum(n_c) OVER () < {floor} AS sc, (n_a - avg(n_a) OVER ()) / stddev_pop(n_a) OVER () AS za, (n_b - avg(n_b) OVER ()) / stddev_pop(n_b) OVER () AS zb, (n_c - avg(n_c) OVER ()) / stddev_pop(n_c) OVER () AS zc FROM q)"
+
+
+@query("sparse_sources", CTE + _SPIKES + _SPARSE.format(floor=10) + " SELECT count(*) AS spikes FROM w WHERE least(CASE WHEN sa THEN 0 ELSE za END, CASE WHEN sb THEN 0 ELSE zb END, CASE WHEN sc THEN 0 ELSE zc END) >= 0.1")
 def sparse_sources(spark, sf_dir):
     """A source with fewer than ten events never spikes, so no bucket does."""
     series = three_sources(spark, sf_dir).withColumn("n_c", F.when(F.hour("bucket") == 3, F.least("n_c", F.lit(0)) + (F.dayofmonth("bucket") == 9).cast("int") * 5).otherwise(0))
@@ -105,10 +108,11 @@ def related_objects(spark, sf_dir):
     return graph.one_hop(_relations(spark, sf_dir), spark.createDataFrame([("c1",), ("t2",)], "id string"))
 
 
-@query("two_hop_objects", f"WITH {_REL}, r2 AS (SELECT * FROM rel WHERE t IN ('t1', 't2', 't3') AND s IN ('c1', 'c2', 'c9', 'c13')), b AS (SELECT s AS id, t AS other FROM r2 UNION SELECT t, s FROM r2), h1 AS (SELECT DISTINCT other FROM b WHERE id = 'c1'), h2 AS (SELECT DISTINCT b.other FROM b JOIN h1 ON b.id = h1.other) SELECT other, min(h)::BIGINT AS hops FROM (SELECT other, 1 AS h FROM h1 UNION ALL SELECT other, 2 FROM h2) WHERE other <> 'c1' GROUP BY 1")
+@query("two_hop_objects", f"WITH {_REL}, r2 AS (SELECT * FROM rel WHERE k = 'mitigates'), b AS (SELECT s AS id, t AS other FROM r2 UNION SELECT t, s FROM r2), i AS (SELECT unnest(['c1', 'c17']) AS id), h1 AS (SELECT DISTINCT other FROM b JOIN i ON b.id = i.id), h2 AS (SELECT DISTINCT b.other FROM b JOIN h1 ON b.id = h1.other) SELECT other, min(h)::BIGINT AS hops FROM (SELECT other, 1 AS h FROM h1 UNION ALL SELECT other, 2 FROM h2) WHERE other NOT IN (SELECT id FROM i) GROUP BY 1")
 def two_hop_objects(spark, sf_dir):
-    near = _relations(spark, sf_dir).where(F.col("target_ref").isin("t1", "t2", "t3") & F.col("source_ref").isin("c1", "c2", "c9", "c13"))
-    return graph.two_hops(near, spark.createDataFrame([("c1",)], "id string")).withColumn("hops", F.col("hops").cast("long"))
+    """What is two mitigations or fewer away from two of the sources, over all relations of this kind."""
+    near = _relations(spark, sf_dir).where("relationship_type = 'mitigates'")
+    return graph.two_hops(near, spark.createDataFrame([("c1",), ("c17",)], "id string")).withColumn("hops", F.col("hops").cast("long"))
 
 
 #: A small public matrix for the five techniques of the alert view: technique, tactic, groups and mitigations.
@@ -153,14 +157,23 @@ def path_lengths(spark, sf_dir):
     return graph.shortest_path(both, "n00", "N34").select(F.size("path").cast("long").alias("nodes"))
 
 
-@query("pivot_tiers", CTE + ", o AS (SELECT DISTINCT srcip AS i, date_trunc('minute', ts) AS b FROM alerts WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31'), ed AS (SELECT x.i AS src, y.i AS dst, count(*) AS weight FROM o x JOIN o y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2), h AS (SELECT src FROM ed GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1) SELECT dst AS node, weight::DOUBLE AS weight FROM ed WHERE src = (SELECT src FROM h)")
+_HUB = "(SELECT node FROM dg ORDER BY degree DESC, node LIMIT 1)"
+
+
+@query("pivot_tiers", CTE.replace("WITH e ", "WITH RECURSIVE e ") + _EDGES.replace("ed AS (SELECT", "ed AS MATERIALIZED (SELECT") + _walk(80) + f""",
+reach AS (SELECT {_HUB} AS node UNION SELECT bo.dst FROM reach JOIN bo ON reach.node = bo.src),
+hop AS (SELECT node, 0 AS d FROM k UNION SELECT bo.dst, d + 1 FROM hop JOIN bo ON hop.node = bo.src WHERE d < 60),
+far AS (SELECT node, min(d) AS d FROM hop GROUP BY 1),
+sus AS (SELECT p80.node, round(p, 4) AS score FROM p80 WHERE node NOT IN (SELECT node FROM k) AND node <> {_HUB} ORDER BY score DESC, node LIMIT 5),
+wt AS (SELECT CASE WHEN src = {_HUB} THEN dst ELSE src END AS node, weight FROM ed WHERE src = {_HUB} OR dst = {_HUB}),
+tiers AS (SELECT node, 1 AS tier, weight::DOUBLE AS weight FROM wt UNION ALL SELECT node, 2, 0.0 FROM reach WHERE node <> {_HUB} UNION ALL SELECT node, 3, score FROM sus)
+SELECT t.node, min(tier)::BIGINT AS tier, arg_min(weight, tier)::DOUBLE AS weight, any_value(far.d)::BIGINT AS hops_to_confirmed FROM tiers AS t LEFT JOIN far ON t.node = far.node GROUP BY 1""")
 def pivot_tiers(spark, sf_dir):
-    """The first tier around the node with most neighbours."""
+    """All three tiers around the node with most neighbours: neighbours, members of its cluster, leading suspects."""
     e = edges(spark, sf_dir)
     hub = graph.degrees(e).orderBy(F.desc("degree"), "node").limit(1).collect()
-    if not hub:
-        return e.select(F.col("src").alias("node"), F.col("weight").cast("double").alias("weight")).limit(0)
-    return graph.pivots(e, hub[0]["node"], spark.createDataFrame([(hub[0]["node"],)], "node string"), n=10_000, suspects=0).where("tier = 1").select("node", "weight")
+    found = graph.pivots(e, hub[0]["node"] if hub else "", _confirmed(e), n=1_000_000)
+    return found.select("node", F.col("tier").cast("long").alias("tier"), F.col("weight").cast("double").alias("weight"), F.col("hops_to_confirmed").cast("long").alias("hops_to_confirmed"))
 
 
 # --- stores -----------------------------------------------------------------------------------

@@ -87,9 +87,9 @@ def hunt_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(found).alias("hunt"), "source").groupBy("hunt", "source").agg(F.count("*").alias("n"))
 
 
-@query("persistence_tiers", CTE + ", ".join(["", *[_RISKS.lstrip(", ").rstrip().replace("ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31'", f"ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '2024-01-31'").replace("d AS", f"d{i} AS").replace("FROM d)", f"FROM d{i})").replace("FROM d JOIN", f"FROM d{i} JOIN").replace("d.technique", f"d{i}.technique").replace("d.tactic", f"d{i}.tactic").replace("tt AS", f"tt{i} AS").replace("FROM tt", f"FROM tt{i}").replace("tt.t", f"tt{i}.t").replace("charge", f"charge{i}").replace("cats", f"cats{i}").replace("risks", f"risks{i}").replace("per AS", f"per{i} AS").replace("FROM per)", f"FROM per{i})").replace("sc AS", f"sc{i} AS") for i, a in enumerate(("2024-01-30 23:00:00", "2024-01-30", "2024-01-24"))]]) + " SELECT srcip, coalesce(bool_or(i = 0), false) AS in_60m, coalesce(bool_or(i = 1), false) AS in_1440m, coalesce(bool_or(i = 2), false) AS in_10080m FROM (SELECT srcip, 0 AS i FROM sc0 WHERE n_categories >= 2 AND total >= 50 UNION ALL SELECT srcip, 1 FROM sc1 WHERE n_categories >= 2 AND total >= 40 UNION ALL SELECT srcip, 2 FROM sc2 WHERE n_categories >= 2 AND total >= 35) GROUP BY 1")
+@query("persistence_tiers", CTE + ", ".join(["", *[_RISKS.lstrip(", ").rstrip().replace("ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31'", f"ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '2024-01-31'").replace("d AS", f"d{i} AS").replace("FROM d)", f"FROM d{i})").replace("FROM d JOIN", f"FROM d{i} JOIN").replace("d.technique", f"d{i}.technique").replace("d.tactic", f"d{i}.tactic").replace("tt AS", f"tt{i} AS").replace("FROM tt", f"FROM tt{i}").replace("tt.t", f"tt{i}.t").replace("charge", f"charge{i}").replace("cats", f"cats{i}").replace("risks", f"risks{i}").replace("per AS", f"per{i} AS").replace("FROM per)", f"FROM per{i})").replace("sc AS", f"sc{i} AS") for i, a in enumerate(("2024-01-30 23:00:00", "2024-01-30", "2024-01-24"))]]) + " SELECT *, CASE WHEN in_60m AND in_1440m AND in_10080m THEN 'persistent' WHEN in_10080m AND NOT in_60m AND NOT in_1440m THEN 'slow_burn' WHEN in_60m AND NOT in_1440m AND NOT in_10080m THEN 'burst' ELSE 'partial' END AS persistence FROM (SELECT srcip, coalesce(bool_or(i = 0), false) AS in_60m, coalesce(bool_or(i = 1), false) AS in_1440m, coalesce(bool_or(i = 2), false) AS in_10080m FROM (SELECT srcip, 0 AS i FROM sc0 WHERE n_categories >= 2 AND total >= 50 UNION ALL SELECT srcip, 1 FROM sc1 WHERE n_categories >= 2 AND total >= 40 UNION ALL SELECT srcip, 2 FROM sc2 WHERE n_categories >= 2 AND total >= 35) GROUP BY 1)")
 def persistence_tiers(spark, sf_dir):
-    return scoring.multi_resolution(alerts(spark, sf_dir), AS_OF, techniques(spark)).drop("persistence")
+    return scoring.multi_resolution(alerts(spark, sf_dir), AS_OF, techniques(spark))
 
 
 @query("attacker_hosts", f"WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages) SELECT host FROM h WHERE host IN ('example.org', 'tionsh.example.net') OR (regexp_replace(host, '^[^.]*[.]', '') IN ('example.org', 'tionsh.example.net') AND len(string_split(host, '.')) > 2)")

@@ -334,6 +334,14 @@ def cidr_rollup(spark, sf_dir):
     return alerts(spark, sf_dir).groupBy(scoring.normal_cidr(F.col("srcip"), 28).alias("net")).agg(F.count("*").alias("n"))
 
 
+@query("network_triggers", CTE + _RISKS + """, nets AS (SELECT '45.' || split_part(srcip, '.', 2) || '.' || split_part(srcip, '.', 3) || '.' || (split_part(srcip, '.', 4)::INT // 16 * 16) || '/28' AS net, max(score_a) AS a, max(score_b) AS b, max(score_c) AS c FROM per GROUP BY 1)
+SELECT net AS srcip, a AS score_a, b AS score_b, c AS score_c, ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT)::BIGINT AS n_categories, round(a + b + c, 2) AS total, round(a + b + c, 2) >= 35 AS triggered FROM nets WHERE (a > 0)::INT + (b > 0)::INT + (c > 0)::INT >= 2""")
+def network_triggers(spark, sf_dir):
+    """Engine A over networks: of every category the score of the network's worst address."""
+    risks = scoring.by_network(scoring.category_risks(last_day(spark, sf_dir), techniques(spark)), 28)
+    return scoring.engine_a(risks).withColumn("n_categories", F.col("n_categories").cast("long"))
+
+
 @query("multi_resolution")
 def multi_resolution(spark, sf_dir):
     return scoring.multi_resolution(alerts(spark, sf_dir), AS_OF, techniques(spark))

@@ -354,3 +354,9 @@ def test_networks_take_the_worst_address(spark):
     off = spark.createDataFrame([("10.0.0.77",)], "srcip string")
     assert sorted(map(tuple, scoring.by_network(risks, suppressed=off).select("srcip", "category", "risk").collect())) == [("10.0.0.0/24", "A", 8.0), ("10.0.0.0/24", "B", 30.0), ("2001:db8::/64", "A", 2.0)]
     assert rows(scoring.engine_a(scoring.by_network(risks, suppressed=off)), "srcip", "total") == [("10.0.0.0/24", 38.0)]
+
+
+def test_intel_lines_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "feed.json").write_text('{"provider": "a", "indicator": "1.2.3.4", "reputation": "malicious"}\nnot json\n\n{"provider": "b"\n{}\n{"indicator": "x.org", "confidence": 3}\n')
+    assert {(r.provider, r.indicator) for r in readers.read_intel(spark, str(tmp_path / "feed.json")).collect()} == {("a", "1.2.3.4"), (None, "x.org")}
+    assert readers.read_intel(spark, str(tmp_path / "feed.json")).count() == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -182,7 +183,7 @@ def pivot_tiers(spark, sf_dir):
 @query("asset_inventory", "SELECT n_name AS host, r_name AS owner FROM nation JOIN region ON n_regionkey = r_regionkey")
 def asset_inventory(spark, sf_dir):
     """An inventory written as JSON, read with its declared schema and looked up by host."""
-    path = f"{shared_dir(spark)}/assets"
+    path = f"{shared_dir(spark)}/assets-{uuid.uuid4().hex}"
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = F.collect_list(F.struct(F.lower("n_name").alias("asset"), F.col("r_name").alias("owner")))  # 25 nations, one JSON array
     nations.agg(F.to_json(rows).alias("value")).write.mode("overwrite").text(path)
@@ -194,8 +195,6 @@ def asset_inventory(spark, sf_dir):
 @query("appended_events", "SELECT o_custkey AS case_id, count(*) AS n FROM orders GROUP BY 1")
 def appended_events(spark, sf_dir):
     """Two appends to a lifecycle table; its state is a view over all of them."""
-    import uuid
-
     path = f"{shared_dir(spark)}/cases-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), "o_orderkey")
     readers.append_events(rows.where("o_orderkey % 2 = 0"), path)
@@ -206,8 +205,6 @@ def appended_events(spark, sf_dir):
 @query("declared_alerts", CTE + "SELECT count(*) AS n, count(DISTINCT srcip) AS ips, sum(rule_level)::BIGINT AS levels FROM alerts WHERE ts >= TIMESTAMP '2024-01-29'")
 def declared_alerts(spark, sf_dir):
     """Alerts stored in the nested schema, partitioned by date; the reader prunes dates."""
-    import uuid
-
     path = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
     flat = alerts(spark, sf_dir)
     nested = flat.select(

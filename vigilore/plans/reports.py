@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -366,7 +367,7 @@ def intel_lines(spark, sf_dir):
     """A feed of JSON lines, written and read with the declared schema."""
     from ..functions.storage import shared_dir
 
-    path = f"{shared_dir(spark)}/intel-lines"
+    path = f"{shared_dir(spark)}/intel-lines-{uuid.uuid4().hex}"
     k = F.col("s_suppkey")
     table(spark, sf_dir, "supplier").select(F.lit("a").alias("provider"), k.cast("string").alias("indicator"), F.when(k % 5 == 0, "malicious").otherwise("safe").alias("reputation")).write.mode("overwrite").json(path)
     feed = profiles.normalise_intel(readers.read_intel(spark, path))

@@ -123,4 +123,5 @@ def last_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_intel(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("provider string, indicator string, reputation string, confidence int, detections int, total int, error string").json(path)
+    """Opinions of providers, a JSON line each; lines that cannot be read, or say nothing, are left out."""
+    return spark.read.schema("provider string, indicator string, reputation string, confidence int, detections int, total int, error string").json(path).na.drop(how="all")

@@ -95,10 +95,10 @@ def three_source_series(alerts: DataFrame, sources: dict[str, Column], seconds:
 
 
 def baseline_profile(alerts: DataFrame, seconds: int, since: datetime, until: datetime, metric: str = "alert_volume") -> DataFrame:
-    """One row: the last bucket against all of them."""
+    """One row: the last bucket of the half-open window against all of them."""
     value = {"alert_volume": F.count("*"), "unique_ips": F.count_distinct("srcip"), "high_severity": F.count_if(F.col("rule_level") >= 10)}[metric]
     counted = alerts.where(in_window("ts", since, until)).groupBy(bucket("ts", seconds).alias("bucket")).agg(value.alias("n"))
-    series = zero_filled(counted, "bucket", seconds, since, until, ["n"])
+    series = zero_filled(counted, "bucket", seconds, since, until - timedelta(microseconds=1), ["n"])  # none starts at its end
     one = series.agg(F.count("*").alias("buckets"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.max_by("n", "bucket").alias("current"), F.min_by("bucket", F.struct(-F.col("n"), F.col("bucket"))).alias("peak_at"), F.max("n").alias("peak"))
     z = F.when(F.col("sd") > FLAT, (F.col("current") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     verdict = F.when(F.col("buckets") < 2, "insufficient").when(F.abs("z") >= 3, "critical").when(F.abs("z") >= 2, "anomalous").when(F.abs("z") >= 1, "elevated").otherwise("normal")

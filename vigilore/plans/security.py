@@ -280,7 +280,7 @@ def alert_timeline(spark, sf_dir):
 
 @query("baseline_profile", CTE + ", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS b), c AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n FROM alerts GROUP BY 1), f AS (SELECT g.b, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.b = c.b) SELECT count(*) AS buckets, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS sd, max_by(n, b) AS current, round((max_by(n, b) - avg(n)) / stddev_pop(n), 4) AS z, max(n) AS peak, strftime(min_by(b, (-n, b)), '%Y-%m-%d %H:%M:%S') AS peak_at, CASE WHEN abs((max_by(n, b) - avg(n)) / stddev_pop(n)) >= 3 THEN 'critical' WHEN abs((max_by(n, b) - avg(n)) / stddev_pop(n)) >= 2 THEN 'anomalous' WHEN abs((max_by(n, b) - avg(n)) / stddev_pop(n)) >= 1 THEN 'elevated' ELSE 'normal' END AS verdict FROM f")
 def baseline_profile(spark, sf_dir):
-    return timeseries.baseline_profile(alerts(spark, sf_dir), 3600, datetime(2024, 1, 1), datetime(2024, 1, 30, 23, 59, 59)).withColumn("peak_at", time_text(F.col("peak_at")))
+    return timeseries.baseline_profile(alerts(spark, sf_dir), 3600, datetime(2024, 1, 1), AS_OF).withColumn("peak_at", time_text(F.col("peak_at")))
 
 
 @query("baseline_drift", CTE + ", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-23', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR)) AS b), c AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n FROM alerts WHERE ts < TIMESTAMP '2024-01-31' GROUP BY 1), f AS (SELECT g.b, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.b = c.b), s AS (SELECT avg(n) AS m, stddev_pop(n) AS sd FROM f WHERE b < TIMESTAMP '2024-01-30') SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS bucket, n, round((n - m) / sd, 4) AS z, abs((n - m) / sd) >= 2.0 AS drifted FROM f, s WHERE b >= TIMESTAMP '2024-01-30'")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import bucket, in_window, r4, severity_counts, time_text, top_k_per, top_n, zero_filled
-from ..knowledge import CHAINS, CREDENTIALS, LOGIN_SIGNATURES, PHASE_RULES, SHELL_SIGNATURES, TACTICS
+from ..knowledge import CHAINS, CREDENTIALS, LOGIN_SIGNATURES, NOISE_IPS, PHASE_RULES, SHELL_SIGNATURES, TACTICS
 from ..operators import extract, filters, graph, lifecycle, profiles, ranking, redact, scoring, sequence, timeseries
 from ..schema import alerts_from_events
 from ..sources import readers
@@ -119,12 +119,13 @@ def wildcard_filter(spark, sf_dir):
 
 
 _ADDRESS = "((o_orderkey * 7) % 256)::VARCHAR || '.' || ((o_custkey * 5) % 256)::VARCHAR || '.' || (o_orderkey % 300)::VARCHAR || '.' || (o_custkey % 256)::VARCHAR"
+_NOISE = ", ".join(f"'{ip}'" for ip in NOISE_IPS)
 
 
 @query(
     "public_ips",
     f"""WITH a AS (SELECT DISTINCT {_ADDRESS} AS ip, (o_orderkey * 7) % 256 AS a, (o_custkey * 5) % 256 AS b, o_orderkey % 300 AS c FROM orders),
-p AS (SELECT ip, c <= 255 AND NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127)) AS public, a = 10 OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31) AS noise FROM a)
+p AS (SELECT ip, c <= 255 AND NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127)) AS public, a = 10 OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31) OR ip IN ({_NOISE}) AS noise FROM a)
 SELECT public, noise, count(*) AS n, min(ip) AS first, max(ip) AS last FROM p GROUP BY 1, 2""",
 )
 def public_ips(spark, sf_dir):

@@ -6,10 +6,14 @@ convergence scalars reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.storage import materialize, release
 from .timeseries import decay
@@ -57,13 +61,24 @@ def rare_batches(rows: DataFrame, least: int) -> DataFrame:
     return kept.join(often, "b").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("m") - least + 1).select("b", "i")
 
 
+#: Blocks of items that are compared with one another: at least so many, of about so many items and rows at most.
+LEAST_BLOCKS, BLOCK_ITEMS, BLOCK_ROWS = 8, 4096, 500_000
+#: Cells of the counts that a task holds at once, meetings that it counts at once, rows that it gives out at once.
+CELLS, MEETINGS, ROWS_OUT = 1 << 22, 1 << 22, 1 << 18
+
+
 def frequent_pairs(rows: DataFrame, least: int) -> DataFrame:
     """(src, dst, weight) of the items of distinct ``rows(b, i)`` that share ``least`` batches or more, exactly.
 
-    Candidates meet in the rare batches; then the batches of the item with fewer of them are looked up in the
-    other's.  A batch that most items have is never paired unless items have little else.
+    Sparse batches: candidates meet in the rare batches; then the batches of the item with fewer of them are looked up in
+    the other's.  Where that would form more pairs than there are rows in ``counted_pairs``, these are counted in place.
     """
     rows = written(rows)
+    often = written(rows.groupBy("b").agg(F.count("*").alias("f")).withColumn("k", F.monotonically_increasing_id()))
+    n, met = often.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.sum(F.col("f") * (F.col("f") - 1)), F.lit(0))).first()
+    blocks = max(LEAST_BLOCKS, -(-rows.select("i").distinct().count() // BLOCK_ITEMS), -(-n // BLOCK_ROWS))
+    if met > 2 * blocks * n:
+        return counted_pairs(rows.join(often.select("b", "k"), "b").select("i", "k"), least, blocks)
     met = _pairs(rare_batches(rows, least), "b").select("src", "dst").distinct()
     sizes = rows.groupBy("i").agg(F.count("*").alias("m"))
     side = lambda c: sizes.select(F.col("i").alias(c), F.col("m").alias(f"m_{c}"))
@@ -74,6 +89,74 @@ def frequent_pairs(rows: DataFrame, least: int) -> DataFrame:
     return pairs.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "weight")
 
 
+def counted_pairs(rows: DataFrame, least: int, blocks: int) -> DataFrame:
+    """The same for distinct ``rows(i, k)``, k the number of a batch: every two blocks of items meet in one task, which counts
+    what they share and gives out the pairs that are frequent enough.  Pairs are never shuffled; an item moves once a block."""
+    lists = written(rows.groupBy("i").agg(F.array_sort(F.collect_list("k")).alias("ks")).where(F.size("ks") >= least).withColumn("own", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")))
+    cells = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"), "i", "ks")
+    kind = rows.schema["i"].dataType
+    schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("weight", T.LongType())])
+    sizes = (CELLS, MEETINGS, ROWS_OUT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        i, first = table["i"].combine_chunks(), table["first"].to_numpy()
+        for a, b, weight in _shared(table["ks"].combine_chunks(), first, least, *sizes):
+            yield pa.RecordBatch.from_arrays([i.take(pa.array(a)), i.take(pa.array(b)), pa.array(weight, pa.int64())], names=["i", "j", "weight"])
+
+    pairs = cells.groupBy("x", "y").applyInArrow(count, schema)
+    return pairs.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "weight")
+
+
+def _shared(lists: pa.ListArray, first: np.ndarray, least: int, cells: int, meetings: int, rows_out: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows a of the first side and b of the other (of the first again, later than a, if there is no other) and how many numbers their lists share."""
+    numbers = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    left, right = np.flatnonzero(first), np.flatnonzero(~first)
+    alone = not len(right)
+    if alone:
+        right = left
+    if not len(left):
+        return
+    place = np.zeros(len(lists), np.int64)
+    place[right] = np.arange(len(right))
+    mine = np.ones(len(owner), bool) if alone else ~first[owner]
+    order = np.argsort(numbers[mine], kind="stable")
+    there = place[owner[mine]][order]
+    size = np.bincount(numbers[mine], minlength=numbers.max() + 1)
+    start = np.cumsum(size) - size
+    place[left] = np.arange(len(left))
+    own = first[owner]
+    number, row = numbers[own], place[owner[own]]
+    height = max(1, cells // len(right))
+    for low in range(0, len(left), height):
+        counts = np.zeros(min(height, len(left) - low) * len(right), np.int64)
+        at, end = np.searchsorted(row, [low, low + height])
+        numbers_here, rows_here = number[at:end], row[at:end] - low
+        until = np.cumsum(size[numbers_here])
+        at = 0
+        while at < len(until):
+            to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + meetings, side="right")))
+            n = size[numbers_here[at:to]]
+            ends = np.cumsum(n)
+            there_at = np.repeat(start[numbers_here[at:to]] - ends + n, n) + np.arange(ends[-1])
+            cell = np.repeat(rows_here[at:to] * len(right), n) + there[there_at]
+            if len(cell) < len(counts) // 8:
+                hit, more = np.unique(cell, return_counts=True)
+                counts[hit] += more
+            else:
+                counts += np.bincount(cell, minlength=len(counts))
+            at = to
+        hit = np.flatnonzero(counts >= least)
+        a, b = hit // len(right), hit % len(right)
+        if alone:
+            later = b > a + low
+            hit, a, b = hit[later], a[later], b[later]
+        for k in range(0, len(hit), rows_out):
+            part = slice(k, k + rows_out)
+            yield left[low + a[part]], right[b[part]], counts[hit[part]]
+
+
 def graph_nodes(observations: DataFrame, as_of: datetime, most: int = 500, min_count: int = 1, item: str = "ioc", ts: str = "ts") -> DataFrame:
     """(node, n, decay) of the leading indicators by decay and count."""
     per = observations.groupBy(F.col(item).alias("node")).agg(F.count("*").alias("n"), F.max(ts).alias("last")).where(F.col("n") >= min_count)

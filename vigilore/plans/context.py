@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.common import time_text
 from ..functions.storage import shared_dir
-from ..operators import extract, filters, graph, lifecycle, ranking, redact, scoring, timeseries
+from ..operators import batch_graph, extract, filters, graph, lifecycle, ranking, redact, scoring, timeseries
 from ..sources import readers
-from .security import _EDGES, _SPIKES, _W, AS_OF, CTE, _confirmed, _walk, alerts, edges, last_day, log_lines, query, table, three_sources
+from .security import _EDGES, _SPIKES, _W, AS_OF, CTE, _confirmed, _walk, alerts, edge_batches, last_day, log_lines, query, table, three_sources
 
 # --- scoring and series -----------------------------------------------------------------------
 
@@ -171,9 +171,9 @@ tiers AS (SELECT node, 1 AS tier, weight::DOUBLE AS weight FROM wt UNION ALL SEL
 SELECT t.node, min(tier)::BIGINT AS tier, arg_min(weight, tier)::DOUBLE AS weight, any_value(far.d)::BIGINT AS hops_to_confirmed FROM tiers AS t LEFT JOIN far ON t.node = far.node GROUP BY 1""")
 def pivot_tiers(spark, sf_dir):
     """All three tiers around the node with most neighbours: neighbours, members of its cluster, leading suspects."""
-    e = edges(spark, sf_dir)
-    hub = graph.degrees(e).orderBy(F.desc("degree"), "node").limit(1).collect()
-    found = graph.pivots(e, hub[0]["node"] if hub else "", _confirmed(e), n=1_000_000)
+    g = edge_batches(spark, sf_dir)
+    hub = batch_graph.degrees(g).orderBy(F.desc("degree"), "node").limit(1).collect()
+    found = batch_graph.pivots(g, hub[0]["node"] if hub else "", _confirmed(g))
     return found.select("node", F.col("tier").cast("long").alias("tier"), F.col("weight").cast("double").alias("weight"), F.col("hops_to_confirmed").cast("long").alias("hops_to_confirmed"))
 
 

@@ -7,8 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ..functions.common import r4, time_text
-from ..operators import extract, filters, graph, lifecycle, profiles, ranking, scoring, sequence, timeseries
-from .security import _CHAIN, _HOST, _RISKS, _W, AS_OF, CTE, DAY, alerts, edges, last_day, query, table, techniques
+from ..operators import batch_graph, extract, filters, graph, lifecycle, profiles, ranking, scoring, sequence, timeseries
+from .security import _CHAIN, _HOST, _RISKS, _W, AS_OF, CTE, DAY, alerts, edge_members, last_day, query, table, techniques
 
 
 @query("period_candidates", CTE + ", g AS (SELECT srcip, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY srcip ORDER BY ts, alert_id) AS gap FROM alerts), c AS (SELECT srcip, round_even(gap, 0)::BIGINT AS seconds, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2) SELECT srcip, seconds, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY srcip ORDER BY n DESC, seconds) AS rank FROM c) WHERE rank <= 3")
@@ -116,8 +116,8 @@ SELECT cur, CASE WHEN prev IS NULL THEN 'new' WHEN gained > 0 THEN 'growth' ELSE
 )
 def campaign_growth(spark, sf_dir):
     before = alerts(spark, sf_dir).where((F.col("ts") >= F.lit(DAY - timedelta(days=1))) & (F.col("ts") < F.lit(DAY)))
-    old = graph.co_occurrence(before.withColumn("batch", F.date_trunc("minute", "ts")), "srcip")
-    return graph.campaign_diff(graph.components(edges(spark, sf_dir)), graph.components(old))
+    old = batch_graph.members(before.withColumn("batch", F.date_trunc("minute", "ts")), "srcip")
+    return graph.campaign_diff(batch_graph.components(edge_members(spark, sf_dir)), batch_graph.components(old))
 
 
 @query("compliance_filter", CTE + "SELECT alert_id FROM alerts WHERE list_contains(tactic, 'Exfiltration') AND ts >= TIMESTAMP '2024-01-30'")

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import bucket, r4, time_text
-from ..operators import extract, filters, graph, lifecycle, profiles, scoring, timeseries
+from ..operators import batch_graph, extract, filters, graph, lifecycle, profiles, scoring, timeseries
 from ..schema import resolve_srcip
 from ..sources import readers
-from .security import _CHAIN, _EDGES, _HOUR, _LAST_DAY, _RISKS, AS_OF, CTE, DAY, alerts, edges, last_day, log_lines, query, table, techniques
+from .security import _CHAIN, _EDGES, _HOUR, _LAST_DAY, _RISKS, AS_OF, CTE, DAY, alerts, edge_members, last_day, log_lines, query, table, techniques
 
 # --- filters ----------------------------------------------------------------------------------
 
@@ -306,14 +306,14 @@ def indicator_edges(spark, sf_dir):
 
 @query("campaign_sizes", CTE.replace("WITH e", "WITH RECURSIVE e") + _EDGES + ", bo AS (SELECT src AS u, dst AS v FROM ed UNION ALL SELECT dst, src FROM ed), r AS (SELECT DISTINCT u AS node, u AS reach FROM bo UNION SELECT r.node, bo.v FROM r JOIN bo ON r.reach = bo.u), k AS (SELECT node, min(reach) AS component FROM r GROUP BY 1) SELECT component, count(*) AS size, count(*) FILTER (node LIKE '%7') AS confirmed FROM k GROUP BY 1")
 def campaign_sizes(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return graph.campaigns(e, graph.degrees(e).where("node like '%7'"))
+    m = edge_members(spark, sf_dir)
+    return batch_graph.campaigns(m, m.select(F.col("i").alias("node")).where("node like '%7'"))
 
 
 @query("hops_to_confirmed", CTE.replace("WITH e", "WITH RECURSIVE e") + _EDGES + ", bo AS (SELECT src AS u, dst AS v FROM ed UNION ALL SELECT dst, src FROM ed), r AS (SELECT DISTINCT u AS node, 0 AS d FROM bo WHERE u LIKE '%.13' UNION SELECT bo.v, r.d + 1 FROM r JOIN bo ON r.node = bo.u WHERE r.d < 12) SELECT node, min(d)::BIGINT AS distance FROM r GROUP BY 1")
 def hops_to_confirmed(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return graph.distances(e, graph.degrees(e).where("node like '%.13'")).withColumn("distance", F.col("distance").cast("long"))
+    m = edge_members(spark, sf_dir)
+    return batch_graph.distances(m, m.select(F.col("i").alias("node")).where("node like '%.13'")).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("scores_in_context", CTE + _RISKS + ", cx AS (SELECT srcip, 'c' || (length(srcip) % 2) AS cluster, srcip LIKE '%5' AS confirmed FROM (SELECT DISTINCT srcip FROM alerts)), j AS (SELECT per.srcip, cluster, confirmed, score_a, score_b, score_c FROM per JOIN cx ON per.srcip = cx.srcip), m AS (SELECT cluster, max(score_a) AS ma, max(score_b) AS mb, max(score_c) AS mc FROM j GROUP BY 1), g AS (SELECT srcip, greatest(score_a, ma) AS score_a, greatest(score_b, mb) AS score_b, greatest(score_c, mc) AS score_c, 5 * 0.1 + CASE WHEN confirmed THEN 2 ELSE 0 END AS boost FROM j JOIN m ON j.cluster = m.cluster) SELECT srcip, score_a, score_b, score_c, round(score_a + score_b + score_c + boost, 2)::DOUBLE AS total FROM g WHERE (score_a > 0)::INT + (score_b > 0)::INT + (score_c > 0)::INT >= 2")

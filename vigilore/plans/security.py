@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import bucket, in_window, r4, severity_counts, time_text, top_k_per, top_n, zero_filled
 from ..knowledge import CHAINS, CREDENTIALS, LOGIN_SIGNATURES, NOISE_IPS, PHASE_RULES, SHELL_SIGNATURES, TACTICS
-from ..operators import extract, filters, graph, lifecycle, profiles, ranking, redact, scoring, sequence, timeseries
+from ..operators import batch_graph, extract, filters, graph, lifecycle, profiles, ranking, redact, scoring, sequence, timeseries
 from ..schema import alerts_from_events
 from ..sources import readers
 
@@ -421,6 +421,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.co_occurrence(last_day(spark, sf_dir).withColumn("batch", bucket("ts", 60)), "srcip")
 
 
+def edge_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph by its batches."""
+    return batch_graph.members(last_day(spark, sf_dir).withColumn("batch", bucket("ts", 60)), "srcip")
+
+
+def edge_batches(spark: SparkSession, sf_dir: str) -> batch_graph.Batches:
+    return batch_graph.batches(edge_members(spark, sf_dir))
+
+
 @query("co_occurrence", CTE + _EDGES + "SELECT * FROM ed")
 def co_occurrence(spark, sf_dir):
     return edges(spark, sf_dir)
@@ -428,12 +437,12 @@ def co_occurrence(spark, sf_dir):
 
 @query("degree_hubs", CTE + _EDGES + "SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1")
 def degree_hubs(spark, sf_dir):
-    return graph.degrees(edges(spark, sf_dir))
+    return batch_graph.degrees(edge_batches(spark, sf_dir))
 
 
 @query("campaign_components", CTE.replace("WITH e", "WITH RECURSIVE e") + _EDGES + ", bo AS (SELECT src AS u, dst AS v FROM ed UNION ALL SELECT dst, src FROM ed), r AS (SELECT DISTINCT u AS node, u AS reach FROM bo UNION SELECT r.node, bo.v FROM r JOIN bo ON r.reach = bo.u) SELECT node, min(reach) AS component FROM r GROUP BY 1")
 def campaign_components(spark, sf_dir):
-    return graph.components(edges(spark, sf_dir))
+    return batch_graph.components(edge_members(spark, sf_dir))
 
 
 def _walk(rounds: int, error: bool = False) -> str:
@@ -448,14 +457,14 @@ p0 AS (SELECT node, 1.0 / (SELECT count(*) FROM dg) AS p FROM dg), {steps}nb AS
 """
 
 
-def _confirmed(e: DataFrame) -> DataFrame:
-    return e.select(F.col("src").alias("node")).where(F.substring(F.md5("src"), 1, 1).isin("0", "1", "2")).distinct()
+def _confirmed(g: batch_graph.Batches) -> DataFrame:
+    return batch_graph.lesser(g).where(F.substring(F.md5("node"), 1, 1).isin("0", "1", "2"))
 
 
 @query("suspicion_ranking", CTE + _EDGES + _walk(80) + "SELECT p80.node, round(p, 4) AS score, array_to_string(coalesce(near, []), ',') AS near FROM p80 LEFT JOIN nb ON p80.node = nb.node WHERE p80.node NOT IN (SELECT node FROM k)")
 def suspicion_ranking(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return graph.suspicion(e, _confirmed(e)).withColumn("near", F.array_join("near", ","))
+    g = edge_batches(spark, sf_dir)
+    return batch_graph.suspicion(g, _confirmed(g)).withColumn("near", F.array_join("near", ","))
 
 
 def _pushes(rounds: int, error: float) -> str:
@@ -468,8 +477,8 @@ def _pushes(rounds: int, error: float) -> str:
 @query("local_suspicion", CTE + _EDGES + _walk(0) + _pushes(60, 0.001) + " SELECT s60.node, round(p, 4) AS score, array_to_string(coalesce(near, []), ',') AS near FROM s60 LEFT JOIN nb ON s60.node = nb.node WHERE s60.node NOT IN (SELECT node FROM k)")
 def local_suspicion(spark, sf_dir):
     """Nodes near confirmed ones, by local pushes."""
-    e = edges(spark, sf_dir)
-    return graph.suspicion(e, _confirmed(e), error=0.001).withColumn("near", F.array_join("near", ","))
+    g = edge_batches(spark, sf_dir)
+    return batch_graph.suspicion(g, _confirmed(g), error=0.001).withColumn("near", F.array_join("near", ","))
 
 
 @query("frequent_pairs", CTE + ", o AS (SELECT DISTINCT srcip AS i, time_bucket(INTERVAL 10 MINUTE, ts) AS b FROM alerts) SELECT x.i AS src, y.i AS dst, count(*) AS weight FROM o x JOIN o y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 3")

@@ -489,7 +489,7 @@ def frequent_pairs(spark, sf_dir):
 
 @query("node_betweenness")
 def node_betweenness(spark, sf_dir):
-    return graph.betweenness(edges(spark, sf_dir))[0].withColumn("betweenness", r4("betweenness"))
+    return batch_graph.betweenness(edge_batches(spark, sf_dir)).withColumn("betweenness", r4("betweenness"))
 
 
 # --- text -------------------------------------------------------------------------------------

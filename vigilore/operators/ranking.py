@@ -12,9 +12,7 @@ K1, B = 1.5, 0.75
 
 def tokens(text: Column) -> Column:
     """Lower-case terms of two characters or more; hyphen, dot and underscore stay inside."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s._-]", " ")
-    inside = F.regexp_replace(clean, r"(?<!\S)[._-]++|[._-]++(?!\S)", "")
-    return F.filter(F.split(inside, r"\s+"), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9][a-z0-9._-]*[a-z0-9]"), 0)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

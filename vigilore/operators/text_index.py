@@ -1,12 +1,13 @@
 """A postings index: texts are cut once, tables of queries are ranked from the index alone.
 
-Documents fall into blocks of about ``BLOCK_DOCS`` of similar length.  For each term and block there
-is a list (id, tf, len) and a head with what the list can score at most: its largest tf
-and least length.  A query first scores the most promising blocks; the k-th best score found
-there rules out every block whose heads cannot reach it, and the rest is scored exactly.
-
-Lists are sorted by term in ranges, so those of a few terms are a few row groups.  A list holds at
-most the documents of its block, so a term that every document has is spread over all blocks.
+Documents are dealt into slots of about ``BLOCK_DOCS``; those of a slot that have similar length are a
+block.  For each term and block there is a list (id, tf, len) and a head with what the list can
+score at most: its largest tf and least length.  A query first scores the most promising blocks; the
+k-th best score found there rules out every block whose heads cannot reach it, and the rest is scored exactly.
+
+One task turns the texts of a slot into its lists, so only texts move.  The lists of a slot are
+sorted by term, so those of a few terms are a few pages; heads are columns beside them.  A list holds
+at most the documents of its block, so a term that every document has is spread over all blocks.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, shared_dir
 from .ranking import K1, B, idf, tokens
 
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 4096
+#: Bytes of text in a slot, on average: of longer documents it holds fewer.
+SLOT_BYTES = 32 << 20
 #: Asked terms up to which the lists are filtered before they are joined.
 FEW_TERMS = 1000
 #: The term that lists every document.
@@ -28,7 +34,7 @@ EVERY = ""
 
 
 class Index(NamedTuple):
-    """``lists``: (term, block, list of (id, tf, len)); ``heads``: (term, block, n, words, top_tf, least_len, best)."""
+    """``lists``: (term, block, list of (id, tf, len)); ``heads``: (term, block, n, words, top_tf, least_len, same, best)."""
 
     lists: DataFrame
     heads: DataFrame
@@ -41,25 +47,78 @@ def build(docs: DataFrame, id_col: str, text_col: str, path: str | None = None,
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    blocks = max(1, -(-docs.count() // block_docs))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    size = F.size("w")
-    # Length classes are powers of two; inside a class a hash of the id deals the documents out.
-    block = F.floor(F.log2(size)).cast("long") * blocks + F.pmod(F.xxhash64("id"), F.lit(blocks))
-    each = words.select("id", size.alias("len"), block.alias("block"), F.explode(F.concat("w", F.array(F.lit(EVERY)))).alias("term"))
-    counted = each.groupBy("term", "block", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-    lists = counted.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("list"))
-    lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/lists")
-    lists = spark.read.parquet(f"{path}/lists")
-    share = lambda x: F.struct((-x["tf"] / x["len"]).alias("share"), x["id"].alias("id"))
-    best = F.array_min(F.transform("list", share))
-    heads = lists.select("term", "block", F.size("list").cast("long").alias("n"), F.aggregate("list", F.lit(0).cast("long"), lambda s, x: s + x["len"]).alias("words"), F.array_max("list.tf").alias("top_tf"), F.array_min("list.len").alias("least_len"), best.alias("best"))
-    heads.write.mode("overwrite").parquet(f"{path}/heads")
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("bytes")).first()
+    slots = max(1, -(-size["n"] // block_docs), -(-size["bytes"] // SLOT_BYTES))
+    words = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(slots)).alias("slot"), F.array_join(tokens(F.col(text_col)), " ").alias("words"))
+    kind = words.schema["id"].dataType.simpleString()
+    columns = f"term string, block long, n long, words long, top_tf int, least_len int, same int, best struct<share:double,id:{kind}>, list array<struct<id:{kind},tf:int,len:int>>"
+    words.groupBy("slot").applyInArrow(_slot_lists(slots), columns).write.mode("overwrite").parquet(f"{path}/lists")
     return read(spark, path)
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/heads"))
+    rows = spark.read.parquet(f"{path}/lists")
+    return Index(rows.select("term", "block", "list"), rows.drop("list"))
+
+
+def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Every value as its place among the distinct ones, and these in their order."""
+    coded = values.dictionary_encode("encode")
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+
+
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _slot_lists(slots: int):
+    """The lists of one slot with their heads, by term and block.
+
+    A block is a slot and a power of two up to the length; texts of one id share the block of the shortest.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        slot = group["slot"][0].as_py()
+        group = group.filter(pc.not_equal(group["words"], ""))
+        cut = pc.split_pattern(_array(group["words"]), " ")
+        size = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        who, ids = _codes(_array(group["id"]))
+        what, terms = _codes(cut.flatten())
+        terms = pa.concat_arrays([pa.array([EVERY], terms.type), terms])
+        # Documents by class, id and length.
+        shortest = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(shortest, who, size)
+        level = np.floor(np.log2(shortest)).astype(np.int64)
+        triples, doc = np.unique(np.stack([level[who], who, size]), axis=1, return_inverse=True)
+        level, own, length = triples
+        doc, m = doc.reshape(-1), max(1, len(own))
+        posting, tf = np.unique(np.concatenate([doc, (what + 1) * m + np.repeat(doc, size)]), return_counts=True)
+        term, at = np.divmod(posting, m)
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(term) != 0) | (np.diff(level[at]) != 0)
+        start = np.flatnonzero(new)
+        n = np.diff(np.append(start, len(at)))
+        reduced = lambda by, x: by.reduceat(x, start) if len(start) else x
+        share = -tf / length[at]
+        # Rows of a list are ordered by id: the first with the least share is the best.
+        least = np.flatnonzero(share == np.repeat(reduced(np.minimum, share), n))
+        best = least[np.searchsorted(least, start)]
+        again = np.zeros(len(at), np.int64)
+        again[1:] = ~new[1:] & (np.diff(own[at]) == 0)
+        same = 1 + reduced(np.add, again)  # as many rows of one id as that, at most
+        id_of = ids.take(pa.array(own[at]))
+        rows = pa.StructArray.from_arrays([id_of, pa.array(tf, pa.int32()), pa.array(length[at], pa.int32())], ["id", "tf", "len"])
+        return pa.table({
+            "term": terms.take(pa.array(term[start])), "block": level[at][start] * slots + slot, "n": n, "words": reduced(np.add, length[at]),
+            "top_tf": pa.array(reduced(np.maximum, tf), pa.int32()), "least_len": pa.array(reduced(np.minimum, length[at]), pa.int32()), "same": pa.array(same, pa.int32()),
+            "best": pa.StructArray.from_arrays([pa.array(share[best]), id_of.take(pa.array(best))], ["share", "id"]),
+            "list": pa.ListArray.from_arrays(pa.array(np.append(start, len(at)), pa.int32()), rows),
+        })
+
+    return run
 
 
 def _asked(queries: DataFrame, query_id: str, text_col: str) -> DataFrame:

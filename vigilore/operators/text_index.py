@@ -27,6 +27,8 @@ from .ranking import K1, B, idf, tokens
 BLOCK_DOCS = 4096
 #: Bytes of text in a slot, on average: of longer documents it holds fewer.
 SLOT_BYTES = 32 << 20
+#: Queries that are scored together in one task.
+QUERIES = 1000
 #: Asked terms up to which the lists are filtered before they are joined.
 FEW_TERMS = 1000
 #: The term that lists every document.
@@ -127,7 +129,7 @@ def _asked(queries: DataFrame, query_id: str, text_col: str) -> DataFrame:
     return each.groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
-def _impact(tf: Column, length: Column, mean: Column) -> Column:
+def _impact(tf, length, mean):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
@@ -141,21 +143,62 @@ def _weighted(index: Index, asked: DataFrame) -> tuple[DataFrame, Column]:
 
 def bounds(index: Index, weighted: DataFrame, mean: Column, k: int) -> DataFrame:
     """(query, block, bound, first): what a block can score at most; ``first`` blocks hold k documents at least, by descending bound."""
-    most = index.heads.join(weighted, "term").groupBy("query", "block").agg(F.sum(F.col("weight") * _impact(F.col("top_tf"), F.col("least_len"), mean)).alias("bound"), F.max("n").alias("n"))
+    most = index.heads.join(weighted, "term").groupBy("query", "block").agg(F.sum(F.col("weight") * F.col("same") * _impact(F.col("top_tf"), F.col("least_len"), mean)).alias("bound"), F.max("n").alias("n"))
     before = Window.partitionBy("query").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
     return most.select("query", "block", "bound", (F.coalesce(F.sum("n").over(before), F.lit(0)) < k).alias("first"))
 
 
-def _scores(index: Index, weighted: DataFrame, mean: Column, chosen: DataFrame | None = None) -> DataFrame:
-    """(query, id, score) of all documents of the chosen blocks; terms are added in their order, so that equal documents score equally."""
+def _block_scores(k: int | None):
+    """All asked lists of a block: the documents that can be among the ``k`` best of its queries, with their scores.
+
+    Terms are added in their order, so that equal documents score equally.
+    """
+
+    def run(key, rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not rows.num_rows or not wanted.num_rows:
+            return pa.table({"query": pa.array([], wanted["query"].type), "id": pa.array([], rows.schema.field("list").type.value_type.field("id").type), "score": pa.array([], pa.float64())})
+        rows = rows.sort_by("term")
+        lists, asked = _array(rows["list"]), _array(rows["asked"])
+        ends = lambda x: np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy())])
+        of_list, of_asked = ends(lists), ends(asked)
+        lists, asked = lists.flatten(), asked.flatten()
+        column, ids = _codes(lists.field("id"))
+        queries = _array(wanted["query"])
+        line = pc.fill_null(pc.index_in(asked.field("query"), queries), -1).to_numpy()
+        weight = asked.field("weight").to_numpy()
+        impact = _impact(lists.field("tf").to_numpy(), lists.field("len").to_numpy(), rows["mean"][0].as_py())
+        score = np.zeros((len(queries), len(ids)))
+        repeated = bool((np.diff(column) == 0).any())  # several texts of one id, perhaps
+        for a, b, c, d in zip(of_asked, of_asked[1:], of_list, of_list[1:], strict=False):
+            here = line[a:b]
+            w = weight[a:b][here >= 0]
+            if len(w):
+                place = np.ix_(here[here >= 0], column[c:d])
+                if repeated:
+                    np.add.at(score, place, w[:, None] * impact[c:d])
+                else:
+                    score[place] += w[:, None] * impact[c:d]
+        enough = pc.fill_null(_array(wanted["least"]), 0.0).to_numpy() - 1e-6
+        if k is not None and k < len(ids):
+            # A little below, for ties by id.
+            enough = np.maximum(enough, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-6)
+        q, i = np.nonzero((score > 0) & (score >= enough[:, None]))
+        return pa.table({"query": queries.take(pa.array(q)), "id": ids.take(pa.array(i)), "score": score[q, i]})
+
+    return run
+
+
+def _scores(index: Index, weighted: DataFrame, mean: Column, chosen: DataFrame, k: int | None) -> DataFrame:
+    """(query, id, score) of the documents of the chosen (query, block, least) that can be among the ``k`` best, or of all; not below ``least``."""
     few = [r.term for r in weighted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     lists = index.lists.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else index.lists
-    met = lists.join(weighted, "term")
-    if chosen is not None:
-        met = met.join(chosen.select("query", "block"), ["query", "block"])
-    each = met.select("query", "term", "weight", F.explode("list").alias("x"))
-    each = each.select("query", F.col("x.id").alias("id"), F.struct("term", (F.col("weight") * _impact(F.col("x.tf"), F.col("x.len"), mean)).alias("s")).alias("s"))
-    return each.groupBy("query", "id").agg(F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
+    parts = -(-max(1, weighted.select("query").distinct().count()) // QUERIES)
+    part = F.pmod(F.xxhash64("query"), F.lit(parts)).alias("part")
+    asked = materialize(weighted.groupBy("term", part).agg(F.collect_list(F.struct("query", "weight")).alias("asked"), F.first(mean).alias("mean")), "query-lists")
+    met = lists.join(chosen.select("block").distinct(), "block", "left_semi").join(asked, "term")
+    wanted = chosen.select("query", "block", "least", part).groupBy("block", "part")
+    kinds = f"query {weighted.schema['query'].dataType.simpleString()}, id {index.lists.schema['list'].dataType.elementType['id'].dataType.simpleString()}, score double"
+    return met.select("block", "part", "term", "list", "asked", "mean").groupBy("block", "part").cogroup(wanted).applyInArrow(_block_scores(k), kinds)
 
 
 def search(index: Index, queries: DataFrame, query_id: str, text_col: str, k: int | None = None) -> DataFrame:
@@ -167,14 +210,14 @@ def search(index: Index, queries: DataFrame, query_id: str, text_col: str, k: in
     weighted = materialize(weighted, "query-terms")
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order))
+    blocks = materialize(bounds(index, weighted, mean, k or 1), "query-blocks")
     if k is None:
-        return ranked(_scores(index, weighted, mean).where("score > 0")).select("query", "rank", "id", "score")
-    blocks = materialize(bounds(index, weighted, mean, k), "query-blocks")
-    seeds = materialize(_scores(index, weighted, mean, blocks.where("first")), "seed-scores")
+        return ranked(_scores(index, weighted, mean, blocks.withColumn("least", F.lit(0.0)), None)).select("query", "rank", "id", "score")
+    seeds = materialize(_scores(index, weighted, mean, blocks.where("first").withColumn("least", F.lit(0.0)), k), "seed-scores")
     least = ranked(seeds).where(F.col("rank") == k).select("query", F.col("score").alias("least"))
     # A little below the k-th score, for sums in another order and for ties by id.
-    rest = blocks.where("not first").join(least, "query", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-6)
-    scored = seeds.unionByName(_scores(index, weighted, mean, rest)).where("score > 0")
+    rest = materialize(blocks.where("not first").join(least, "query", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-6), "query-rest")
+    scored = seeds.unionByName(_scores(index, weighted, mean, rest, k))
     return ranked(scored).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 

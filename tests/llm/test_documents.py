@@ -166,6 +166,22 @@ def test_sketches_bound_every_linked_pair():
                 assert sketches.m.max() <= 2 * m and jaccard._within(*at, len(x), len(y), plan).tolist() == [True]
 
 
+def test_sketches_are_small_and_whole():
+    """pipeline: a count takes one byte, or four where a fragment holds many; both meet with the same sums."""
+    usual = np.unique(np.random.default_rng(4).integers(0, 2**63, 600).astype(np.uint64) * np.uint64(2))
+    crowded = np.concatenate([np.arange(1, 401, dtype=np.uint64), usual[usual > 2**60]])  # four hundred in the first fragment
+    raw = [jaccard.sketch_of(usual, 12), jaccard.sketch_of(crowded, 12), jaccard.sketch_of(usual[usual > 2**60][:300], 12)]
+    assert len(raw[0]) <= 3 * jaccard.COARSE + 1
+    sketches = jaccard._Sketches(raw)
+    assert sketches.m.tolist() == [64, 128, 64] and sketches.wide.tolist() == [1, 4, 1]
+    key, count = sketches.at(np.array([0, 1, 2]), 64)
+    for k, c, own in zip(key, count, (usual, crowded, usual[usual > 2**60][:300]), strict=True):
+        f = jaccard._ranges(own, 64).astype(np.int64)
+        assert c.tolist() == np.bincount(f, minlength=64).tolist()
+        sums = [int(np.add.reduce(jaccard.mix(own[f == i]), dtype=np.uint64) & np.uint64(0xFFFF)) for i in range(64)]
+        assert k.tolist() == sums
+
+
 def test_pigeonhole_never_loses_a_pair():
     """Sets at the edge of the threshold always share a fragment."""
     plan, rng = jaccard._Plan(90, 100), np.random.default_rng(5)

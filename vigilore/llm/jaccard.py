@@ -114,10 +114,11 @@ def _signatures(s: np.ndarray, c: int, plan: _Plan) -> np.ndarray:
 
 
 def sketch_of(s: np.ndarray, per_fragment: int = 8) -> bytes:
-    """For every coarse fragment 16 bits of the sum of its elements' hashes, then their 32-bit counts.
+    """Bytes of a count, then for every coarse fragment 16 bits of the sum of its elements' hashes, then their counts.
 
     There are ``COARSE`` times a power of two of them, so that a fragment has
     ``per_fragment`` elements or fewer on average: with more the bound would tell too little.
+    Counts take one byte each unless one of them needs more, then four.
     """
     m = COARSE
     while len(s) > per_fragment * m:
@@ -126,7 +127,9 @@ def sketch_of(s: np.ndarray, per_fragment: int = 8) -> bytes:
     at = np.flatnonzero(np.diff(f, prepend=-1))
     key = np.zeros(m, np.uint16)
     key[f[at]] = (np.add.reduceat(mix(s), at) & np.uint64(0xFFFF)).astype(np.uint16)
-    return key.tobytes() + np.bincount(f, minlength=m).astype(np.uint32).tobytes()
+    count = np.bincount(f, minlength=m)
+    wide = 1 if count.max() < 256 else 4
+    return bytes([wide]) + key.tobytes() + count.astype(f"u{wide}").tobytes()
 
 
 class _Sketches:
@@ -134,18 +137,20 @@ class _Sketches:
 
     def __init__(self, sketches: list[bytes]):
         self.raw = sketches
-        self.m = np.array([len(x) // 6 for x in sketches], np.int64)
+        self.wide = np.array([x[0] for x in sketches], np.int64)
+        self.m = np.array([len(x) - 1 for x in sketches], np.int64) // (2 + self.wide)
 
     def at(self, rows: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """(keys, counts) of ``rows``, all of which have ``m`` or ``2 * m`` fragments."""
         key, count = np.zeros((len(rows), m), np.uint16), np.zeros((len(rows), m), np.int64)
         for own, step in ((m, 1), (2 * m, 2)):
-            here = np.flatnonzero(self.m[rows] == own)
-            if len(here):
-                z = np.frombuffer(b"".join(self.raw[r] for r in rows[here]), np.uint8).reshape(len(here), 6 * own)
-                k = np.ascontiguousarray(z[:, : 2 * own]).view(np.uint16).reshape(len(here), m, step)
-                c = np.ascontiguousarray(z[:, 2 * own :]).view(np.uint32).reshape(len(here), m, step)
-                key[here], count[here] = k.sum(2, dtype=np.uint16), c.sum(2, dtype=np.int64)
+            for wide in (1, 4):
+                here = np.flatnonzero((self.m[rows] == own) & (self.wide[rows] == wide))
+                if len(here):
+                    z = np.frombuffer(b"".join(self.raw[r] for r in rows[here]), np.uint8).reshape(len(here), 1 + (2 + wide) * own)
+                    k = np.ascontiguousarray(z[:, 1 : 1 + 2 * own]).view(np.uint16).reshape(len(here), m, step)
+                    c = np.ascontiguousarray(z[:, 1 + 2 * own :]).view(f"u{wide}").reshape(len(here), m, step)
+                    key[here], count[here] = k.sum(2, dtype=np.uint16), c.sum(2, dtype=np.int64)
         return key, count
 
 

@@ -31,7 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,9 +84,12 @@ class _Plan:
 
     def differ(self, c: int) -> int:
         """Most elements that two linked sets differ in, the smaller one in class ``c``."""
-        a = self.tops[c]
-        b = a * self.den // self.num
-        return (self.den - self.num) * (a + b) // (self.den + self.num)
+        return self.differ_of(self.tops[c], c)
+
+    def differ_of(self, n: int, c: int) -> int:
+        """The same where one of the two has ``n`` elements."""
+        other = n * self.den // self.num if n <= self.tops[c] else self.tops[c]
+        return (self.den - self.num) * (n + other) // (self.den + self.num)
 
     def fragments(self, c: int) -> int:
         d = self.differ(c)
@@ -102,7 +105,7 @@ class _Plan:
 
 
 def _signatures(s: np.ndarray, c: int, plan: _Plan) -> np.ndarray:
-    m, d = plan.fragments(c), plan.differ(c)
+    m, d = plan.fragments(c), plan.differ_of(len(s), c)
     f = _ranges(s, m).astype(np.int64)
     at = np.flatnonzero(np.diff(f, prepend=-1))
     sums = np.add.reduceat(mix(s), at)
@@ -196,22 +199,23 @@ def _explode_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in sigs]))], names=["sig", "s1"])
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
+def _forest(ids: np.ndarray, partners, asked: Iterable[int]) -> list[tuple[int, int]]:
+    """Spanning forest of the links that ``partners(i, part)`` (indices) tells of the rows ``asked``.
 
-def _forest(ids: np.ndarray, partners, left: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links that ``partners(i)`` (indices) tells; ``left`` rows are asked."""
-    parent, edges = np.arange(len(ids)), []
-    for i in range(left):
-        for j in partners(i):
-            a, b = _find(parent, i), _find(parent, int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((int(ids[i]), int(ids[j])))
+    Rows of the same ``part`` are joined already and need not be told.
+    """
+    part, edges = np.arange(len(ids)), []
+    for i in asked:
+        js = partners(i, part)
+        others, first = np.unique(part[js], return_index=True)
+        first, others = first[others != part[i]], others[others != part[i]]
+        if len(others):
+            edges += [(int(ids[i]), int(j)) for j in ids[js[first]]]
+            joined = np.zeros(len(ids), bool)
+            joined[others] = True
+            part[joined[part]] = part[i]
+            if len(edges) == len(ids) - 1:
+                break
     return edges
 
 
@@ -260,21 +264,24 @@ def _bounded(plan: _Plan):
             rows = np.flatnonzero((sketches.m == m) | (sketches.m == 2 * m))
             levels[m] = rows, sketches.at(rows, m)
 
-        def partners(i: int) -> np.ndarray:
+        def partners(i: int, part: np.ndarray) -> np.ndarray:
             found = [np.zeros(0, np.int64)]
             for m in (int(sketches.m[i]) // 2, int(sketches.m[i])):
                 if m in levels:
                     rows, (key, count) = levels[m]
                     own = int(np.searchsorted(rows, i))
-                    first = int(np.searchsorted(rows, left if two else i + 1))
-                    js = rows[first:]
+                    cut = int(np.searchsorted(rows, left if two else i + 1))
+                    js = rows[:cut] if two and i >= left else rows[cut:]
+                    js = js[part[js] != part[i]]
                     # At half the fragments only with those that have no more.
                     js = js[sketches.m[js] == m] if m < sketches.m[i] else js
                     p = np.searchsorted(rows, js)
                     found.append(js[_within((key[own : own + 1], count[own : own + 1]), (key[p], count[p]), n[i], n[js], plan)])
             return np.concatenate(found)
 
-        return _forest(ids, partners, left)
+        # Rows of both blocks by turns: what one has joined need not be told by those of the other.
+        turns = np.arange(min(left, len(ids) - left))
+        return _forest(ids, partners, np.stack([turns, left + turns], 1).ravel().tolist() if two else range(left))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -342,10 +349,10 @@ def _exact(plan: _Plan):
             return _edges_table([(int(ids[0]), int(ids[1]))] if overlap >= plan.need(n[0], n[1]) else [])
         overlap = _overlaps(sets)
 
-        def partners(i: int) -> np.ndarray:
+        def partners(i: int, part: np.ndarray) -> np.ndarray:
             return i + 1 + np.flatnonzero(overlap[i, i + 1 :] >= plan.need(n[i + 1 :], n[i]))
 
-        return _edges_table(_forest(ids, partners, len(ids)))
+        return _edges_table(_forest(ids, partners, range(len(ids))))
 
     return run
 

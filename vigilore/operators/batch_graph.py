@@ -7,8 +7,11 @@ batches they share with it: a pair that shares w batches is met w times, so w -
 
 from __future__ import annotations
 
+import itertools
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,28 +167,121 @@ def pivots(g: Batches, node: str, confirmed: DataFrame, suspects: int = 5) -> Da
     return all_.join(distances(g.members, confirmed).withColumnRenamed("distance", "hops_to_confirmed"), "node", "left")
 
 
-def betweenness(g: Batches, sources: int | None = None) -> DataFrame:
-    """(node, betweenness) as the nodes of ``graph.betweenness``: the same sources, levels and path counts.
+#: Tasks that share the sources of ``betweenness`` at most (each reads the whole graph), least sources of one, and numbers of an array there.
+SOURCE_BLOCKS = 64
+LEAST_SOURCES = 64
+CELLS = 4_000_000
 
-    A level costs its sources times the batches of its nodes.
+
+def betweenness(g: Batches) -> DataFrame:
+    """(node, betweenness) as the nodes of ``graph.betweenness``: the dependencies of all sources, in unnormalised sums.
+
+    Exact, so the time grows with the number of nodes times that of memberships.  A task holds the whole graph, which is
+    small beside that, and walks from a share of the sources.  Nodes of the same batches are one there: they have the
+    same neighbours, so no shortest path leads through one of them to another one's.
     """
-    if sources is None:
-        sources = max(10, min(g.nodes.count() // 10, 200))
-    chosen = g.nodes.orderBy(F.xxhash64("i"), "i").limit(sources)
-    levels = [written(chosen.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))]
-    seen = levels[0].select("s", "id")
-    while True:
-        sums = neighbour_sums(g, levels[-1].select("s", "id", F.col("paths").alias("x")), ("s",))
-        new = written(sums.join(seen, ["s", "id"], "left_anti").select("s", "id", F.col("x").alias("paths")))
-        if new.isEmpty():
-            break
-        levels.append(new)
-        seen = seen.unionByName(new.select("s", "id"))
-    flow = levels[0].select("s", "id", F.lit(0.0).alias("dep")).where("false")
-    total = flow
-    for upper, lower in zip(levels[-2::-1], levels[:0:-1]):
-        # A node that no shortest path leads on from has no dependency yet.
-        dep = lower.join(flow, ["s", "id"], "left").select("s", "id", ((1 + F.coalesce("dep", F.lit(0.0))) / F.col("paths")).alias("x"))
-        flow = written(upper.join(neighbour_sums(g, dep, ("s",)), ["s", "id"]).select("s", "id", (F.col("paths") * F.col("x")).alias("dep")))
-        total = total.unionByName(flow)
-    return _named(g, total.where("s <> id").groupBy("id").agg(F.sum("dep").alias("betweenness"))).select("node", "betweenness")
+    blocks = max(1, min(SOURCE_BLOCKS, g.nodes.count() // LEAST_SOURCES))
+    graphs = g.there.select("id", "at", "by", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    parts = graphs.groupBy("block").applyInArrow(lambda key, t: _dependencies(key[0].as_py(), blocks, t), "id long, x double")
+    return _named(g, parts.groupBy("id").agg(F.sum("x").alias("betweenness"))).select("node", "betweenness")
+
+
+def _dependencies(block: int, blocks: int, there: pa.Table) -> pa.Table:
+    """(id, x): what the sources of a block depend on each node, where it is more than 0."""
+    ids, at, by = (there[c].to_numpy() for c in ("id", "at", "by"))
+    names, node = np.unique(ids, return_inverse=True)
+    _, batch = np.unique(at[at < 0], return_inverse=True)
+    node_of = node[at < 0]
+    order = np.lexsort((batch, node_of))
+    batch, node_of = batch[order], node_of[order]
+    cuts = np.searchsorted(node_of, np.arange(len(names) + 1))
+    kinds: dict[bytes, int] = {}
+    kind = np.array([kinds.setdefault(batch[a:b].tobytes(), len(kinds)) for a, b in itertools.pairwise(cuts)])
+    _, first, size = np.unique(kind, return_index=True, return_counts=True)
+    held = np.isin(node_of, first)
+    g = _Kinds(kind[node_of[held]], batch[held], size)
+    far = (at >= 0) & (at != ids)
+    u, v = node[far], np.searchsorted(names, at[far])
+    once = np.isin(u, first) & np.isin(v, first)  # one of each kind stands for all
+    g.correct(kind[u[once]], kind[v[once]], by[far][once])
+    total = np.zeros(len(size))
+    start = np.lexsort((np.arange(len(size)), batch[cuts[first]]))  # sources of a batch walk together
+    mine = np.array_split(start, blocks)[block]
+    for k in range(0, len(mine), g.together):
+        total += g.walk(mine[k : k + g.together])
+    x = total[kind]
+    return pa.table({"id": pa.array(names[x > 0], pa.int64()), "x": pa.array(x[x > 0])})
+
+
+def _ranges(cuts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Positions of the rows of ``which`` keys, whose rows lie between their ``cuts``."""
+    n = cuts[which + 1] - cuts[which]
+    return np.repeat(cuts[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class _Kinds:
+    """Kinds of nodes, ``size`` of each, and their batches; ``row`` and ``batch`` are the memberships, ordered by ``row``."""
+
+    def __init__(self, row: np.ndarray, batch: np.ndarray, size: np.ndarray):
+        order = np.argsort(row, kind="stable")
+        self.size, self.batch = size.astype(float), batch[order]
+        self.cuts = np.searchsorted(row[order], np.arange(len(size) + 1))
+        by = np.argsort(batch, kind="stable")
+        self.members, self.held = row[by], np.searchsorted(batch[by], np.arange(batch.max() + 2))
+
+    def correct(self, u: np.ndarray, v: np.ndarray, by: np.ndarray) -> None:
+        """Kinds ``u`` and ``v`` share more than one batch: ``by`` is less than 0 and takes off what is too much."""
+        order = np.argsort(u, kind="stable")
+        self.v, self.by = v[order], by[order]
+        self.far = np.searchsorted(u[order], np.arange(len(self.size) + 1))
+        self.together = max(1, CELLS // (len(self.batch) + len(v) + len(self.size)))
+
+    def neighbours(self, x: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(kinds, sums of ``x`` over their distinct neighbours, whether there is one) of kinds that meet ``active`` ones; other rows of ``x`` are 0."""
+        met = np.unique(self.batch[_ranges(self.cuts, active)])
+        at = _ranges(self.held, met)
+        n = self.held[met + 1] - self.held[met]
+        rows = self.members[at]
+        sums = np.add.reduceat(x[rows], np.cumsum(n) - n, axis=0)
+        order = np.argsort(rows, kind="stable")
+        near, first = np.unique(rows[order], return_index=True)
+        out = np.add.reduceat(sums[np.repeat(np.arange(len(met)), n)[order]], first, axis=0)
+        some = out > 0
+        twice = self.far[near + 1] - self.far[near]
+        again = np.flatnonzero(twice)
+        if len(again):
+            at, n = _ranges(self.far, near[again]), twice[again]
+            out[again] += np.add.reduceat(self.by[at, None] * x[self.v[at]], np.cumsum(n) - n, axis=0)
+        return near, out, some
+
+    def walk(self, sources: np.ndarray) -> np.ndarray:
+        """What all nodes of the kinds ``sources`` depend on a node of each kind."""
+        own = np.arange(len(sources))
+        paths, level = np.zeros((len(self.size), len(sources))), np.full((len(self.size), len(sources)), -1, np.int32)
+        paths[sources, own], level[sources, own] = 1, 0
+        x = np.zeros_like(paths)
+        x[sources, own] = 1  # a walk starts from one node; the others of its kind are neighbours of its neighbours only
+        fronts = [np.unique(sources)]
+        while (level < 0).any():
+            near, sums, some = self.neighbours(x, fronts[-1])
+            x[fronts[-1]] = 0
+            new = some & (level[near] < 0)
+            found = new.any(1)
+            if not found.any():
+                break
+            near, new, sums = near[found], new[found], sums[found]
+            level[near] = np.where(new, len(fronts), level[near])
+            paths[near] = np.where(new, sums, paths[near])
+            x[near] = np.where(new, sums, 0) * self.size[near, None]
+            fronts.append(near)
+        out = np.zeros_like(paths)
+        for d in range(len(fronts) - 1, 0, -1):
+            low = fronts[d]
+            here = level[low] == d
+            x[low] = np.where(here, (1 + out[low]) / np.where(here, paths[low], 1), 0) * self.size[low, None]
+            near, sums, some = self.neighbours(x, low)
+            x[low] = 0
+            up = some & (level[near] == d - 1)
+            out[near] = np.where(up, paths[near] * sums, out[near])
+        out[sources, own] = 0
+        return out @ self.size[sources]

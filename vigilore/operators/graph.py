@@ -320,17 +320,14 @@ def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, sources: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes with betweenness, edges with betweenness), from ``sources`` sampled by hash.
+    """(nodes with betweenness, edges with betweenness), from all nodes, or from ``sources`` of them sampled by hash.
 
-    By default a tenth of the nodes, 10 at least and 200 at most (all nodes of a
-    smaller graph).  Breadth-first levels with path counts forward, dependencies
-    backward, for all sources at once; unnormalised sums over the sources.
+    Breadth-first levels with path counts forward, dependencies backward, for all
+    sources at once; unnormalised sums over the sources.
     """
     e = written(both_ways(edges).select("src", "dst"))
     nodes = e.select(F.col("src").alias("node")).distinct()
-    if sources is None:
-        sources = max(10, min(nodes.count() // 10, 200))
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(sources)
+    chosen = nodes if sources is None else nodes.orderBy(F.xxhash64("node"), "node").limit(sources)
     level = written(chosen.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
     deepest = 0
     while True:
